@@ -1,2 +1,33 @@
-QUERIES: dict = {}
-SQL: dict = {}
+"""Queries and SQL of the problems tagged llm."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from foliolake.llm.group_split import assign_splits, inseparable_pairs, page_components, series_components
+from foliolake.llm.markov_clusters import cluster_pairs, describe_clusters, similarity_clusters
+from foliolake.runtime import materialize, table
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_pairs(similarity_clusters(table(spark, sf_dir, "page_vectors")))
+
+
+def p4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return describe_clusters(similarity_clusters(table(spark, sf_dir, "page_vectors")))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inseparable_pairs(series_components(table(spark, sf_dir, "page_vectors")))
+
+
+def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with its component and split."""
+    pages = table(spark, sf_dir, "page_vectors")
+    members = materialize(page_components(pages, series_components(pages)), "members")
+    splits = assign_splits(members.select("member", "component"), table(spark, sf_dir, "split_shares"))
+    return members.select("page_id", "member").join(splits.select("member", "component", "split", "state"), "member").select("page_id", "component", "split", "state")
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_clusters, p5_found, p5_splits)}
+SQL: dict[str, str] = {}
