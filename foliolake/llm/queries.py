@@ -3,12 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from foliolake.llm.entity_match import match_pages
 from foliolake.llm.group_split import assign_splits, inseparable_pairs, page_components, series_components
 from foliolake.llm.markov_clusters import cluster_pairs, describe_clusters, similarity_clusters
+from foliolake.llm.mojibake import fit, restore
 from foliolake.runtime import materialize, table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_matches(spark, sf_dir).select("image_id", "record_id").distinct()
+
+
+def p2_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs with the rule that found them and its confidence."""
+    return match_pages(table(spark, sf_dir, "coco_images"), table(spark, sf_dir, "vlm_docs"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_pairs(similarity_clusters(table(spark, sf_dir, "page_vectors")))
 
@@ -29,5 +41,15 @@ def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.select("page_id", "member").join(splits.select("member", "component", "split", "state"), "member").select("page_id", "component", "split", "state")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_clusters, p5_found, p5_splits)}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_restored(spark, sf_dir).select("doc_id")
+
+
+def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Affected documents with the chain found, its probability and the restored text."""
+    docs = table(spark, sf_dir, "documents")
+    return restore(docs, fit(docs)).withColumn("probability", F.round("probability", 4))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_matches, p4_found, p4_clusters, p5_found, p5_splits, p10_found, p10_restored)}
 SQL: dict[str, str] = {}
