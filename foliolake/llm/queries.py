@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliolake.llm.bin_pack import fill_report, pack
 from foliolake.llm.entity_match import match_pages
 from foliolake.llm.group_split import assign_splits, inseparable_pairs, page_components, series_components
 from foliolake.llm.markov_clusters import cluster_pairs, describe_clusters, similarity_clusters
+from foliolake.llm.mixture import mix, reached_shares
 from foliolake.llm.mojibake import fit, restore
+from foliolake.llm.token_sizes import token_sizes
+from foliolake.llm.varied_subset import choose_varied
 from foliolake.runtime import materialize, table
 
 
@@ -21,6 +25,10 @@ def p2_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_pages(table(spark, sf_dir, "coco_images"), table(spark, sf_dir, "vlm_docs"))
 
 
+def p3_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return choose_varied(table(spark, sf_dir, "page_vectors"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_pairs(similarity_clusters(table(spark, sf_dir, "page_vectors")))
 
@@ -41,6 +49,29 @@ def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.select("page_id", "member").join(splits.select("member", "component", "split", "state"), "member").select("page_id", "component", "split", "state")
 
 
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text is tokenized once; the sizes are read again by all that follows."""
+    return materialize(token_sizes(table(spark, sf_dir, "documents")), "sizes")
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_sizes(spark, sf_dir), table(spark, sf_dir, "pack_sizes"))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = table(spark, sf_dir, "pack_sizes")
+    return fill_report(pack(_sizes(spark, sf_dir), kinds), kinds)
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_sizes(spark, sf_dir), table(spark, sf_dir, "source_targets"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes, targets = _sizes(spark, sf_dir), table(spark, sf_dir, "source_targets")
+    return reached_shares(mix(sizes, targets), sizes, targets)
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_restored(spark, sf_dir).select("doc_id")
 
@@ -51,5 +82,7 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restore(docs, fit(docs)).withColumn("probability", F.round("probability", 4))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_matches, p4_found, p4_clusters, p5_found, p5_splits, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (
+        p2_found, p2_matches, p3_subset, p4_found, p4_clusters, p5_found, p5_splits, p8_containers, p8_fill, p9_mixture, p9_shares, p10_found, p10_restored,
+    )}
 SQL: dict[str, str] = {}
