@@ -75,18 +75,17 @@ def read_analyses(docs: DataFrame) -> DataFrame:
     return slim.mapInPandas(read, "record_id long, " + _SIDE)
 
 
-def title_classes(titles: DataFrame) -> DataFrame:
-    """(key, class): the keys of all titles, equal class for the keys of one title and for misprints of it."""
-    keyed = titles.select(title_keys(F.col("title")).alias("ks")).filter("ks is not null").distinct()
-    alike = keyed.select(F.col("ks")[0].alias("a"), F.explode("ks").alias("b")).distinct()
+def title_classes(names: DataFrame) -> DataFrame:
+    """(key, class): the keys of all titles, equal class for the keys of one title and for misprints of it. ``names``: title, ks."""
+    alike = names.filter("ks is not null").select(F.col("ks")[0].alias("a"), F.explode("ks").alias("b")).distinct()
     near = misprint_pairs(alike.select(F.col("b").alias("key")))
     comp = connected_components(alike.unionByName(near))
     return comp.select(F.col("node").alias("key"), F.col("root").alias("class"))
 
 
-def short_names(titles: DataFrame, starts: DataFrame, classes: DataFrame) -> DataFrame:
+def short_names(names: DataFrame, starts: DataFrame, classes: DataFrame) -> DataFrame:
     """(short, kind, class): the initials of the titles of each class, and the cut-off starts that begin one of its titles, misprinted
-    or not. ``titles``: title; ``starts``: short. Starts meet titles on what remains when one letter is left out."""
+    or not. ``names``: title, ks. ``starts``: short. Starts meet titles on what remains when one letter is left out."""
 
     def letters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -96,7 +95,7 @@ def short_names(titles: DataFrame, starts: DataFrame, classes: DataFrame) -> Dat
                 rows += [(a, k), (a[1:], k)] if t.lower().startswith("the") else [(a, k), ("T" + a, k)]
             yield pd.DataFrame(rows, columns=["short", "key"])
 
-    spaced = titles.filter(F.col("title").rlike(r"[^\s_][\s_-]+[^\s_]")).select("title", title_keys(F.col("title"))[0].alias("key")).filter("key is not null").distinct()
+    spaced = names.filter(F.col("title").rlike(r"[^\s_][\s_-]+[^\s_]")).select("title", F.col("ks")[0].alias("key")).filter("key is not null")
     acronyms = spaced.mapInPandas(letters, "short string, key string").filter(F.length("short") >= 2).join(classes, "key").select("short", F.lit("acronym").alias("kind"), "class").distinct()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,12 +142,15 @@ def match_pages(images: DataFrame, docs: DataFrame, labels: DataFrame | None = N
     im = read_images(images)
     an = read_analyses(docs).withColumn("kind", F.lit("title"))
     im, an = materialize(im.filter("title is not null and issue is not null and page is not null"), "images"), materialize(an.filter("title is not null and page is not null"), "analyses")
+    # The keys of a title are worked out once for each way to write it.
     named = im.filter("kind = 'title'").select("title").unionByName(an.select("title")).distinct()
-    classes = materialize(title_classes(named), "classes")
-    shorts = short_names(named, im.filter("kind = 'start'").select(F.col("title").alias("short")), classes)
+    names = materialize(named.select("title", title_keys(F.col("title")).alias("ks")), "names")
+    classes = materialize(title_classes(names), "classes")
+    known = materialize(names.select("title", F.col("ks")[0].alias("key")).join(classes, "key"), "known")
+    shorts = short_names(names, im.filter("kind = 'start'").select(F.col("title").alias("short")), classes)
 
     def with_class(df: DataFrame) -> DataFrame:
-        return df.withColumn("key", title_keys(F.col("title"))[0]).join(classes, "key", "left")
+        return df.join(known, "title", "left")
 
     i_all = with_class(im.filter("kind = 'title'"))
     i_short = im.filter("kind != 'title'").withColumnRenamed("title", "short").join(shorts, ["short", "kind"]).withColumn("key", F.lit(None).cast("string"))
