@@ -112,3 +112,34 @@ def ranked_split(keys: DataFrame, *, key: str, shares: list[tuple[str, float]],
     for name, _, hi in reversed(cuts):
         split = F.when(F.col("rn") <= F.floor(F.col("n") * hi), name).otherwise(split)
     return ranked.select(key, split.alias("split"))
+
+
+def leader_clusters(hashes: DataFrame, links: DataFrame, *, max_rounds: int = 60) -> DataFrame:
+    """(id, leader, n_links) for every row of ``hashes`` (id, hash): greedy leader clustering in order of id, without going through the
+    rows one by one. ``links``: pairs of near hash values (a, b).
+
+    Rows of one hash are one node with the least of their ids; it joins the first leader it is linked to, or leads. A node is decided
+    once all linked nodes of smaller id are, so each round decides every node whose smaller neighbours are settled; the order, and with it
+    the result, is that of the row-by-row pass. ``n_links`` counts the other hash values linked to the row's own.
+    """
+    from foliolake.runtime import drop_materialized, materialize
+
+    nodes = hashes.groupBy("hash").agg(F.min("id").alias("node"))
+    a, b = nodes.select(F.col("hash").alias("a"), F.col("node").alias("na")), nodes.select(F.col("hash").alias("b"), F.col("node").alias("nb"))
+    both = links.select("a", "b").join(a, "a").join(b, "b").select("na", "nb")
+    down = materialize(both.select(F.greatest("na", "nb").alias("node"), F.least("na", "nb").alias("smaller")).distinct(), "down")
+    state = materialize(nodes.select("node").join(down.select("node").distinct(), "node", "left_anti").withColumn("leader", F.col("node")), "leaders")
+    for _ in range(max_rounds):
+        left = down.join(state.select("node"), "node", "left_anti")
+        known = left.join(state.select(F.col("node").alias("smaller"), "leader"), "smaller", "left")
+        per = known.groupBy("node").agg(F.max(F.col("leader").isNull()).alias("waits"), F.min(F.when(F.col("leader") == F.col("smaller"), F.col("smaller"))).alias("first"))
+        new = materialize(per.filter("not waits").select("node", F.coalesce("first", "node").alias("leader")), "leaders")
+        if not new.limit(1).count():
+            break
+        old, state = state, materialize(state.unionByName(new), "leaders")
+        drop_materialized(old)
+    else:
+        raise RuntimeError(f"leaders did not settle in {max_rounds} rounds")
+    n = down.select("node").unionByName(down.select(F.col("smaller").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    whole = nodes.join(state, "node").join(n, "node", "left")
+    return hashes.join(whole, "hash").select("id", "leader", F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -9,7 +9,7 @@ from foliolake.operators import dedup as U
 from foliolake.operators import joins as J
 from foliolake.operators import windows as W
 from foliolake.operators.filters import with_reasons
-from foliolake.runtime import table
+from foliolake.runtime import materialize, table
 
 C = F.col
 
@@ -172,11 +172,23 @@ def name_collisions(spark, d):
     return s.groupBy("stem").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("series")).alias("names")).filter("n > 1")
 
 
-def near_dedup(spark, d):
-    """Links between different texts whose similarity hashes are at most 6 bits apart; copies are counted, not paired."""
+def _hashes(spark, d):
     docs = table(spark, d, "documents").filter("text is not null and trim(text) != ''").select(C("doc_id").alias("id"), "text")
-    hashes = docs.mapInPandas(U.simhash, "id long, hash long")
-    return U.hash_links(hashes)
+    return materialize(docs.mapInPandas(U.simhash, "id long, hash long"), "hashes")
+
+
+def near_dedup(spark, d):
+    """Every text with the leader of its group of near copies, and the number of other hash values it is linked to."""
+    h = _hashes(spark, d)
+    return U.leader_clusters(h, U.hash_links(h))
+
+
+def near_links(spark, d):
+    """Links between hash values at most 6 bits apart; copies are one value, their texts are counted."""
+    h = _hashes(spark, d)
+    n = h.groupBy("hash").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    a, b = n.select(C("hash").alias("a"), C("id").alias("id_a"), C("n").alias("n_a")), n.select(C("hash").alias("b"), C("id").alias("id_b"), C("n").alias("n_b"))
+    return U.hash_links(h).join(a, "a").join(b, "b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "distance", (C("n_a") + C("n_b")).alias("n_texts"))
 
 
 def split_by_checksum(spark, d):
@@ -262,6 +274,6 @@ QUERIES = {
     for f in (
         resume_anti, resume_composite, split_train_val, suffix_bridge, variant_join, path_lookup_cascade, filename_resolution, substring_join, label_chain_reasons,
         three_way_compare, presence_audit, category_lookup, page_frame_join, book_position, contiguous_blocks, block_expand, label_runs, chunk_512, sliding_windows,
-        exact_dedup, dropped_repeats, repeated_keys, key_offenders, name_collisions, near_dedup, split_by_checksum, bucket_split, union_splits,
+        exact_dedup, dropped_repeats, repeated_keys, key_offenders, name_collisions, near_dedup, near_links, split_by_checksum, bucket_split, union_splits,
     )
 }
