@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -69,16 +70,26 @@ def simhash(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"id": pdf["id"], "hash": out})
 
 
-def hash_links(hashes: DataFrame, *, distance: int = 6) -> DataFrame:
-    """(a, b, distance), a < b: distinct hash values at most ``distance`` bits apart. Equal hashes are one value, so copies form no pairs;
-    values meet on one of ``distance`` + 1 bands of bits, one of which any such two share, and pairs are checked exactly."""
-    bands = distance + 1
-    width = -(-64 // bands)
-    values = hashes.select("hash").distinct()
-    parts = [F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("hash", i * width).bitwiseAND(F.lit((1 << min(width, 64 - i * width)) - 1)).alias("bits")) for i in range(bands)]
-    keyed = values.withColumn("k", F.explode(F.array(*parts))).select("hash", "k.band", "k.bits")
+def hash_links(hashes: DataFrame, *, distance: int = 6, blocks: int = 8) -> DataFrame:
+    """(a, b, distance), a < b: distinct hash values at most ``distance`` bits apart. Equal hashes are one value, so copies form no pairs.
+
+    The 64 bits are cut into ``blocks``; two such values agree in at least ``blocks - distance`` of them whole, so values meet on each
+    choice of that many blocks, and what meets is checked exactly. More blocks give longer keys and more of them: 8 for up to some
+    ten million values, 9 beyond. Values are distinct, so no key is shared by more than a 2 ** -(bits of the key) of them unless they are
+    near each other in fact.
+    """
+    agree = max(1, blocks - distance)
+    cuts = [64 * i // blocks for i in range(blocks + 1)]
+    part = [F.shiftrightunsigned("hash", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(cuts, cuts[1:])]
+    keys = []
+    for n, choice in enumerate(itertools.combinations(range(blocks), agree)):
+        bits = F.lit(0).cast("long")
+        for i in choice:
+            bits = F.shiftleft(bits, cuts[i + 1] - cuts[i]).bitwiseOR(part[i])
+        keys.append(F.struct(F.lit(n).alias("choice"), bits.alias("bits")))
+    keyed = hashes.select("hash").distinct().withColumn("k", F.explode(F.array(*keys))).select("hash", "k.choice", "k.bits")
     x, y = keyed.withColumnRenamed("hash", "a"), keyed.withColumnRenamed("hash", "b")
-    met = x.join(y, ["band", "bits"]).filter("a < b").withColumn("distance", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))))
+    met = x.join(y, ["choice", "bits"]).filter("a < b").withColumn("distance", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))))
     return met.filter(F.col("distance") <= distance).select("a", "b", "distance").distinct()
 
 
@@ -122,7 +133,7 @@ def leader_clusters(hashes: DataFrame, links: DataFrame, *, max_rounds: int = 60
     once all linked nodes of smaller id are, so each round decides every node whose smaller neighbours are settled; the order, and with it
     the result, is that of the row-by-row pass. ``n_links`` counts the other hash values linked to the row's own.
     """
-    from foliolake.runtime import drop_materialized, materialize
+    from foliolake.runtime import materialize
 
     nodes = hashes.groupBy("hash").agg(F.min("id").alias("node"))
     a, b = nodes.select(F.col("hash").alias("a"), F.col("node").alias("na")), nodes.select(F.col("hash").alias("b"), F.col("node").alias("nb"))
@@ -136,8 +147,7 @@ def leader_clusters(hashes: DataFrame, links: DataFrame, *, max_rounds: int = 60
         new = materialize(per.filter("not waits").select("node", F.coalesce("first", "node").alias("leader")), "leaders")
         if not new.limit(1).count():
             break
-        old, state = state, materialize(state.unionByName(new), "leaders")
-        drop_materialized(old)
+        state = state.unionByName(new)
     else:
         raise RuntimeError(f"leaders did not settle in {max_rounds} rounds")
     n = down.select("node").unionByName(down.select(F.col("smaller").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))

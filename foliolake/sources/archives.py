@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliolake import schemas
@@ -51,13 +51,17 @@ def archive_pages(spark: SparkSession, root: str) -> DataFrame:
     return raw.mapInPandas(read, schemas.ARCHIVE_PAGES)
 
 
+def _no_scheme(path: Column) -> Column:
+    return F.regexp_replace(path, "^[a-z]+:/*", "/")
+
+
 def build_manifest(pages: DataFrame, loose: DataFrame, *, root: str) -> tuple[DataFrame, DataFrame]:
     """(manifest, audit): pages of archives, then loose images (path) that no archive row has already, without junk paths; what can't be
     used goes to the audit (path, reason)."""
     inner = F.concat(F.regexp_replace("archive", r"\.[^./]+$", ""), F.lit("/"), F.regexp_replace("member", r"\.[^./]+$", ""))
-    ok = pages.filter((F.col("status") == "ok") & ~is_junk_path(F.col("member"))).select(inner.alias("full"), F.concat("archive", F.lit("!"), "member").alias("absolute_image_path"))
-    rest = loose.filter(~is_junk_path(F.col("path"))).select(F.regexp_replace("path", r"\.[^./]+$", "").alias("full"), F.col("path").alias("absolute_image_path"))
+    ok = pages.filter((F.col("status") == "ok") & ~is_junk_path(F.col("member"))).select(_no_scheme(inner).alias("full"), F.concat("archive", F.lit("!"), "member").alias("absolute_image_path"))
+    rest = loose.filter(~is_junk_path(F.col("path"))).select(_no_scheme(F.regexp_replace("path", r"\.[^./]+$", "")).alias("full"), F.col("path").alias("absolute_image_path"))
     both = ok.unionByName(rest.join(ok.select("full"), "full", "left_anti"))
-    cid = F.regexp_replace(F.regexp_replace("full", "^[a-z]+:/*", "/"), "^" + root.rstrip("/") + "/", "")
+    cid = F.regexp_replace("full", "^" + root.rstrip("/") + "/", "")
     audit = pages.filter("status != 'ok'").select(F.coalesce(F.concat("archive", F.lit("!"), "member"), F.col("archive")).alias("path"), F.col("status").alias("reason"))
     return both.select(cid.alias("canonical_id"), "absolute_image_path"), audit

@@ -48,7 +48,12 @@ def documents(spark: SparkSession, root: str, suffix: str = "json") -> DataFrame
     without a byte order mark, else as Windows-1252."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{suffix}").load(root)
     valid = F.is_valid_utf8(F.col("content").cast("string"))
-    text = F.when(valid, F.col("content").cast("string")).otherwise(F.decode("content", "windows-1252"))
+
+    @F.pandas_udf("string")
+    def western(content):  # noqa: ANN001, ANN202
+        return content.map(lambda c: None if c is None else c.decode("cp1252", "replace"))
+
+    text = F.when(valid, F.col("content").cast("string")).otherwise(western(F.when(~valid, F.col("content"))))
     key = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), r"^.*?" + root.rstrip("/").rsplit("/", 1)[-1].replace(".", r"\.") + "/", "")
     return raw.select(F.regexp_replace(key, rf"\.{suffix}$", "").alias("key"), "path", F.regexp_replace(text, "^﻿", "").alias("doc"))
 
