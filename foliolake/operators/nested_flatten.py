@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliolake.functions.vlm_json import panel_list, panels_of, read_doc
+from foliolake.runtime import spread
 
 #: Names the two lists of a panel go by.
 TEXT_LISTS = frozenset(["lettering", "text", "text_content", "text_items", "texts"])
@@ -173,7 +174,7 @@ def flatten_pages(docs: DataFrame) -> DataFrame:
     gives no row. A page has its panel count in ``panel_pos`` and its summary (or error) in ``content``. Rows delivered twice come
     out twice here: :func:`flat_table` removes repeats. Nulls among panels and items keep their position and have a null content.
     """
-    return docs.select("record_id", "doc").mapInArrow(_flat_batches, FLAT_SCHEMA)
+    return spread(docs.select("record_id", "doc")).mapInArrow(_flat_batches, FLAT_SCHEMA)
 
 
 def flat_table(flat: DataFrame, kind: str) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliolake.functions.vlm_json import holds_objects, panel_list, panels_of, read_doc
+from foliolake.runtime import spread
 
 #: Cost of deleting or adding a subtree.
 DROP = 1.0
@@ -209,7 +210,7 @@ def file_profiles(docs: DataFrame) -> DataFrame:
     documents that are null, empty or break off. Rows delivered twice change no type and no script.
     """
     slim = docs.select("feed", "file_seq", "doc").filter("feed is not null and file_seq is not null and doc is not null")
-    partial = slim.mapInPandas(_profile_batches, PROFILE_SCHEMA)
+    partial = spread(slim).mapInPandas(_profile_batches, PROFILE_SCHEMA)
     return partial.groupBy("feed", "file_seq").applyInPandas(_merge_file, PROFILE_SCHEMA)
 
 

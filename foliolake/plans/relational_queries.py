@@ -9,7 +9,7 @@ from foliolake.operators import dedup as U
 from foliolake.operators import joins as J
 from foliolake.operators import windows as W
 from foliolake.operators.filters import with_reasons
-from foliolake.runtime import materialize, table
+from foliolake.runtime import materialize, spread, table
 
 C = F.col
 
@@ -174,7 +174,7 @@ def name_collisions(spark, d):
 
 def _hashes(spark, d):
     docs = table(spark, d, "documents").filter("text is not null and trim(text) != ''").select(C("doc_id").alias("id"), "text")
-    return materialize(docs.mapInPandas(U.simhash, "id long, hash long"), "hashes")
+    return materialize(spread(docs).mapInPandas(U.simhash, "id long, hash long"), "hashes")
 
 
 def near_dedup(spark, d):

@@ -41,3 +41,10 @@ def drop_materialized(df: DataFrame) -> None:
     for f in {os.path.dirname(x) for x in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(f)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least half as many partitions as there are cores, for work in Python that a few small files would leave to a few
+    cores. A table of more partitions stays as it is and nothing is shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
