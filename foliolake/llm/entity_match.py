@@ -20,7 +20,7 @@ from foliolake.functions.vlm_json import panel_list, panels_of, read_doc
 from foliolake.llm.components import connected_components
 from foliolake.llm.page_names import initials, read_file_name, read_path
 from foliolake.llm.titles import misprint, misprint_pairs, shortened, title_keys
-from foliolake.runtime import materialize
+from foliolake.runtime import materialize, spread
 
 #: Sizes agree up to this in proportion; of one scan or its half-size copy, up to this in scale.
 PROPORTION, SCALE = 0.006, 0.012
@@ -71,8 +71,8 @@ def read_analyses(docs: DataFrame) -> DataFrame:
                 out[c] = out[c].astype("Int32")
             yield out
 
-    slim = docs.select("record_id", "doc").filter("record_id is not null and doc is not null").dropDuplicates(["record_id"])
-    return slim.mapInPandas(read, "record_id long, " + _SIDE)
+    slim = docs.select("record_id", "doc").filter("record_id is not null and doc is not null")
+    return spread(slim).mapInPandas(read, "record_id long, " + _SIDE).dropDuplicates(["record_id"])
 
 
 def title_classes(names: DataFrame) -> DataFrame:

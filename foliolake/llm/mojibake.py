@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliolake.runtime import spread
+
 TRI, BI, UNI = 1 << 21, 1 << 18, 1 << 14
 #: Share of a damaged record's words taken to be damaged, and the prior of all chains together before the first round.
 DAMAGED_WORDS, FIRST_PRIOR = 0.5, 0.05
@@ -296,7 +298,7 @@ def _count_batches(model: Model | None):
 
 
 def _fit_once(docs: DataFrame, chains: list[str], model: Model | None) -> Model:
-    counted = docs.mapInPandas(_count_batches(model), "kind string, key int, source string, chain string, n double")
+    counted = spread(docs).mapInPandas(_count_batches(model), "kind string, key int, source string, chain string, n double")
     sums = counted.groupBy("kind", "key", "source", "chain").agg(F.sum("n").alias("n")).toPandas()  # bounded: hashed buckets, and sources times chains
     tables = {}
     for name, size in (("tri", TRI), ("bi", BI), ("uni", UNI)):
@@ -375,5 +377,5 @@ def restore(docs: DataFrame, model: Model, *, text: str = "text", source: str =
                 rows.append((doc, chain, float(p), "�" not in fixed and fixed != text, fixed))
             yield pd.DataFrame(rows, columns=["doc_id", "chain", "probability", "restored", "text_restored"])
 
-    slim = prepared(docs, text, source).filter("text is not null and text != ''")
+    slim = spread(prepared(docs, text, source).filter("text is not null and text != ''"))
     return slim.mapInPandas(repair, "doc_id long, chain string, probability double, restored boolean, text_restored string")

@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from foliolake.runtime import spread
+
 TOKENIZER_PATH = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the byte-level BPE of that file cuts text before merging.
 PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -32,4 +34,4 @@ def token_sizes(docs: DataFrame, *, path: str = TOKENIZER_PATH) -> DataFrame:
             sizes = [len(x) for x in encoding.encode_ordinary_batch(texts, num_threads=1)] if texts else []
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "n_tokens": sizes})
 
-    return docs.filter("doc_id is not null").select("doc_id", "source", "text").mapInPandas(count, "doc_id long, source string, n_tokens long")
+    return spread(docs.filter("doc_id is not null").select("doc_id", "source", "text")).mapInPandas(count, "doc_id long, source string, n_tokens long")
