@@ -1,31 +1,26 @@
 """Choosing a varied subset: a multi-attribute grid, taken in rounds. SQL only.
 
-Two grids lie over the pages: series by coarse embedding cell, and fine embedding cells alone, so that neither a long series nor a
-large group of similar pages fills the subset. A page's rank is the greater of its ranks in its two cells; the subset is the
-first ``k`` pages by (rank, cell). Only pages that can be among the first ranks of their cell meet in it: rows are cut to
-``rounds`` for each cell and salt before cells are put together, so a cell with a third of all pages is never sorted whole.
+Every page lies in a cell of four grids: its series, the axis its direction leans to most, the same in a second frame, and both
+axes together. Similar pages mostly lean the same way, so a large group of them crowds few cells. Pages are ranked by one hash
+order within each cell; a page's round is the greatest of its ranks, each measured against the number of pages a cell of that grid
+should give. The subset is the first ``k`` pages by (round, hash): a page of a crowded cell comes late, whichever grid it crowds.
+
+Only pages that can still be early meet in their cell: rows are cut for each cell and salt before cells are put together, so a cell
+with a third of all pages is never sorted whole.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliolake.llm.thresholds import take_by_hash
 from foliolake.runtime import materialize
 
-DIM, GROUPS, SALTS = 64, 16, 32
-
-
-def _sums(vector: str) -> list[Column]:
-    """Sums over interleaved groups of the vector's elements: as many fixed directions at right angles to each other."""
-    out = []
-    for g in range(GROUPS):
-        total = F.lit(0.0)
-        for i in range(g, DIM, GROUPS):
-            total = total + F.col(vector)[i]
-        out.append(total)
-    return out
+DIM, SALTS = 64, 8
+GRIDS = ("series_cell", "axis_cell", "frame_cell", "similar_cell")
 
 
 def _usable(vector: str) -> Column:
@@ -34,61 +29,74 @@ def _usable(vector: str) -> Column:
     return F.coalesce((F.size(v) == DIM) & fine & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def page_features(vectors: DataFrame) -> DataFrame:
-    """(page_id, series, f0..f15): the latest row of each page that has a usable vector, its direction's group sums over its length."""
+def _leaning(v: Column) -> Column:
+    """The axis of the greatest absolute component, with its sign: 1..64 or -1..-64."""
+    top = F.array_max(F.transform(v, lambda x, i: F.struct(F.abs(x).alias("a"), (-i).alias("i"), (x > 0).alias("up"))))
+    return F.when(top["up"], 1 - top["i"]).otherwise(top["i"] - 1).cast("int")
+
+
+def _turned(v: Column, by: int) -> Column:
+    return F.concat(F.slice(v, by + 1, DIM - by), F.slice(v, 1, by))
+
+
+def page_cells(vectors: DataFrame) -> DataFrame:
+    """(page_id, series, h, series_cell, axis_cell, frame_cell, similar_cell) of each page whose latest row has a usable vector."""
     slim = vectors.filter("page_id is not null").select("page_id", "written_at", "series", "page_embeddings")
-    ok = _usable("page_embeddings")
-    length = F.sqrt(F.aggregate("page_embeddings", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
-    made = slim.withColumn("f", F.when(ok, F.array(*[(s / length).cast("float") for s in _sums("page_embeddings")])))
+    v = F.col("page_embeddings")
+    ok = slim.withColumn("ok", _usable("page_embeddings"))
+    length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x))
+    # The common direction of all rows says nothing about a page: it is taken off.
+    sized = ok.filter("ok").select(v.alias("v"), length.alias("l"))
+    mean = sized.agg(*[F.avg(F.col("v")[i] / F.col("l")).alias(f"m{i}") for i in range(DIM)]).first()
+    centre = F.array(*[F.lit(float(m or 0.0)) for m in mean])
+    u = F.zip_with(F.transform(v, lambda x: x / F.col("l")), centre, lambda x, m: x - m)
+    made = ok.withColumn("l", length).withColumn("u", F.when(F.col("ok"), u))
+    frame = F.zip_with(F.zip_with(F.col("u"), _turned(F.col("u"), 17), lambda x, y: x + y), _turned(F.col("u"), 29), lambda x, y: x - y)
+    made = made.select("page_id", "written_at", "series", "ok", _leaning(F.col("u")).alias("a"), _leaning(frame).alias("b"))
     key = F.regexp_replace(F.lower(F.coalesce("series", F.lit(""))), r"[^\p{L}\p{N}]+", "")
-    latest = made.groupBy("page_id").agg(F.max(F.struct("written_at", F.col("f").isNotNull().alias("ok"), "f", key.alias("series"))).alias("x"))
-    return latest.filter("x.f is not null").select("page_id", "x.series", "x.f")
+    latest = made.groupBy("page_id").agg(F.max(F.struct("written_at", "ok", "a", "b", key.alias("series"))).alias("x")).filter("x.ok")
+    return latest.select(
+        "page_id", "x.series", F.xxhash64("page_id", F.lit("order")).alias("h"), F.xxhash64("x.series").alias("series_cell"), F.col("x.a").cast("long").alias("axis_cell"),
+        F.col("x.b").cast("long").alias("frame_cell"), (F.col("x.a") * 1000 + F.col("x.b")).cast("long").alias("similar_cell"),
+    )
 
 
 def choose_varied(vectors: DataFrame, *, share: float = 0.01, k: int | None = None) -> DataFrame:
-    """(page_id, series, series_cell, similar_cell, rank) of exactly ``k`` pages (``share`` of the eligible ones unless given), or of all
+    """(page_id, series, series_cell, similar_cell, round) of exactly ``k`` pages (``share`` of the eligible ones unless given), or of all
     eligible pages if there are no more.
 
-    Eligible: pages whose latest row has a usable vector. A null series is a series of its own. Ties between equal ranks go by hash of
-    the page. An empty table gives no rows.
+    Eligible: pages whose latest row has a usable vector. A null series is a series of its own; ways to write a series that differ in
+    case, blanks and punctuation are one. Ties between equal rounds go by hash of the page. An empty table gives no rows.
     """
-    feats = materialize(page_features(vectors), "features")
-    n = feats.count()
+    cells = materialize(page_cells(vectors), "cells")
+    count = cells.agg(F.count(F.lit(1)).alias("n"), *[F.approx_count_distinct(c).alias(c) for c in GRIDS]).first()
+    n = count["n"]
     k = min(n, max(1, round(n * share)) if k is None else k) if n else 0
-    mean = feats.agg(*[F.avg(F.col("f")[g].cast("double")).alias(f"m{g}") for g in range(GROUPS)]).first()
-    bit = [F.when(F.col("f")[g] > F.lit(mean[g] or 0.0), F.lit(1 << g)).otherwise(F.lit(0)) for g in range(GROUPS)]
-    code = bit[0]
-    for b in bit[1:]:
-        code = code + b
-    coded = feats.select("page_id", "series", code.alias("code"))
-    # The coarse cells are as fine as still leaves no more cells of series than pages to choose.
-    sizes = coded.agg(*[F.approx_count_distinct(F.struct("series", F.col("code") % (1 << b))).alias(f"c{b}") for b in range(0, 9)]).first()
-    bits = max([b for b in range(0, 9) if (sizes[b] or 0) <= k], default=0)
-    cells = coded.select(
-        "page_id", "series", F.xxhash64("series", F.col("code") % (1 << bits)).alias("series_cell"), F.col("code").cast("long").alias("similar_cell"),
-        F.xxhash64("page_id", F.lit("order")).alias("h"),
-    )
-    cells = materialize(cells, "cells")
+    # What a cell of a grid gives in a round; of a grid with more cells than pages are wanted, one.
+    fair = {c: max(1.0, k / max(count[c], 1)) for c in GRIDS}
 
     def ranked(cell: str, rounds: int) -> DataFrame:
+        most = math.ceil(fair[cell] * rounds)
         salted = Window.partitionBy(cell, F.pmod("h", F.lit(SALTS))).orderBy("h", "page_id")
-        first = cells.withColumn("r", F.row_number().over(salted)).filter(F.col("r") <= rounds)
-        return first.withColumn("r", F.row_number().over(Window.partitionBy(cell).orderBy("h", "page_id"))).filter(F.col("r") <= rounds)
+        first = cells.select("page_id", cell, "h").withColumn("r", F.row_number().over(salted)).filter(F.col("r") <= most)
+        whole = first.withColumn("r", F.row_number().over(Window.partitionBy(cell).orderBy("h", "page_id"))).filter(F.col("r") <= most)
+        return whole.select("page_id", F.ceil(F.col("r") / fair[cell]).cast("long").alias(f"r_{cell}"))
 
-    rounds = 4
+    rounds = 2
     while True:
-        a = ranked("series_cell", rounds)
-        b = ranked("similar_cell", rounds).select("page_id", F.col("r").alias("r2"))
-        both = materialize(a.join(b, "page_id").select("page_id", "series", "series_cell", "similar_cell", F.greatest("r", "r2").alias("rank")), "ranked")
-        levels = {r["rank"]: r["n"] for r in both.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).collect()}
+        both = cells.select("page_id", "series", "series_cell", "similar_cell")
+        for c in GRIDS:
+            both = both.join(ranked(c, rounds), "page_id")
+        both = materialize(both.select("page_id", "series", "series_cell", "similar_cell", F.greatest(*[f"r_{c}" for c in GRIDS]).alias("round")), "ranked")
+        levels = {r["round"]: r["n"] for r in both.groupBy("round").agg(F.count(F.lit(1)).alias("n")).collect()}
         if sum(levels.values()) >= k or rounds > n:
             break
-        rounds *= 4
+        rounds *= 8
     last, below = 0, 0
     for last in sorted(levels):
         if below + levels[last] >= k:
             break
         below += levels[last]
-    inner, edge = both.filter(F.col("rank") < last), both.filter(F.col("rank") == last)
+    inner, edge = both.filter(F.col("round") < last), both.filter(F.col("round") == last)
     taken = take_by_hash(edge.withColumn("key", F.lit("edge")).withColumn("w", F.lit(1)), {"edge": k - below}, ident="page_id").filter("taken")
     return inner.unionByName(taken.select(*inner.columns))
