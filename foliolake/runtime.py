@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -18,7 +20,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests, one machine)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + os.path.join(tempfile.gettempdir(), f"foliolake-{os.getpid()}")
+        folder = tempfile.mkdtemp(prefix="foliolake-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        path = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
