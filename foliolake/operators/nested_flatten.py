@@ -9,6 +9,7 @@ that filters by ``kind`` prunes nothing it needs and shuffles nothing.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,11 +47,19 @@ def list_role(name: str, value: object) -> str | None:
         return "text"
     if name in SPEAKER_LISTS:
         return "speakers"
-    if name in PANEL_MEMBERS or not isinstance(value, list):
+    if name in PANEL_MEMBERS:
+        return None
+    if isinstance(value, dict):
+        # Lists of texts by kind: dialogue, narration and the like.
+        parts = [v for v in value.values() if v is not None]
+        lists = parts and all(isinstance(v, list) for v in parts)
+        return "text" if lists and any(isinstance(x, str) for v in parts for x in v) else None
+    if not isinstance(value, list):
         return None
     first = next((x for x in value if isinstance(x, dict)), None)
     if first is None:
-        return None
+        said = [x for x in value if isinstance(x, str)]
+        return "speakers" if said and all(re.match(r"[^\W\d_][^:]{0,40}: \S", x) for x in said) else None
     if "character" in first or "who" in first or "speech_type" in first or "dialogue" in first or "line" in first:
         return "speakers"
     return "text" if any(k in first for k in TEXT_WORDS) else None

@@ -215,3 +215,10 @@ def spark_float(x):
     import numpy as np
 
     return float(np.float32(x))
+
+
+def test_lists_of_unknown_name():
+    assert nf.list_role("spoken", [{"character": "A", "line": "x"}]) == "speakers" and nf.list_role("spoken", ["Ann Lee: hi", None]) == "speakers"
+    assert nf.list_role("balloons", [{"words": "x"}]) == "text" and nf.list_role("balloons", {"dialogue": ["x"], "sfx": None}) == "text"
+    for v in (["rope", "mask"], {"x1": 1}, {"a": []}, "alone", None, [], [1, 2], [{"x": 1}]):
+        assert nf.list_role("other", v) is None
