@@ -43,18 +43,38 @@ def label_runs(df: DataFrame, group: list[str], order: list[str], label: str) ->
     return runs.groupBy(*group, "run", label).agg(F.min(order[0]).alias("first"), F.max(order[0]).alias("last"), F.count(F.lit(1)).alias("n"))
 
 
+def ranked(df: DataFrame, group: list[str], order: list[str], *, name: str = "_rn") -> DataFrame:
+    """``df`` with each row's place in its group from 0, in a total order, however large a group is.
+
+    Rows are laid out by range of (group, order), so a group with a third of all rows spreads over as many tasks as it fills. A row's
+    place is its place in its range plus the group's rows in the ranges before: a count for each group and range.
+    """
+    from foliolake.runtime import materialize
+
+    spread = df.repartitionByRange(*group, *order).withColumn("_range", F.spark_partition_id())
+    laid = materialize(spread, "ranges")
+    counts = laid.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("_start", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
+    starts = starts.toDF(*[f"_g{i}" for i in range(len(group))], "_at", "_start")
+    local = laid.withColumn("_local", F.row_number().over(Window.partitionBy("_range", *group).orderBy(*order)) - 1)
+    on = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)] + [F.col("_range") == F.col("_at")]
+    return local.join(starts, on).select(*df.columns, (F.col("_local") + F.col("_start")).alias(name))
+
+
 def chunks(df: DataFrame, group: list[str], order: list[str], size: int) -> DataFrame:
     """``chunk`` and ``slot`` from 0: consecutive pieces of ``size`` rows that never cross a group."""
-    rn = F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1
-    return df.withColumn("_rn", rn).withColumn("chunk", F.floor(F.col("_rn") / size)).withColumn("slot", F.col("_rn") % size).drop("_rn")
+    return ranked(df, group, order).withColumn("chunk", F.floor(F.col("_rn") / size)).withColumn("slot", F.col("_rn") % size).drop("_rn")
 
 
 def sliding(df: DataFrame, group: list[str], order: list[str], *, size: int, stride: int) -> DataFrame:
     """One row for each row and window it falls in: windows of ``size`` rows every ``stride`` rows, full ones and the last."""
-    w = Window.partitionBy(*group)
-    rn = df.withColumn("_rn", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
+    rn = ranked(df, group, order)
+    sizes = rn.groupBy(*group).agg((F.max("_rn") + 1).alias("_n")).toDF(*[f"_g{i}" for i in range(len(group))], "_n")
+    on = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)]
     last = F.greatest(F.ceil((F.col("_n") - size) / stride), F.lit(0))
     lo = F.greatest(F.ceil((F.col("_rn") - size + 1) / stride), F.lit(0))
     hi = F.least(F.floor(F.col("_rn") / stride), last)
-    hit = rn.withColumn("_lo", lo.cast("int")).withColumn("_hi", hi.cast("int")).filter("_lo <= _hi")
+    both = rn.join(sizes, on).select(*rn.columns, "_n")
+    hit = both.withColumn("_lo", lo.cast("int")).withColumn("_hi", hi.cast("int")).filter("_lo <= _hi")
     return hit.withColumn("window", F.explode(F.sequence("_lo", "_hi"))).withColumn("slot", F.col("_rn") - F.col("window") * stride).drop("_rn", "_n", "_lo", "_hi")
