@@ -102,8 +102,13 @@ def loose_bytes(text: str, encoding: str) -> bytes:
     return bytes([table.get(c, 0) for c in text])
 
 
+_CONTROL = re.compile("[\x00-\x1f\x7f-\x9f]")
+#: A first and a second byte of a multi-byte UTF-8 sequence, or what is left of a closing quote.
+_UTF8_START = re.compile(rb"[\xc2-\xf4][\x80-\xbf]")
+
+
 def _clean(before: str, text: str) -> str | None:
-    return None if before == text or any(ord(c) < 32 or 0x7F <= ord(c) < 0xA0 for c in before) else before
+    return None if before == text or _CONTROL.search(before) else before
 
 
 def undo(text: str, chain: str) -> str | None:
@@ -126,24 +131,37 @@ def undo(text: str, chain: str) -> str | None:
         return None
 
 
-def all_undone(text: str, chains: list[str]) -> list[tuple[str, str]]:
-    """(chain, restored) for each chain that can have given the text: as :func:`undo` on each, reading each encoding once."""
-    out, by_read = [], {}
+def by_reading(chains: list[str]) -> list[tuple[str, list[str], list[tuple[str, str]]]]:
+    """(read, chains from UTF-8, (chain, written) of the others) for each encoding that is read in."""
+    out: dict[str, tuple[list[str], list[tuple[str, str]]]] = {}
     for chain in chains:
-        by_read.setdefault(chain.partition(" x")[0].split(">")[1], []).append(chain)
-    for read, own in by_read.items():
-        raw = to_bytes(text, read)
-        for chain in own:
-            if chain.startswith("utf-8>"):
-                restored = undo(text, chain)
-            elif raw is None:
+        written, read = chain.partition(" x")[0].split(">")
+        own = out.setdefault(read, ([], []))
+        if written == "utf-8":
+            own[0].append(chain)
+        else:
+            own[1].append((chain, written))
+    return [(read, a, b) for read, (a, b) in out.items()]
+
+
+def all_undone(text: str, readings: list[tuple[str, list[str], list[tuple[str, str]]]]) -> list[tuple[str, str]]:
+    """(chain, restored) for each chain that can have given the text: as :func:`undo` on each, reading each encoding once."""
+    out = []
+    for read, from_utf, others in readings:
+        loose = loose_bytes(text, read)
+        if from_utf and _UTF8_START.search(loose):
+            for chain in from_utf:
+                if (restored := undo(text, chain)) is not None:
+                    out.append((chain, restored))
+        if 0 in loose and (raw := to_bytes(text, read)) is None:
+            continue
+        raw = loose
+        for chain, written in others:
+            try:
+                restored = raw.decode(written)
+            except UnicodeDecodeError:
                 continue
-            else:
-                try:
-                    restored = _clean(raw.decode(chain.split(">")[0]), text)
-                except UnicodeDecodeError:
-                    continue
-            if restored is not None:
+            if restored != text and not _CONTROL.search(restored):
                 out.append((chain, restored))
     return out
 
@@ -179,6 +197,7 @@ class Model:
     def __init__(self, tri: np.ndarray, bi: np.ndarray, uni: np.ndarray, priors: dict[str, dict[str, float]], chains: list[str]) -> None:
         self.tri, self.bi, self.uni, self.priors, self.chains = tri, bi, uni, priors, chains
         self.total = float(uni.sum()) + 1.0
+        self.readings = by_reading(chains)
         self.known: dict[str, float] = {}
         self.gains: dict[str, list[tuple[str, float, str]]] = {}
 
@@ -212,14 +231,17 @@ class Model:
         else:
             own, part = self.log_p(word)
             if part < -LEAST_GAIN:
-                found = dict(all_undone(word, self.chains))
+                found = dict(all_undone(word, self.readings))
                 if len(ps := parts_of(word)) > 1:
                     for p in ps:
                         if not p.isascii():
-                            for chain, restored in all_undone(p, self.chains):
+                            for chain, restored in all_undone(p, self.readings):
                                 found.setdefault(chain, word.replace(p, restored))
                 gains: dict[str, float] = {}
                 for chain, restored in found.items():
+                    # A byte-for-byte chain that makes up characters no text has explains nothing.
+                    if not chain.startswith("utf-8") and any(self.uni[ord(c) % UNI] < 1 for c in restored.lower() if c > "\x7f" and c not in word):
+                        continue
                     if restored not in gains:
                         gains[restored] = self.log_p(restored)[0] - own
                     if gains[restored] > -2:
