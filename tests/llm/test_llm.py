@@ -217,6 +217,31 @@ def test_copies_and_chains(spark):
     assert d == {0: (52, 3)}
 
 
+def test_typical_pages_are_those_with_many_alike(spark):
+    """Page 1 has one very close neighbour (2) and page 0; page 0 is alike to 12 pages that are not alike to each other."""
+    e = np.eye(64)
+    close = 0.85 * e[0] + 0.52 * e[1]
+    rows = [(0, T0, e[0].tolist(), "s", "c", "k"), (1, T0, close.tolist(), "s", "c", "k"), (2, T0, (close + 0.01 * e[2]).tolist(), "s", "c", "k")]
+    rows += [(10 + i, T0, (0.85 * e[0] + 0.52 * e[10 + i]).tolist(), "s", "c", "k") for i in range(12)]
+    (row,) = mc.describe_clusters(mc.similarity_clusters(spark.createDataFrame(rows, VEC)), members=1).collect()
+    assert (row["cluster"], row["size"], row["typical"]) == (0, 15, [0])
+
+
+def test_strength_comes_from_the_flow(spark, monkeypatch):
+    """Chains of pages, each alike to the next only: the groups are the same whatever flows, the strength is not."""
+    rows = []
+    for g, n in ((0, 9), (100, 6)):
+        turn = [np.eye(64)[g // 10] * np.cos(0.55 * k) + np.eye(64)[g // 10 + 1] * np.sin(0.55 * k) for k in range(n)]
+        rows += [(g + k, T0, v.tolist(), "s", "c", "k") for k, v in enumerate(turn)]
+    df, want = spark.createDataFrame(rows, VEC), clusters_of(np.array([r[2] for r in rows]), [r[0] for r in rows])
+    one = {r["page_id"]: (r["cluster"], round(r["strength"], 6)) for r in mc.similarity_clusters(df, probes=3).collect()}
+    still = lambda edges: edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().select("node", F.col("node").alias("attractor"), F.lit(1.0).alias("flow"))
+    monkeypatch.setattr(mc, "markov_cluster", still)
+    two = {r["page_id"]: (r["cluster"], round(r["strength"], 6)) for r in mc.similarity_clusters(df, probes=3).collect()}
+    assert {(c, p) for p, (c, _) in one.items() if p != c} == {(c, p) for p, (c, _) in two.items() if p != c} == want
+    assert one != two
+
+
 def test_close_to_the_threshold(spark):
     rng = np.random.default_rng(4)
     rows, n = [], 0
