@@ -278,6 +278,18 @@ def test_coarse_pivots_find_what_flat_ones_find():
     assert (near >= 0).all() and np.mean([len(set(a) & set(b)) > 0 for a, b in zip(near, flat)]) > 0.6
 
 
+@pytest.mark.parametrize("n_pivots", [3, 700, 7001])
+def test_cells_are_of_the_nearest_pivots_at_any_size(spark, n_pivots):
+    codes = [v.astype(np.int8).tobytes() for v in np.random.default_rng(3).integers(-100, 100, size=(n_pivots + 200, 64))]
+    pivots = sorted(codes[:n_pivots])
+    df = spark.createDataFrame([(i, bytearray(c), 1) for i, c in enumerate(codes[-200:])], "page_id long, code binary, n long")
+    got: dict = {}
+    for r in mc._cells(df, pivots, 4).collect():
+        got.setdefault(r["page_id"], set()).add(r["cell"])
+    sims = mc._unit(codes[-200:]) @ mc._unit(pivots).T
+    assert got == {i: set(np.argsort(-s)[:4].tolist()) for i, s in enumerate(sims)}
+
+
 # problem 2
 
 
