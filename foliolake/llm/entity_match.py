@@ -4,6 +4,7 @@ Names are read into (title, volume, issue, page); titles of both sides are resol
 Then each rule joins on a weaker combination of attributes the records that no earlier rule resolved: images left over with all
 analyses, and analyses left over with all images, so that second scans and second analyses of a page are found too. Where a rule
 leaves several pages open, image sizes decide (a scan and its reduced copy keep their proportions), or nothing is matched.
+At the end each image meets all analyses of the pages it was matched to, whichever rules resolved the two.
 
 A pair's confidence is its rule's precision on labelled pairs, smoothed: (right + 1) / (labelled + 2).
 """
@@ -202,6 +203,12 @@ def match_pages(images: DataFrame, docs: DataFrame, labels: DataFrame | None = N
         p = p.select("image_id", "record_id", F.lit(name).alias("rule"), F.lit(sized).alias("sized"), "agree", "panels_off")
         p = materialize(p, "pairs")
         found = p if found is None else found.unionByName(p)
+    same_page = ["class", "volume", "issue", "page"]
+    shown = found.select("image_id", "record_id").join(d_all.select("record_id", *same_page), "record_id").select("image_id", *same_page).distinct()
+    shown = shown.join(im.select("image_id", "width", "height", "panels"), "image_id").select("*", F.lit("title").alias("kind"), F.lit(None).cast("boolean").alias("one_volume"))
+    p = pairs(shown, d_all, same_page).join(found.select("image_id", "record_id"), ["image_id", "record_id"], "left_anti").dropDuplicates(["image_id", "record_id"])
+    p = p.select("image_id", "record_id", F.lit("page of another pair").alias("rule"), F.lit(False).alias("sized"), "agree", "panels_off")
+    found = found.unionByName(materialize(p, "pairs"))
     if labels is not None:
         told = found.join(labels.select("image_id", "record_id", "same"), ["image_id", "record_id"])
     else:

@@ -323,6 +323,13 @@ def test_matching_cascade(spark):
     assert all(0 < r["confidence"] <= 1 for r in got.values()) and got[("i7", 11)]["rule"].startswith("initials")
 
 
+def test_pages_resolved_under_two_spellings_meet(spark):
+    images = [image(1, "The Stone Kite v01 003 - p007.jpg"), image(2, "The Stnoe Kite v01 003 - p007.png"), image(3, "The Stone Kite v01 003 - p008.jpg")]
+    docs = [analysis(1, "/mnt/scans/the_stone_kite/v01/003/page_007.webp"), analysis(2, "/mnt/scans/the_stnoe_kite/v01/003/page_007.webp", (500, 750)), analysis(3, "/mnt/scans/the_stone_kite/v01/003/page_008.webp")]
+    got = matches(spark, images, docs)
+    assert set(got) == {("i1", 1), ("i1", 2), ("i2", 1), ("i2", 2), ("i3", 3)}
+
+
 def test_volume_is_decided_by_size(spark):
     path = lambda v, p: f"/mnt/scans/night_harbour/v{v:02d}/002/page_{p:03d}.jpg"
     docs = [analysis(1, path(1, 5), (1000, 1500)), analysis(2, path(2, 5), (1400, 1900)), analysis(3, path(2, 6), None)]
