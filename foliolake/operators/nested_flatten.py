@@ -41,12 +41,14 @@ FLAT_SCHEMA = (
 )
 
 
-def list_role(name: str, value: object) -> str | None:
-    """'text', 'speakers' or None for a member of a panel: by its name, else by what the objects in it look like."""
-    if name in TEXT_LISTS:
-        return "text"
-    if name in SPEAKER_LISTS:
-        return "speakers"
+def list_role(name: str, value: object, before: str | None = None) -> str | None:
+    """'text', 'speakers' or None for a member of a panel: by its name, by the name it had ``before`` the renames of its feed, else by
+    what the objects in it look like."""
+    for known in (name, before):
+        if known in TEXT_LISTS:
+            return "text"
+        if known in SPEAKER_LISTS:
+            return "speakers"
     if name in PANEL_MEMBERS:
         return None
     if isinstance(value, dict):
@@ -127,6 +129,7 @@ def _flat_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         if not pages:
             continue
         panels = [panels_of(panel_list(p)[1]) for p in pages]
+        before = [{y["k"]: y["v"] for y in x or []} for x in batch.column("names").take(keep).to_pylist()]
         page_key = _strings([None if p.get("canonical_id") is None else _flat_text(p["canonical_id"]) for p in pages])
         summary = _strings([_flat_text(p["error"] if "error" in p else p.get("overall_summary")) for p in pages])
         n = len(pages)
@@ -153,10 +156,10 @@ def _flat_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             schema=schema,
         )
         roles: dict[str, list[list]] = {"text": [], "speakers": []}
-        for x in fields:
+        for x, at in zip(fields, parent.to_pylist()):
             own: dict[str, list] = {"text": [], "speakers": []}
             for name, value in x.items():
-                if role := list_role(name, value):
+                if role := list_role(name, value, before[at].get(name)):
                     own[role].extend(items_of(value))
             for role, items in own.items():
                 roles[role].append(items)
@@ -176,14 +179,28 @@ def _flat_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             )
 
 
-def flatten_pages(docs: DataFrame) -> DataFrame:
+def renamed_lists(maps: DataFrame) -> DataFrame:
+    """(feed, file_seq, names) of the files in which a list goes by a new name: ``maps`` (of ``schema_drift.name_maps``) without all other
+    files and names."""
+    lists = [*sorted(TEXT_LISTS), *sorted(SPEAKER_LISTS)]
+    new = F.filter("names", lambda x: x["v"].isin(lists) & ~x["k"].isin(lists))
+    return maps.select("feed", "file_seq", new.alias("names")).filter(F.size("names") > 0)
+
+
+def flatten_pages(docs: DataFrame, renamed: DataFrame | None = None) -> DataFrame:
     """One tagged table of all four levels (``kind``: page, panel, text, speakers); each row names its parents.
 
     ``docs`` has ``record_id`` and ``doc``; other columns are ignored. A document that is null, empty, broken off or no object
     gives no row. A page has its panel count in ``panel_pos`` and its summary (or error) in ``content``. Rows delivered twice come
     out twice here: :func:`flat_table` removes repeats. Nulls among panels and items keep their position and have a null content.
+    ``renamed``: the lists' new names by file (of :func:`renamed_lists`, then ``docs`` has ``feed`` and ``file_seq`` too). Without it, or in
+    a feed whose first file has a new name, a list of new name is known by its objects only.
     """
-    return spread(docs.select("record_id", "doc")).mapInArrow(_flat_batches, FLAT_SCHEMA)
+    if renamed is None:
+        given = spread(docs.select("record_id", "doc")).withColumn("names", F.lit(None).cast("array<struct<k:string,v:string>>"))
+    else:
+        given = spread(docs.select("record_id", "doc", "feed", "file_seq")).join(renamed, ["feed", "file_seq"], "left").select("record_id", "doc", "names")
+    return given.mapInArrow(_flat_batches, FLAT_SCHEMA)
 
 
 def flat_table(flat: DataFrame, kind: str) -> DataFrame:

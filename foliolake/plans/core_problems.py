@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliolake.operators.nested_flatten import flat_table, flatten_pages, items_with_words
+from foliolake.operators.nested_flatten import flat_table, flatten_pages, items_with_words, renamed_lists
 from foliolake.operators.schema_drift import consistent_panels, file_profiles, name_maps, reported_changes, schema_changes
 from foliolake.operators.skew_agg import heavy_keys, skewed_group_stats
 from foliolake.runtime import materialize, table
@@ -37,7 +37,11 @@ def p6_series_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flatten_pages(table(spark, sf_dir, "vlm_docs"))
+    """The lists of a panel keep their role through the renames that problem 1 finds for a panel's own fields."""
+    docs = table(spark, sf_dir, "vlm_docs")
+    profiles = materialize(file_profiles(docs), "p7_profiles")
+    changes = schema_changes(profiles).filter(F.size(F.split("field_path", r"\.")) <= 2)
+    return flatten_pages(docs, materialize(renamed_lists(name_maps(profiles, changes)), "p7_renamed"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -177,6 +177,23 @@ def test_items_with_words(spark):
     assert nf.flat_table(flat, "panel").count() == 3 + 2 + 4 + 3
 
 
+def test_lists_keep_their_role_through_renames(spark, tmp_path):
+    """Plain strings, a list of lists and a single string under names that tell nothing, one of them a fixed member's name."""
+    from foliolake.plans.core_problems import p7_found
+
+    names = {1: ("text_content", "speakers"), 2: ("scrawl", "heard"), 3: ("items", "scene")}
+    rows, want = [], set()
+    for seq, (text, who) in names.items():
+        for i in range(12):
+            said = [f"{WORDS[i % 4]} by the door", ["to", f"{MOODS[i % 4]} night"]] if i % 3 else f"{WORDS[i % 4]} by the door"
+            panel = {"caption": f"cap {MOODS[(i + 1) % 4]} roof", text: said, who: f"captain {i % 2} shouts orders"}
+            rows.append((seq * 100 + i, "f", seq, json.dumps({"canonical_id": f"c{i}", "panels": [panel] * 2})))
+            for pos in (1, 2):
+                want |= {(seq * 100 + i, pos, "text", k) for k in range(1, 3 if i % 3 else 2)} | {(seq * 100 + i, pos, "speakers", 1)}
+    docs(spark, rows).write.parquet(str(tmp_path / "vlm_docs.parquet"))
+    assert {tuple(r) for r in p7_found(spark, str(tmp_path)).collect()} == want
+
+
 def test_long_text_and_many_items(spark):
     doc = json.dumps({"panels": [{"text_content": [{"text": "w " * 200_000}] * 3}]})
     assert nf.items_with_words(nf.flatten_pages(docs(spark, [(1, "f", 1, doc)]))).count() == 3
