@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +67,55 @@ def list_role(name: str, value: object, before: str | None = None) -> str | None
     return "text" if any(k in first for k in TEXT_WORDS) else None
 
 
+def in_fixed_shape(page: dict) -> dict:
+    """The document with the names of the reference's fixed shape: ``panels`` with description, caption, text_content (text, speaker) and
+    speakers (dialogue). What has its fixed name already stays, and so does what is in no known place."""
+
+    def renamed(part: dict, to: dict[str, str]) -> dict:
+        return {to.get(k, k): v for k, v in part.items()}
+
+    def first(part: dict, name: str, others: Iterable[str]) -> dict[str, str]:
+        return {} if name in part else dict.fromkeys([k for k in others if k in part][:1], name)
+
+    def item(value: object, role: str) -> object:
+        if not isinstance(value, dict):
+            return value
+        if role == "text":
+            return renamed(value, first(value, "text", TEXT_WORDS) | first(value, "speaker", ("said_by", "character", "who")))
+        return renamed(value, first(value, "dialogue", SPEAKER_WORDS))
+
+    def panel(value: object) -> object:
+        if not isinstance(value, dict):
+            return value
+        roles = {k: list_role(k, v) for k, v in value.items()}
+        value = {k: [item(x, roles[k]) for x in v] if roles[k] and isinstance(v, list) else v for k, v in value.items()}
+        to = first(value, "description", ("panel_description", "scene")) | first(value, "caption", ("caption_text", "narration_box"))
+        to |= first(value, "text_content", [k for k, x in roles.items() if x == "text"]) | first(value, "speakers", [k for k, x in roles.items() if x == "speakers"])
+        return renamed(value, to)
+
+    name, panels = ("panels", page["panels"]) if "panels" in page else panel_list(page)
+    if isinstance(panels, list):
+        panels = [panel(x) for x in panels]
+    elif isinstance(panels, dict):
+        panels = {k: panel(x) for k, x in panels.items()}
+    return {"panels" if k == name else k: panels if k == name else v for k, v in page.items()}
+
+
+def fixed_shape(docs: DataFrame) -> DataFrame:
+    """(record_id, doc): the documents in the fixed shape; those in it already, and those that don't parse, as they are."""
+
+    def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc in batch.column("doc").to_pylist():
+                page = read_doc(doc)
+                fixed = page and in_fixed_shape(page)
+                out.append(doc if fixed == page else json.dumps(fixed, ensure_ascii=False))
+            yield pa.record_batch([batch.column("record_id"), _strings(out)], names=["record_id", "doc"])
+
+    return spread(docs.select("record_id", "doc")).mapInArrow(rename, "record_id long, doc string")
+
+
 def items_of(value: object) -> list:
     """The items in document order, nulls and blanks included: an object of lists counts on through its lists, a list within the
     list is one item, a single string is the only item."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from foliolake.functions import json_repair as R
 from foliolake.functions import page_text as T
 from foliolake.operators import label_rules
+from foliolake.operators.nested_flatten import fixed_shape
 from foliolake.runtime import table
 
 C = F.col
@@ -14,7 +15,7 @@ C = F.col
 
 def _pages(spark, d):
     docs = table(spark, d, "vlm_docs").select("record_id", "doc").filter("doc is not null").dropDuplicates(["record_id"])
-    return T.pages(docs, R.repaired(C("doc")))
+    return T.pages(fixed_shape(docs.select("record_id", R.repaired(C("doc")).alias("doc"))), C("doc"))
 
 
 def _panels(spark, d):

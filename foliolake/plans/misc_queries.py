@@ -12,7 +12,7 @@ from foliolake.functions import scalars as S
 from foliolake.functions.vlm_json import panel_list, panels_of, read_doc
 from foliolake.operators import hooks
 from foliolake.operators.boxes import reading_order
-from foliolake.operators.nested_flatten import flatten_pages
+from foliolake.operators.nested_flatten import fixed_shape, flatten_pages
 from foliolake.plans.box_queries import _B, _boxes
 from foliolake.plans.pipeline_queries import _length_engine
 from foliolake.plans.relational_queries import _labels
@@ -56,7 +56,8 @@ def probe_panels(spark, d):
 def speech_lengths(spark, d):
     """Length of speaker lines by kind of speech."""
     docs = table(spark, d, "vlm_docs").select("record_id", "doc").filter("doc is not null").dropDuplicates(["record_id"])
-    j = docs.select(F.from_json(R.repaired(C("doc")), "panels array<struct<speakers:array<struct<dialogue:string,speech_type:string>>>>").alias("p"))
+    docs = fixed_shape(docs.select("record_id", R.repaired(C("doc")).alias("doc")))
+    j = docs.select(F.from_json("doc", "panels array<struct<speakers:array<struct<dialogue:string,speech_type:string>>>>").alias("p"))
     s = j.select(F.explode("p.panels").alias("p")).select(F.explode("p.speakers").alias("s")).filter("s.dialogue is not null")
     return s.groupBy(S.speech_kind(F.coalesce("s.speech_type", F.lit(""))).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("s.dialogue")).alias("chars"))
 

@@ -194,6 +194,18 @@ def test_lists_keep_their_role_through_renames(spark, tmp_path):
     assert {tuple(r) for r in p7_found(spark, str(tmp_path)).collect()} == want
 
 
+def test_text_views_read_documents_of_any_shape(spark, tmp_path):
+    from foliolake.plans.json_queries import vlm_dialogue_lines, vlm_panel_text
+    from foliolake.plans.misc_queries import speech_lengths
+
+    fixed = {"panels": [{"description": "A roof", "text_content": [{"text": "hi", "speaker": "Ann"}], "speakers": [{"character": "Ann", "dialogue": "hi"}]}]}
+    other = {"page_panels": [{"scene": "A roof", "lettering": [{"words": "hi", "said_by": "Ann"}], "voices": [{"who": "Ann", "line": "hi"}]}]}
+    docs(spark, [(1, "f", 1, json.dumps(fixed)), (2, "f", 2, json.dumps(other))]).write.parquet(str(tmp_path / "vlm_docs.parquet"))
+    assert {tuple(r) for r in vlm_panel_text(spark, str(tmp_path)).collect()} == {(i, 0, "A roof hi") for i in (1, 2)}
+    assert {tuple(r) for r in vlm_dialogue_lines(spark, str(tmp_path)).collect()} == {(i, 0, 0, "Ann: hi") for i in (1, 2)}
+    assert [(r["n"], r["chars"]) for r in speech_lengths(spark, str(tmp_path)).collect()] == [(2, 4)]
+
+
 def test_long_text_and_many_items(spark):
     doc = json.dumps({"panels": [{"text_content": [{"text": "w " * 200_000}] * 3}]})
     assert nf.items_with_words(nf.flatten_pages(docs(spark, [(1, "f", 1, doc)]))).count() == 3
