@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliolake.operators.nested_flatten import flat_table, flatten_pages, items_with_words, renamed_lists
 from foliolake.operators.schema_drift import consistent_panels, file_profiles, name_maps, reported_changes, schema_changes
-from foliolake.operators.skew_agg import heavy_keys, skewed_group_stats
+from foliolake.operators.skew_agg import heavy_keys, key_counts, skewed_group_stats
 from foliolake.runtime import materialize, table
 
 
@@ -28,7 +28,7 @@ def p1_consistent_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return heavy_keys(skewed_group_stats(table(spark, sf_dir, "page_vectors")))
+    return heavy_keys(key_counts(table(spark, sf_dir, "page_vectors")))
 
 
 def p6_series_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
