@@ -1,9 +1,10 @@
 """Deeply nested page documents as flat tables of pages, panels, speaker lines and text items.
 
-Each document's JSON is parsed once. From there on a batch is columnar: the panels of all documents, and the items of all
-panels, stand in one Arrow list array for each level; its offsets give every child's position, its parent indices the row
-above, and keys travel down by a vectorised ``take``. The four tables come from one pass as one tagged stream, so a caller
-that filters by ``kind`` prunes nothing it needs and shuffles nothing.
+No document is read by itself: a structural index (:mod:`foliolake.functions.json_index`) over the bytes of an Arrow batch gives all
+its JSON values at once, with parent indices and offsets. The panels of all documents and the items of all panels are taken from it by
+array kernels, a child's position is its place in its list, and keys travel down by a vectorised ``take``. The four tables come from
+one pass as one tagged stream, so a caller that filters by ``kind`` prunes nothing it needs and shuffles nothing. :func:`list_role`,
+:func:`items_of` and :func:`item_words` say the same for one document; the tests hold the kernels against them.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliolake.functions.vlm_json import panel_list, panels_of, read_doc
+from foliolake.functions.json_index import ARRAY, OBJECT, STRING, JsonIndex, indexed, place_in_group
+from foliolake.functions.vlm_json import PAGE_MEMBERS, panel_list, read_doc
 from foliolake.runtime import spread
 
 #: Names the two lists of a panel go by.
@@ -111,7 +113,7 @@ def fixed_shape(docs: DataFrame) -> DataFrame:
                 page = read_doc(doc)
                 fixed = page and in_fixed_shape(page)
                 out.append(doc if fixed == page else json.dumps(fixed, ensure_ascii=False))
-            yield pa.record_batch([batch.column("record_id"), _strings(out)], names=["record_id", "doc"])
+            yield pa.record_batch([batch.column("record_id"), pa.array(out, pa.string())], names=["record_id", "doc"])
 
     return spread(docs.select("record_id", "doc")).mapInArrow(rename, "record_id long, doc string")
 
@@ -129,14 +131,17 @@ def items_of(value: object) -> list:
     return [] if value is None else [value]
 
 
+def _leaves(value: object) -> Iterator[str]:
+    if isinstance(value, (list, dict)):
+        for x in value.values() if isinstance(value, dict) else value:
+            yield from _leaves(x)
+    elif value is not None:
+        yield value if isinstance(value, str) else json.dumps(value)
+
+
 def _flat_text(value: object) -> str:
-    if isinstance(value, str):
-        return value
-    if isinstance(value, list):
-        return " ".join(_flat_text(x) for x in value if x is not None)
-    if isinstance(value, dict):
-        return " ".join(_flat_text(x) for x in value.values() if x is not None)
-    return "" if value is None else json.dumps(value)
+    """All strings, numbers and truth values in a value, joined by blanks; "" for null."""
+    return " ".join(_leaves(value))
 
 
 def item_words(item: object, names: tuple[str, ...]) -> tuple[str | None, str | None]:
@@ -151,81 +156,209 @@ def item_words(item: object, names: tuple[str, ...]) -> tuple[str | None, str |
     return None, _flat_text(item)
 
 
-def _child_positions(lists: pa.ListArray) -> np.ndarray:
-    """1, 2, ... within each list, from the offsets alone."""
-    offsets = lists.offsets.to_numpy()
-    n = int(offsets[-1] - offsets[0])
-    lengths = np.diff(offsets)
-    return (np.arange(n) - np.repeat(offsets[:-1] - offsets[0], lengths) + 1).astype(np.int32)
-
+#: A batch is worked on in pieces of about this many bytes, which bounds the index arrays of a task.
+PIECE = 8 << 20
+_SCHEMA = pa.schema(
+    [("kind", pa.string()), ("record_id", pa.int64()), ("canonical_id", pa.string()), ("panel_pos", pa.int32()), ("panel_number", pa.string()),
+     ("item_pos", pa.int32()), ("label", pa.string()), ("content", pa.string()), ("has_word", pa.bool_())]
+)
+_NUMBER, _TOLD, _WHO = ("panel_number", "panel_no", "panel_id"), ("description", "panel_description", "scene"), ("speaker", "said_by", "character", "who")
+_PLAIN, _TEXT, _SPEAKERS = 0, 1, 2
+
+
+def _optional(ix: JsonIndex, chosen: np.ndarray) -> pa.Array:
+    """The flat text of each chosen value, null for -1."""
+    have = chosen >= 0
+    rows = np.flatnonzero(have)
+    return pc.if_else(pa.array(have), ix.flat_texts(chosen[rows], rows, len(chosen)), pa.scalar(None, pa.string()))
+
+
+def _has_word(content: pa.Array) -> pa.Array:
+    return pc.fill_null(pc.not_equal(pc.utf8_trim_whitespace(content), ""), False)
+
+
+def _panel_lists(ix: JsonIndex, pages: np.ndarray) -> np.ndarray:
+    """Number of each page's panel list (as ``vlm_json.panel_list``), -1 where there is none."""
+    inner = np.zeros(len(ix.doc), bool)
+    objects = np.flatnonzero((ix.kind == OBJECT) & (ix.parent >= 0))
+    inner[ix.parent[objects]] = True
+    members = np.flatnonzero((ix.level == 1) & ~ix.codes(PAGE_MEMBERS)[ix.key])
+    out = np.full(len(ix.doc), -1)
+    spare = members[ix.null[members] | (ix.kind[members] == OBJECT) | (ix.kind[members] == ARRAY)]
+    # Written from the last to the first, so the first stays; those that hold objects come before all others.
+    for own in (spare, members[inner[members]]):
+        out[ix.parent[own[::-1]]] = own[::-1]
+    return out[pages]
+
+
+def _field_roles(ix: JsonIndex, fields: np.ndarray, names: pa.Array | None) -> np.ndarray:
+    """The role of each panel field (as :func:`list_role`). ``names``: for each document the earlier names of its lists."""
+    known = np.select([ix.codes(TEXT_LISTS), ix.codes(SPEAKER_LISTS), ix.codes(PANEL_MEMBERS)], [_TEXT, _SPEAKERS, 3], -1)
+    role = known[ix.key[fields]]
+    if names is not None and len(pairs := names.flatten()):
+        # (document, name) -> role of the name it had before.
+        of_doc = pc.list_parent_indices(names).to_numpy()
+        code = pc.fill_null(pc.index_in(pairs.field("k"), pa.array([*ix.names, ""], pa.string())), -1).to_numpy()
+        was = np.array([_TEXT if v in TEXT_LISTS else _SPEAKERS if v in SPEAKER_LISTS else 0 for v in pairs.field("v").to_pylist()])
+        use = (code >= 0) & (was > 0)
+        width = len(ix.names) + 1
+        keys, was = (of_doc * width + code)[use], was[use]
+        order = np.argsort(keys)
+        keys, was = keys[order], was[order]
+        mine = ix.doc[fields] * width + ix.key[fields]
+        at = np.minimum(np.searchsorted(keys, mine), max(len(keys) - 1, 0))
+        if len(keys):
+            role = np.where((role != _TEXT) & (role != _SPEAKERS) & (keys[at] == mine), was[at], role)
+    role[role == 3] = _PLAIN
+    new = fields[role < 0]
+    if len(new):
+        role[role < 0] = _roles_by_content(ix, new)
+    return role
+
+
+def _roles_by_content(ix: JsonIndex, fields: np.ndarray) -> np.ndarray:
+    n = len(ix.doc)
+    mine = np.zeros(n, bool)
+    mine[fields] = True
+    inside = ix.children(mine)
+    up = ix.parent[inside]
+
+    def any_of(hit: np.ndarray, parents: np.ndarray) -> np.ndarray:
+        out = np.zeros(n, bool)
+        out[parents[hit]] = True
+        return out
 
-def _strings(values: list) -> pa.Array:
-    return pa.array(values, pa.string())
+    # An object of lists of strings: texts by kind.
+    said = np.flatnonzero((ix.kind == STRING) & (ix.parent >= 0))
+    holds_string = any_of(np.ones(len(said), bool), ix.parent[said])
+    listy = any_of((ix.kind[inside] == ARRAY) & holds_string[inside], up) & ~any_of((ix.kind[inside] != ARRAY) & ~ix.null[inside], up)
+    # A list of objects: by the members of the first.
+    first = np.full(n, -1)
+    objects = inside[ix.kind[inside] == OBJECT][::-1]
+    first[ix.parent[objects]] = objects
+    lead = np.zeros(n, bool)
+    lead[first[fields][first[fields] >= 0]] = True
+    members = ix.children(lead)
+    speaks = any_of(ix.codes(("character", "who", "speech_type", "dialogue", "line"))[ix.key[members]], ix.parent[members])
+    tells = any_of(ix.codes(TEXT_WORDS)[ix.key[members]], ix.parent[members])
+    # A list of strings: lines that begin with a name.
+    strings = inside[ix.kind[inside] == STRING]
+    strings = strings[(ix.kind[ix.parent[strings]] == ARRAY) & (first[ix.parent[strings]] < 0)]
+    named = pc.match_substring_regex(ix.strings(strings), r"^\p{L}[^:]{0,40}: \S").to_numpy(zero_copy_only=False)
+    lines = any_of(named, ix.parent[strings]) & ~any_of(~named, ix.parent[strings])
+    array, lead_of = ix.kind[fields] == ARRAY, first[fields]
+    return np.select(
+        [(ix.kind[fields] == OBJECT) & listy[fields], array & (lead_of >= 0) & speaks[lead_of], array & (lead_of >= 0) & tells[lead_of], array & lines[fields]],
+        [_TEXT, _SPEAKERS, _TEXT, _SPEAKERS], _PLAIN,
+    )
 
 
-def _flat_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema(
-        [("kind", pa.string()), ("record_id", pa.int64()), ("canonical_id", pa.string()), ("panel_pos", pa.int32()), ("panel_number", pa.string()),
-         ("item_pos", pa.int32()), ("label", pa.string()), ("content", pa.string()), ("has_word", pa.bool_())]
+def _items(ix: JsonIndex, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(items, place of its list among ``lists``), as :func:`items_of`: in the order of the documents."""
+    at = np.full(len(ix.doc), -1)
+    at[lists] = np.arange(len(lists))
+    single = lists[~ix.null[lists] & (ix.kind[lists] != ARRAY) & (ix.kind[lists] != OBJECT)]
+    inside = ix.children(at >= 0)
+    by_kind = ix.kind[ix.parent[inside]] == OBJECT
+    parts = inside[by_kind]
+    at[parts] = at[ix.parent[parts]]
+    below = np.zeros(len(ix.doc), bool)
+    below[parts[ix.kind[parts] == ARRAY]] = True
+    items = np.concatenate([single, inside[~by_kind], parts[(ix.kind[parts] != ARRAY) & ~ix.null[parts]], ix.children(below)])
+    items.sort()
+    direct = np.isin(items, single) | np.isin(items, parts)
+    return items, np.where(direct, at[items], at[ix.parent[items]])
+
+
+def _item_texts(ix: JsonIndex, items: np.ndarray, names: tuple[str, ...]) -> tuple[pa.Array, pa.Array]:
+    """(who, text) of each item, as :func:`item_words`."""
+    mine = np.zeros(len(ix.doc), bool)
+    mine[items[ix.kind[items] == OBJECT]] = True
+    label = _optional(ix, ix.first_named(mine, _WHO)[items])
+    best = ix.first_named(mine, names, nulls=True)[items]
+    plain = ~mine[items]
+    own = np.where(plain, items, best)
+    # Without a known member, all that is no label.
+    at = np.full(len(ix.doc), -1)
+    at[items] = np.arange(len(items))
+    free = ix.children(mine)
+    free = free[(best[at[ix.parent[free]]] < 0) & ~ix.codes(ITEM_LABELS)[ix.key[free]]]
+    chosen = own >= 0
+    values, owner = np.concatenate([own[chosen], free]), np.concatenate([np.flatnonzero(chosen), at[ix.parent[free]]])
+    order = np.lexsort([values, owner])
+    content = ix.flat_texts(values[order], owner[order], len(items))
+    nothing = chosen & ix.null[np.maximum(own, 0)]
+    return label, pc.if_else(pa.array(nothing), pa.scalar(None, pa.string()), content)
+
+
+def _flat_pieces(ix: JsonIndex, ids: pa.Array, names: pa.Array | None) -> Iterator[pa.RecordBatch]:
+    pages = np.flatnonzero(ix.level == 0)
+    if not len(pages):
+        return
+    record = ids.take(pa.array(ix.doc[pages]))
+    is_page = ix.level == 0
+    page_key = _optional(ix, ix.first_named(is_page, ("canonical_id",))[pages])
+    error = ix.first_named(is_page, ("error",), nulls=True)[pages]
+    summary = pc.fill_null(_optional(ix, np.where(error >= 0, error, ix.first_named(is_page, ("overall_summary",))[pages])), "")
+    held = _panel_lists(ix, pages)
+    page_of = np.full(len(ix.doc), -1)
+    page_of[held[held >= 0]] = np.flatnonzero(held >= 0)
+    panels = ix.children(page_of >= 0)
+    parent = page_of[ix.parent[panels]]
+    n = len(pages)
+    yield pa.record_batch(
+        [pa.array(["page"] * n), record, page_key, pa.array(np.bincount(parent, minlength=n).astype(np.int32)), pa.nulls(n, pa.string()), pa.nulls(n, pa.int32()),
+         pc.if_else(pa.array(error >= 0), "error", pa.scalar(None, pa.string())), summary, _has_word(summary)],
+        schema=_SCHEMA,
     )
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        ids, docs = batch.column("record_id"), [read_doc(x) for x in batch.column("doc").to_pylist()]
-        keep = pa.array([i for i, d in enumerate(docs) if d is not None], pa.int64())
-        record = ids.take(keep)
-        pages = [d for d in docs if d is not None]
-        if not pages:
-            continue
-        panels = [panels_of(panel_list(p)[1]) for p in pages]
-        before = [{y["k"]: y["v"] for y in x or []} for x in batch.column("names").take(keep).to_pylist()]
-        page_key = _strings([None if p.get("canonical_id") is None else _flat_text(p["canonical_id"]) for p in pages])
-        summary = _strings([_flat_text(p["error"] if "error" in p else p.get("overall_summary")) for p in pages])
-        n = len(pages)
-        yield pa.record_batch(
-            [pa.array(["page"] * n), record, page_key, pa.array([len(x) for x in panels], pa.int32()), pa.nulls(n, pa.string()),
-             pa.nulls(n, pa.int32()), _strings(["error" if "error" in p else None for p in pages]), summary,
-             pa.array([bool(x and x.strip()) for x in summary.to_pylist()])],
-            schema=schema,
-        )
-        flat: list = [x for row in panels for x in row]
-        level = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, panels)]), pa.int32()), pa.nulls(len(flat)))
-        if not flat:
+    m = len(panels)
+    if not m:
+        return
+    pos = pa.array((place_in_group(parent) + 1).astype(np.int32))
+    is_panel = np.zeros(len(ix.doc), bool)
+    is_panel[panels[ix.kind[panels] == OBJECT]] = True
+    number, told = (_optional(ix, ix.first_named(is_panel, x)[panels]) for x in (_NUMBER, _TOLD))
+    up = pa.array(parent)
+    rid, cid = record.take(up), page_key.take(up)
+    yield pa.record_batch(
+        [pa.array(["panel"] * m), rid, cid, pos, number, pa.nulls(m, pa.int32()), pc.if_else(pa.array(~ix.null[panels]), "panel", pa.scalar(None, pa.string())), told, _has_word(told)],
+        schema=_SCHEMA,
+    )
+    place = np.full(len(ix.doc), -1)
+    place[panels] = np.arange(m)
+    fields = ix.children(is_panel)
+    roles = _field_roles(ix, fields, names)
+    for kind, role, words in (("text", _TEXT, TEXT_WORDS), ("speakers", _SPEAKERS, SPEAKER_WORDS)):
+        lists = fields[roles == role]
+        items, of_list = _items(ix, lists)
+        if not len(items):
             continue
-        parent = pc.list_parent_indices(level)  # page of each panel
-        pos = pa.array(_child_positions(level))
-        fields = [x if isinstance(x, dict) else {} for x in flat]
-        number = _strings([next((_flat_text(x[k]) for k in ("panel_number", "panel_no", "panel_id") if x.get(k) is not None), None) for x in fields])
-        told = _strings([next((_flat_text(x[k]) for k in ("description", "panel_description", "scene") if x.get(k) is not None), None) for x in fields])
-        rid, cid = record.take(parent), page_key.take(parent)
-        m = len(flat)
+        panel = place[ix.parent[lists]][of_list]
+        label, content = _item_texts(ix, items, words)
+        above = pa.array(panel)
         yield pa.record_batch(
-            [pa.array(["panel"] * m), rid, cid, pos, number, pa.nulls(m, pa.int32()), _strings([None if x is None else "panel" for x in flat]), told,
-             pa.array([bool(x and x.strip()) for x in told.to_pylist()])],
-            schema=schema,
+            [pa.array([kind] * len(items)), rid.take(above), cid.take(above), pos.take(above), number.take(above), pa.array((place_in_group(panel) + 1).astype(np.int32)),
+             label, content, _has_word(content)],
+            schema=_SCHEMA,
         )
-        roles: dict[str, list[list]] = {"text": [], "speakers": []}
-        for x, at in zip(fields, parent.to_pylist()):
-            own: dict[str, list] = {"text": [], "speakers": []}
-            for name, value in x.items():
-                if role := list_role(name, value, before[at].get(name)):
-                    own[role].extend(items_of(value))
-            for role, items in own.items():
-                roles[role].append(items)
-        for kind, names in (("text", TEXT_WORDS), ("speakers", SPEAKER_WORDS)):
-            lists = roles[kind]
-            items = [y for row in lists for y in row]
-            if not items:
-                continue
-            below = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]), pa.int32()), pa.nulls(len(items)))
-            up = pc.list_parent_indices(below)  # panel of each item
-            split = [item_words(y, names) for y in items]
-            content = [c for _, c in split]
-            yield pa.record_batch(
-                [pa.array([kind] * len(items)), rid.take(up), cid.take(up), pos.take(up), number.take(up), pa.array(_child_positions(below)),
-                 _strings([w for w, _ in split]), _strings(content), pa.array([bool(c and c.strip()) for c in content])],
-                schema=schema,
-            )
+
+
+def _flat_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        bytes_before = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column("doc")), 0).to_numpy(zero_copy_only=False))])
+        cuts = [0]
+        while cuts[-1] < batch.num_rows:
+            upto = np.searchsorted(bytes_before, bytes_before[cuts[-1]] + PIECE, "right") - 1
+            cuts.append(int(min(max(upto, cuts[-1] + 1), batch.num_rows)))
+        for lo, hi in zip(cuts, cuts[1:]):
+            part = batch.slice(lo, hi - lo)
+            ids, names = part.column("record_id"), part.column("names")
+            names = None if names.null_count == len(names) else names
+            whole, rest, numbers = indexed(part.column("doc"))
+            yield from _flat_pieces(whole, ids, names)
+            if rest is not None:
+                at = pa.array(numbers)
+                yield from _flat_pieces(rest, ids.take(at), None if names is None else names.take(at))
 
 
 def renamed_lists(maps: DataFrame) -> DataFrame:
