@@ -1,21 +1,23 @@
-"""Splits that keep related records together: an incremental component table with pointer jumping.
+"""Splits that keep related records together: an incremental component table that is persisted, with pointer jumping for merges.
 
-1. Distinct (series, issue) values are all that is compared: series that write one title share a key or a misprint's remainder,
-   an issue that names another series links the two.
-2. Components come from star rounds (:mod:`.components`); the table (member, component, split) is kept. A component with members
-   in the kept table keeps their split, a new one fills the deficits, one whose members have different splits is quarantined.
+1. A delivery's distinct (series, issue) values are all that is compared: series that write one title share a key or a misprint's
+   remainder, an issue that names another series links the two. Values that the table holds already are not compared again.
+2. The links join components of the table; star rounds (:mod:`.components`) jump the pointers of those a link touches, and the table's
+   new version is written. A component with members split before keeps their split, a new one fills the deficits, one whose members
+   have different splits is quarantined.
 3. New components above ``large`` of all records are few (at most 1 / ``large``) and placed one by one, greatest deficit first;
    all others fall to a split by the hash of their name, through thresholds found on a fixed number of hash buckets.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliolake.llm.components import connected_components
-from foliolake.llm.titles import misprint_pairs, title_keys
+from foliolake.llm.titles import misprint_pairs, remainders, title_keys
+from foliolake.operators.incremental import VersionedTable
 from foliolake.runtime import materialize
 
 HASH_BUCKETS = 4096
@@ -36,28 +38,62 @@ def issue_mentions(issue: Column) -> Column:
     return F.filter(F.array_distinct(F.concat(*found)), lambda k: k.isNotNull() & k.rlike(r"\p{L}"))
 
 
-def series_links(pages: DataFrame, *, series: str = "series", issue: str = "issue") -> DataFrame:
-    """(a, b): edges between title keys that must not be separated; a key without a relation has a loop to itself."""
-    pairs = pages.select(F.col(series).alias("series"), F.col(issue).alias("issue")).filter("series is not null").distinct()
-    keyed = pairs.select(_value_keys("series").alias("ks"), issue_mentions(F.col("issue")).alias("named")).withColumn("key", F.col("ks")[0])
-    keyed = materialize(keyed.distinct(), "titles")
-    alike = keyed.select("key", F.explode("ks").alias("other")).distinct()
-    keys = alike.select(F.col("other").alias("key")).distinct()
-    named = keyed.select("key", F.explode("named").alias("other")).distinct()
-    # A mention counts only if it is a title of the table, or a misprint of one.
-    near = materialize(misprint_pairs(keys.unionByName(named.select(F.col("other").alias("key")))), "misprints")
-    near_both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    title = keys.withColumnRenamed("key", "other")
-    known = named.join(title, "other", "left_semi").select(F.col("key").alias("a"), F.col("other").alias("b"))
-    misread = (
-        named.join(title, "other", "left_anti")
-        .join(near_both, F.col("other") == F.col("a"))
-        .join(title.withColumnRenamed("other", "hit"), F.col("b") == F.col("hit"), "left_semi")
-        .select(F.col("key").alias("a"), "b")
-    )
-    same = near.join(keys.withColumnRenamed("key", "a"), "a", "left_semi").join(keys.withColumnRenamed("key", "b"), "b", "left_semi")
-    loops = alike.select(F.col("key").alias("a"), F.col("other").alias("b"))
-    return known.unionByName(misread).unionByName(same.select("a", "b")).unionByName(loops).distinct()
+TABLE_SCHEMA = "series string, keys array<string>, rests array<bigint>, named array<string>, component string"
+
+
+def _told(pages: DataFrame, series: str, issue: str) -> DataFrame:
+    """(series, keys, rests, named): each distinct non-null value of ``series`` with its title keys, their remainders, and what its
+    issues name. Keys are worked out once for each value, mentions once for each distinct issue."""
+    pairs = materialize(pages.select(F.col(series).alias("series"), F.col(issue).alias("issue")).filter("series is not null").distinct(), "pairs")
+    values = pairs.select("series").distinct()
+    named = pairs.select("series", F.explode(issue_mentions(F.col("issue"))).alias("other")).groupBy("series").agg(F.collect_set("other").alias("named"))
+    keyed = values.join(named, "series", "left").withColumn("keys", _value_keys("series"))
+    rests = F.array_distinct(F.flatten(F.transform("keys", remainders)))
+    return keyed.select("series", "keys", rests.alias("rests"), F.coalesce("named", F.array().cast("array<string>")).alias("named"))
+
+
+def grow_components(known: DataFrame | None, pages: DataFrame, *, series: str = "series", issue: str = "issue") -> DataFrame:
+    """The component table (:data:`TABLE_SCHEMA`) of ``known``, that of earlier deliveries, and ``pages``: a row for each value of
+    ``series`` exactly as stored, with the smallest title key it hangs together with as its component.
+
+    Only what is new is compared: values that ``known`` lacks, and mentions that none of its issues made before. They link to keys by
+    equality and by misprint; a mention counts once its title is there, in whichever delivery. The links join components, not values:
+    pointer jumping runs over the components that a link touches, and all their values follow by one join. Whatever the order and the
+    number of deliveries, the components are those of all pages at once. Null values of ``series`` are left out.
+    """
+    told = materialize(_told(pages, series, issue), "told")
+    if known is None:
+        known = told.sparkSession.createDataFrame([], TABLE_SCHEMA)
+    old = known.select("series", F.col("named").alias("named_before"), F.lit(True).alias("seen"))
+    told = told.join(old, "series", "left")
+    new = told.filter("seen is null").select("series", "keys", "rests", "named", F.col("keys")[0].alias("component"))
+    more = told.filter("seen").select("series", F.array_except("named", "named_before").alias("more")).filter(F.size("more") > 0)
+    table = known.join(more, "series", "left").select("series", "keys", "rests", F.when(F.col("more").isNull(), F.col("named")).otherwise(F.concat("named", "more")).alias("named"), "component", F.lit(False).alias("fresh"), "more")
+    table = materialize(table.unionByName(new.select("*", F.lit(True).alias("fresh"), F.col("named").alias("more"))), "values")
+
+    # (key, component, fresh) of all titles; a key is fresh if no earlier value had it.
+    title = table.select(F.explode("keys").alias("key"), "component", "fresh").groupBy("key").agg(F.min("component").alias("component"), F.min("fresh").alias("fresh"))
+    title = materialize(title, "titles")
+    # (component, other, fresh) of all mentions.
+    said = table.select("component", F.explode("named").alias("other"), F.array_contains("more", F.col("other")).alias("fresh"))
+    said = materialize(said.groupBy("component", "other").agg(F.max(F.coalesce("fresh", F.lit(False))).alias("fresh")), "mentions")
+    # Components that share a key.
+    own = table.select(F.col("component").alias("a"), F.explode("keys").alias("key")).distinct().join(title, "key").select("a", F.col("component").alias("b"))
+    named = said.join(title.select(F.col("key").alias("other"), F.col("component").alias("b"), F.col("fresh").alias("new")), "other", "left")
+    exact = named.filter("b is not null and (fresh or new)").select(F.col("component").alias("a"), "b")
+    # Misprints: of titles among themselves, and of mentions that are no title.
+    loose = named.filter("b is null").groupBy("other").agg(F.max("fresh").alias("fresh"))
+    either = title.select("key", "fresh").unionByName(loose.select(F.col("other").alias("key"), "fresh"))
+    near = materialize(misprint_pairs(either), "misprints")
+    near = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    first = title.select(F.col("key").alias("a"), F.col("component").alias("ca"))
+    second = title.select(F.col("key").alias("b"), F.col("component").alias("cb"))
+    same = near.join(first, "a").join(second, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    misread = near.join(said.select(F.col("other").alias("a"), "component").join(title.select(F.col("key").alias("a")), "a", "left_anti"), "a").join(second, "b").select(F.col("component").alias("a"), F.col("cb").alias("b"))
+    links = own.unionByName(exact).unionByName(same).unionByName(misread).filter("a != b")
+    joined = connected_components(links)
+    moved = table.join(joined.select(F.col("node").alias("component"), "root"), "component", "left")
+    return moved.select("series", "keys", "rests", "named", F.coalesce("root", "component").alias("component"))
 
 
 def _value_keys(name: str) -> Column:
@@ -67,10 +103,31 @@ def _value_keys(name: str) -> Column:
 
 def series_components(pages: DataFrame, *, series: str = "series", issue: str = "issue") -> DataFrame:
     """(series, component): every non-null series value exactly as stored, and the smallest title key it hangs together with."""
-    values = pages.select(F.col(series).alias("series")).filter("series is not null").distinct()
-    keyed = values.withColumn("key", _value_keys("series")[0])
-    comp = connected_components(series_links(pages, series=series, issue=issue))
-    return keyed.join(comp, keyed["key"] == comp["node"]).select("series", F.col("root").alias("component"))
+    return grow_components(None, pages, series=series, issue=issue).select("series", "component")
+
+
+class SplitTables:
+    """What is persisted under ``path`` between deliveries: the component table, and the splits of its members (member, component, size,
+    split, state). Each is a table of versions, written whole and read again by the next run: a run that dies leaves the last version."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.components, self.splits = VersionedTable(spark, f"{path}/components"), VersionedTable(spark, f"{path}/splits")
+
+    def deliver(self, pages: DataFrame, *, series: str = "series", issue: str = "issue") -> DataFrame:
+        """Merges the values of ``pages`` into the component table and returns its new version: (series, component)."""
+        self.components.write(grow_components(self.components.read(), pages, series=series, issue=issue))
+        return self.components.read().select("series", "component")
+
+    def split(self, members: DataFrame, shares: DataFrame, *, large: float = 0.001) -> DataFrame:
+        """:func:`assign_splits` of ``members`` with the splits of the last version kept, written as the new version. Members of earlier
+        runs that are not among ``members`` stay in the table."""
+        kept = self.splits.read()
+        now = assign_splits(members, shares, None if kept is None else kept.select("member", "split"), large=large)
+        if kept is not None:
+            now = materialize(now, "splits")
+            now = now.unionByName(kept.join(now.select("member"), "member", "left_anti"))
+        self.splits.write(now)
+        return self.splits.read()
 
 
 def inseparable_pairs(components: DataFrame) -> DataFrame:

@@ -60,28 +60,34 @@ def shortened(key: str) -> set[str]:
     return {key} | {key[:i] + key[i + 1 :] for i in range(len(key))}
 
 
-def misprint_pairs(keys: DataFrame, *, min_length: int = 8) -> DataFrame:
+def remainders(key: Column) -> Column:
+    """Hashes of what :func:`shortened` gives: of the key and of the key with any one character left out."""
+    cut = F.transform(F.sequence(F.lit(1), F.length(key)), lambda i: F.xxhash64(F.concat(F.substring(key, F.lit(1), i - 1), F.substring(key, i + 1, F.length(key)))))
+    return F.array_distinct(F.concat(F.array(F.xxhash64(key)), cut))
+
+
+def misprint_pairs(keys: DataFrame, *, min_length: int = 4) -> DataFrame:
     """(a, b), a < b: pairs among the distinct ``key`` values that :func:`misprint` holds for.
 
     Keys meet on what remains when one character is left out, so no key is held against all others; the keys that share a
     remainder differ from it in one character, which bounds each group whatever the number of keys. Keys shorter than
-    ``min_length`` only pair with themselves: a single letter says too little about them.
+    ``min_length`` only pair with themselves: of so few letters one more makes another title ("V", "VI"). ``keys`` may have a truth
+    value ``fresh``: then only pairs with a fresh key are sought; and ``rests``, their :func:`remainders`.
     """
-    distinct = keys.select("key").filter(F.length("key") >= min_length).distinct()
-
-    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(s, k) for k in pdf["key"] for s in sorted(shortened(k))]
-            yield pd.DataFrame(rows, columns=["short", "key"])
-
-    met = distinct.mapInPandas(explode, "short string, key string").groupBy("short").agg(F.collect_set("key").alias("ks")).filter(F.size("ks") > 1)
+    told = [c for c in ("fresh", "rests") if c in keys.columns]
+    distinct = keys.select("key", *told).filter(F.length("key") >= min_length)
+    fresh = F.col("fresh") if "fresh" in told else F.lit(True)
+    rests = F.col("rests") if "rests" in told else remainders(F.col("key"))
+    own = F.struct("key", fresh.alias("fresh"))
+    met = distinct.select(F.explode(rests).alias("rest"), own.alias("own")).groupBy("rest").agg(F.collect_set("own").alias("ks"))
+    met = met.filter((F.size("ks") > 1) & F.exists("ks", lambda x: x["fresh"])).select(F.col("ks.key").alias("keys"), F.col("ks.fresh").alias("fresh"))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = set()
-            for ks in pdf["ks"]:
-                ks = sorted(ks)
-                out.update((a, b) for i, a in enumerate(ks) for b in ks[i + 1 :] if misprint(a, b))
+            for ks, new in zip(pdf["keys"], pdf["fresh"]):
+                ks = sorted(zip(ks, new))
+                out.update((a, b) for i, (a, x) in enumerate(ks) for b, y in ks[i + 1 :] if (x or y) and misprint(a, b))
             yield pd.DataFrame(sorted(out), columns=["a", "b"])
 
-    return met.select("ks").mapInPandas(verify, "a string, b string").distinct()
+    return met.mapInPandas(verify, "a string, b string").distinct()

@@ -162,6 +162,55 @@ def test_splits_keep_and_fill(spark):
     assert gs.assign_splits(members.limit(0), shares).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_deliveries_end_in_the_components_of_all_at_once(spark, tmp_path, seed):
+    """Any order and number of deliveries; misprints, articles and mentions of titles that come later."""
+    rng = random.Random(seed)
+    titles = ["Stone Kite", "The Stone Kite", "stnoe kite", "Night Harbour", "Glass Orchard in Verne", "glass orchrad in verne", "Paper Wolf", "Paper Wolf v02", "Moss", "Mosss", "Lone Oak", "Lone Elm", "V", "VI", "", None]
+    issues = ["001", None, "4 / Glass Orchard in Verne #3", "crossover: stone_kite, no. 2", "1 / Nightharbour #2", "001 (with Lone Oak)", "003 (with Nobody Knows It)"]
+    rows = [(rng.choice(titles), rng.choice(issues) if rng.random() < 0.3 else "1") for _ in range(60)]
+    want = groups(spark, rows)
+    tables, cuts = gs.SplitTables(spark, f"file://{tmp_path}/t{seed}"), sorted(rng.sample(range(60), 3))
+    for lo, hi in zip([0, *cuts], [*cuts, 60]):
+        last = tables.deliver(pages(spark, rows[lo:hi]).drop("component"))
+    out = {}
+    for r in last.collect():
+        out.setdefault(r["component"], set()).add(r["series"])
+    assert {frozenset(v) for v in out.values()} == want
+    before = {tuple(r) for r in last.collect()}
+    assert {tuple(r) for r in tables.deliver(pages(spark, rows).drop("component")).collect()} == before
+    assert any({"Moss", "Mosss"} <= g for g in want) == ({"Moss", "Mosss"} <= {r[0] for r in rows}) and not any({"V", "VI"} <= g for g in want)
+
+
+def test_only_new_values_are_compared(spark, tmp_path, monkeypatch):
+    tables = gs.SplitTables(spark, f"file://{tmp_path}/new")
+    tables.deliver(pages(spark, [("Stone Kite", "1"), ("Night Harbour", "1")]).drop("component"))
+    seen = []
+    real = gs.misprint_pairs
+    monkeypatch.setattr(gs, "misprint_pairs", lambda keys: seen.extend(r["key"] for r in keys.filter("fresh").collect()) or real(keys))
+    tables.deliver(pages(spark, [("Stone Kite", "1"), ("Stone Kite", "2"), ("Lone Oak", "1")]).drop("component"))
+    assert seen == ["loneoak"]
+
+
+def test_splits_over_deliveries(spark, tmp_path):
+    """Kept, new and quarantined splits: a later delivery links two titles that were split apart."""
+    tables, shares = gs.SplitTables(spark, f"file://{tmp_path}/splits"), spark.createDataFrame([("train", 0.5), ("test", 0.5)], "split_name string, target_share double")
+    first = [(f"Title {x}{y}", "1") for x in "abcdefgh" for y in "pqrstuvw"]
+
+    def run(rows):
+        p = pages(spark, rows).drop("component")
+        return {r["member"]: (r["split"], r["state"]) for r in tables.split(gs.page_components(p, tables.deliver(p)).select("member", "component"), shares).collect()}
+
+    one = run(first)
+    assert set(s for s, _ in one.values()) == {"train", "test"} and {s for _, s in one.values()} == {"new"}
+    assert {m: s for m, (s, _) in run(first).items()} == {m: s for m, (s, _) in one.items()}
+    a, b = (next(m for m, (s, _) in sorted(one.items()) if s == x) for x in ("train", "test"))
+    c = next(m for m, (s, _) in sorted(one.items()) if s == "train" and m != a)
+    three = run([*first, (a, f"001 (with {b})"), (f"{c} v02", "1"), ("Wholly Other", "1")])
+    assert three[a] == three[b] == (None, "quarantined") and three[f"{c} v02"] == (one[c][0], "kept") and three["Wholly Other"][1] == "new"
+    assert all(three[m] == (s, "kept") for m, (s, _) in one.items() if m not in (a, b))
+
+
 # problem 4
 
 
