@@ -99,9 +99,14 @@ def short_names(names: DataFrame, starts: DataFrame, classes: DataFrame) -> Data
     spaced = names.filter(F.col("title").rlike(r"[^\s_][\s_-]+[^\s_]")).select("title", F.col("ks")[0].alias("key")).filter("key is not null")
     acronyms = spaced.mapInPandas(letters, "short string, key string").filter(F.length("short") >= 2).join(classes, "key").select("short", F.lit("acronym").alias("kind"), "class").distinct()
 
+    # A misprint makes a start one letter shorter or longer than what it begins: a title is cut at every length that occurs, and one off.
+    letters_only = F.length(F.regexp_replace("short", r"[^\p{L}\p{N}]", ""))
+    occur = {r["n"] for r in starts.select(letters_only.alias("n")).distinct().collect()}  # lengths of file names' parts
+    lengths = sorted({n + d for n in occur for d in (-1, 0, 1)} - {-1, 0})
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = {(s, k[:n], c) for k, c in zip(pdf["key"], pdf["class"]) for n in (8, 9, 10) if len(k) >= n for s in shortened(k[:n])}
+            rows = {(s, k[:n], c) for k, c in zip(pdf["key"], pdf["class"]) for n in lengths if len(k) >= n for s in shortened(k[:n])}
             yield pd.DataFrame(sorted(rows), columns=["rest", "begin", "class"])
 
     def cut_start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -142,7 +147,7 @@ def match_pages(images: DataFrame, docs: DataFrame, labels: DataFrame | None = N
     """
     im = read_images(images)
     an = read_analyses(docs).withColumn("kind", F.lit("title"))
-    im, an = materialize(im.filter("title is not null and issue is not null and page is not null"), "images"), materialize(an.filter("title is not null and page is not null"), "analyses")
+    im, an = materialize(im.filter("title is not null and page is not null"), "images"), materialize(an.filter("title is not null and page is not null"), "analyses")
     # The keys of a title are worked out once for each way to write it.
     named = im.filter("kind = 'title'").select("title").unionByName(an.select("title")).distinct()
     names = materialize(named.select("title", title_keys(F.col("title")).alias("ks")), "names")
@@ -165,7 +170,7 @@ def match_pages(images: DataFrame, docs: DataFrame, labels: DataFrame | None = N
     def pairs(i: DataFrame, d: DataFrame, on: list[str]) -> DataFrame:
         cond = [F.col(f"i.{c}") == F.col(f"d.{c}") for c in on]
         return i.alias("i").join(d.alias("d"), cond).select(
-            "i.image_id", "d.record_id", "i.kind", F.col("d.class").alias("class"), F.col("d.volume").alias("volume"), _agreement().alias("agree"),
+            "i.image_id", "d.record_id", "i.kind", F.col("d.class").alias("class"), F.col("d.volume").alias("volume"), F.struct("d.volume", "d.issue").alias("book"), _agreement().alias("agree"),
             F.abs(F.col("i.panels") - F.col("d.panels")).alias("panels_off"), "i.one_volume",
         )
 
@@ -177,13 +182,17 @@ def match_pages(images: DataFrame, docs: DataFrame, labels: DataFrame | None = N
         best = F.max(F.when(F.col("agree") == F.col("top"), F.col(page_by))).over(w)
         return ok.withColumn("chosen", best).filter((F.col("pages") == 1) & (F.col(page_by) == F.col("chosen"))).drop("top", "pages", "chosen")
 
+    every, i_all = i_all, i_all.filter("issue is not null")
     full = i_all.filter("volume is not null")
+    no_issue = every.filter("issue is null and kind = 'title'")
     # (rule, images, key of the join, how the rule's open pages are decided, whether sizes were used)
     rules = [
         ("same title", full.filter("kind = 'title'"), ["key", "volume", "issue", "page"], None, False),
         ("title misprinted", full.filter("kind = 'title'"), ["class", "volume", "issue", "page"], None, False),
         ("volume missing, title has one", i_all.filter("volume is null and kind = 'title' and one_volume"), ["class", "issue", "page"], None, False),
         ("volume missing, size decides", i_all.filter("volume is null and kind = 'title' and one_volume is null"), ["class", "issue", "page"], "volume", True),
+        ("issue missing, size decides", no_issue.filter("volume is not null"), ["class", "volume", "page"], "book", True),
+        ("volume and issue missing, size decides", no_issue.filter("volume is null"), ["class", "page"], "book", True),
         ("initials, size decides", full.filter("kind = 'acronym'"), ["class", "volume", "issue", "page"], "class", True),
         ("start of title, size decides", full.filter("kind = 'start'"), ["class", "volume", "issue", "page"], "class", True),
     ]

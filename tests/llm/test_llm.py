@@ -386,6 +386,20 @@ def test_volume_is_decided_by_size(spark):
     assert set(got) == {("i1", 2)}
 
 
+def test_missing_issue_is_decided_by_size(spark):
+    path = lambda i, p: f"/mnt/scans/night_harbour/v01/{i:03d}/page_{p:03d}.jpg"
+    docs = [analysis(1, path(1, 5), (1000, 1500)), analysis(2, path(2, 5), (1400, 1900)), analysis(3, path(2, 5), (700, 950)), analysis(4, path(3, 6), (1400, 1900)), analysis(5, path(4, 7), (900, 1300)), analysis(6, path(5, 7), (900, 1300))]
+    images = [image(1, "night harbour_v01_p005.jpg", 1400, 1901), image(2, "night harbour_p005.png", 1000, 1500), image(3, "night harbour_v01_p005.jpg", 3000, 3000), image(4, "night harbour_v01_p007.jpg", 900, 1300)]
+    got = matches(spark, images, docs)
+    assert set(got) == {("i1", 2), ("i1", 3), ("i2", 1)} and got[("i1", 2)]["rule"].startswith("issue missing")
+
+
+def test_short_titles_and_short_starts(spark):
+    docs = [analysis(1, "/mnt/scans/moss/v01/001/page_001.jpg"), analysis(2, "/mnt/scans/the_ashen_gate/v01/001/page_002.jpg")]
+    images = [image(1, "Mosss v01 001 - p001.jpg"), image(2, "THEA~1_v01_1_2.jpg"), image(3, "THEASHENGA~1_v01_1_2.jpg"), image(4, "THEASENGA~1_v01_1_2.jpg")]
+    assert set(matches(spark, images, docs)) == {("i1", 1), ("i2", 2), ("i3", 2), ("i4", 2)}
+
+
 def test_matching_nothing(spark):
     assert matches(spark, [], []) == {} and matches(spark, [image(1, "A Kite v01 001 - p001.jpg")], []) == {}
 
