@@ -256,6 +256,34 @@ def test_clusters_against_brute_force(spark):
     assert len(got & want) >= 0.9 * len(want) and len(got - want) <= 0.02 * len(want) + 1
 
 
+def test_cells_are_split_until_small(spark, monkeypatch):
+    """Few pivots for the whole table: cells are split at two levels, in parts, and the groups are still those of brute force."""
+    monkeypatch.setattr(mc, "SPLIT_AT_ONCE", 100)
+    monkeypatch.setattr(mc, "CELL_PIVOTS", 8)
+    x = vector_rows(seed=3, n_groups=150, hot=500)
+    rows = [(i, T0, v.tolist(), "s", "c", "k") for i, v in enumerate(x)]
+    want = clusters_of(x.astype(float), list(range(len(x))))
+    sizes = []
+    real = mc.local_groups
+    monkeypatch.setattr(mc, "_split_cells", lambda *a, f=mc._split_cells: sizes.append(a[1]) or f(*a))
+    got = {tuple(r) for r in mc.cluster_pairs(mc.similarity_clusters(spark.createDataFrame(rows, VEC), cell_size=8, max_pivots=64)).collect()}
+    assert len(sizes) >= 2 and sizes[0] > sizes[-1] and real is mc.local_groups
+    assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.02 * len(want) + 1
+
+
+def test_many_undecided_pairs_are_decided_exactly(spark):
+    """Two tight groups of 40 pages whose pairs are all within the code error of the threshold; one of them, and not the likeliest, is alike."""
+    rng = np.random.default_rng(8)
+    u, v = np.linalg.qr(rng.normal(size=(64, 2)))[0].T
+    for cos, joined in ((0.799, False), (0.8005, True)):
+        w = cos * u + np.sqrt(1 - cos**2) * v
+        x = np.array([b + rng.normal(size=64) * 1e-5 for b in [u] * 40 + [w] * 40])
+        roots, _, pairs, more = mc.local_groups(mc._unit([c.tobytes() for c in np.rint(x / np.abs(x).max(axis=1)[:, None] * 127).astype(np.int8)]), np.ones(80), 0.8, mc.CODE_ERROR)
+        assert len(set(roots.tolist())) == 2 and len(pairs) <= mc.PAIR_LIMIT and more
+        got = mc.similarity_clusters(spark.createDataFrame([(i, T0, y.tolist(), "s", "c", "k") for i, y in enumerate(x)], VEC)).collect()
+        assert len({r["cluster"] for r in got}) == (1 if joined else 2) and len(got) == 80
+
+
 def test_copies_and_chains(spark):
     a, b, c = np.eye(64)[0], np.eye(64)[0] + 0.6 * np.eye(64)[1], 0.8 * np.eye(64)[0] + 1.5 * np.eye(64)[1]
     rows = [(i, T0, (a * 2).tolist(), "s", "c", "k") for i in range(50)] + [(60, T0, b.tolist(), "s", "c", "k"), (61, T0, c.tolist(), "s", "c", "k"), (70, T0, np.eye(64)[5].tolist(), "s", "c", "k")]
