@@ -6,32 +6,36 @@ character model of clean text finds the restored word. A word may have escaped t
 the product of mixtures of both. Priors of the chains are kept by source and field.
 
 The E-step gives each record's posterior; the M-step recounts the character model on restored words by their posteriors and the
-priors by source. Weak evidence is thus pooled: a chain found plainly in some records of a source makes it likelier in others,
-and damaged words stop counting as clean ones. What travels between rounds is bounded: hashed n-gram counts
-(:data:`TRI` + :data:`BI` + :data:`UNI` numbers) and a row for each source.
+priors by source and field. Weak evidence is thus pooled: a chain found plainly in some records of a source makes it likelier in
+others, and damaged words stop counting as clean ones.
+
+The texts are cut into words in the JVM, twice: once for the table of distinct words, once for (record, word) pairs. All else works on
+these: chains are undone once for each distinct word, and a round is joins and sums of words, pairs and priors. What goes to the
+driver is bounded: hashed n-gram counts (:data:`TRI` + :data:`BI` + :data:`UNI` numbers).
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliolake.runtime import spread
+from foliolake.runtime import materialize, spread
 
 TRI, BI, UNI = 1 << 21, 1 << 18, 1 << 14
 #: Share of a damaged record's words taken to be damaged, and the prior of all chains together before the first round.
 DAMAGED_WORDS, FIRST_PRIOR = 0.5, 0.05
 #: Evidence (in nats) for a word with U+FFFD in it.
 LOST_EVIDENCE = 9.0
-#: Words whose restoration could gain less than this (in nats) are not tried.
-LEAST_GAIN = 4.0
+#: Restorations that lose more than this (in nats) say nothing for their chain.
+MOST_LOSS = 2.0
+#: Damaged records that are broadcast at most to find their texts again; more are joined by shuffle.
+MAX_BROADCAST = 1_000_000
 LOST = "lost"
 
 #: Encodings that bytes are wrongly read in, and encodings the bytes were really in.
@@ -171,233 +175,260 @@ def words_of(text: str) -> list[str]:
     return [w for w in re.findall(r"[^ \t\r\n]+", text) if not w.isascii()]
 
 
+def words_in(text: Column) -> Column:
+    """:func:`words_of` in the JVM."""
+    return F.filter(F.split(text, r"[ \t\r\n]+"), lambda w: F.octet_length(w) != F.length(w))
+
+
 def parts_of(word: str) -> list[str]:
     """A word cut where letters of ideographic or kana scripts meet others: damage may begin or end within unspaced text."""
     return re.findall(r"[⺀-鿿豈-￯]+|[^⺀-鿿豈-￯]+", word)
 
 
-def _shape(word: str) -> str:
-    return "\x02" + re.sub(r"\d", "0", word.lower()) + "\x03"
-
-
-def grams(word: str) -> tuple[list[int], list[int], list[int]]:
-    """Hashed trigrams, the bigrams they begin with, and single characters of a word."""
-    s = "\x02" + _shape(word)
-    c = [ord(x) for x in s]
-    bi = [(x * 0x9E3779B1 + y * 0x85EBCA6B) & 0xFFFFFFFF for x, y in zip(c, c[1:])]
-    tri = [((h ^ h >> 15) * 0x2C1B3C6D + z * 0x297A2D39) & 0xFFFFFFFF for h, z in zip(bi, c[2:])]
-    tri = [(h ^ h >> 13) % TRI for h in tri]
-    bi = [(h ^ h >> 16) % BI for h in bi]
-    return tri, bi, [x % UNI for x in c[1:]]
+def _flat_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(trigrams, bigrams, characters, word starts): hashed, for each place in all words set one after the other, each with two marks in
+    front and one behind. At place i begin the trigram and the bigram; a word's last two and last one are of no use."""
+    low = ["\x02\x02" + w.lower() + "\x03" for w in words]
+    starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, low), np.int64, len(low)))])
+    c = np.frombuffer(re.sub(r"\d", "0", "".join(low)).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    mask, nxt = np.uint64(0xFFFFFFFF), np.concatenate([c[1:], c[:1]])
+    bi = (c * np.uint64(0x9E3779B1) + nxt * np.uint64(0x85EBCA6B)) & mask
+    tri = ((bi ^ (bi >> np.uint64(15))) * np.uint64(0x2C1B3C6D) + np.concatenate([nxt[1:], nxt[:1]]) * np.uint64(0x297A2D39)) & mask
+    tri, bi = (tri ^ (tri >> np.uint64(13))) % np.uint64(TRI), (bi ^ (bi >> np.uint64(16))) % np.uint64(BI)
+    return tri.astype(np.int64), bi.astype(np.int64), (c % np.uint64(UNI)).astype(np.int64), starts
 
 
 class Model:
-    """Character model of clean text: interpolated trigrams; log likelihoods of words are kept."""
+    """Character model of clean text (interpolated trigrams), and the priors of the chains: a table (grp, chain, prior)."""
 
-    def __init__(self, tri: np.ndarray, bi: np.ndarray, uni: np.ndarray, priors: dict[str, dict[str, float]], chains: list[str]) -> None:
-        self.tri, self.bi, self.uni, self.priors, self.chains = tri, bi, uni, priors, chains
+    def __init__(self, tri: np.ndarray, bi: np.ndarray, uni: np.ndarray, chains: list[str], priors: DataFrame | None = None) -> None:
+        self.tri, self.bi, self.uni, self.chains, self.priors = tri, bi, uni, chains, priors
         self.total = float(uni.sum()) + 1.0
-        self.readings = by_reading(chains)
-        self.known: dict[str, float] = {}
-        self.gains: dict[str, list[tuple[str, float, str]]] = {}
-
-    def log_p(self, word: str) -> tuple[float, float]:
-        """Log likelihood of a word, and the part of it that rests on characters beyond ASCII."""
-        p = self.known.get(word)
-        if p is None:
-            t, b, u = grams(word)
-            p1 = (self.uni[u] + 0.05) / (self.total + 0.05 * UNI)
-            ctx1 = np.concatenate([[self.total], self.uni[u[:-1]]])
-            p2 = (self.bi[b] + 2.0 * p1) / (np.maximum(ctx1, self.bi[b]) + 2.0)
-            p3 = (self.tri[t] + 1.0 * p2[1:]) / (np.maximum(self.bi[b[:-1]], self.tri[t]) + 1.0)
-            logs = np.log(p3)
-            beyond = np.array([c > "\x7f" for c in _shape(word)])
-            near = beyond[1:] | beyond[:-1]
-            near[1:] |= beyond[:-2]
-            p = (float(logs.sum()), float(logs[near].sum()))
-            if len(self.known) > 300_000:
-                self.known.clear()
-            self.known[word] = p
-        return p
-
-    def word_gains(self, word: str) -> list[tuple[str, float, str]]:
-        """(chain, gain of the log likelihood, restored word) for the chains that can have given the word."""
-        out = self.gains.get(word)
-        if out is not None:
-            return out
-        out = []
-        if "�" in word:
-            out.append((LOST, LOST_EVIDENCE, word))
-        else:
-            own, part = self.log_p(word)
-            if part < -LEAST_GAIN:
-                found = dict(all_undone(word, self.readings))
-                if len(ps := parts_of(word)) > 1:
-                    for p in ps:
-                        if not p.isascii():
-                            for chain, restored in all_undone(p, self.readings):
-                                found.setdefault(chain, word.replace(p, restored))
-                gains: dict[str, float] = {}
-                for chain, restored in found.items():
-                    # A byte-for-byte chain that makes up characters no text has explains nothing.
-                    if not chain.startswith("utf-8") and any(self.uni[ord(c) % UNI] < 1 for c in restored.lower() if c > "\x7f" and c not in word):
-                        continue
-                    if restored not in gains:
-                        gains[restored] = self.log_p(restored)[0] - own
-                    if gains[restored] > -2:
-                        out.append((chain, gains[restored], restored))
-        if len(self.gains) > 300_000:
-            self.gains.clear()
-        self.gains[word] = out
-        return out
-
-    def posterior(self, source: str | None, words: Counter) -> dict[str, float]:
-        """Probability of each chain, given the record's words; what is missing to 1 is for clean."""
-        prior = self.priors.get(source or "") or self.priors.get("*") or {}
-        floor = FIRST_PRIOR / (20 * len(self.chains))
-        evidence: dict[str, float] = {}
-        for word, n in words.items():
-            for chain, gain, _ in self.word_gains(word):
-                if chain not in evidence:
-                    evidence[chain] = 0.0
-                # Repeats of one word in one record are one find, told more than once.
-                evidence[chain] += (1 + math.log(n)) * (math.log1p(DAMAGED_WORDS * (math.exp(min(gain, 60.0)) - 1)))
-        if not evidence:
-            return {}
-        logs = {c: e + math.log(max(prior.get(c, floor), floor)) for c, e in evidence.items()}
-        top = max(0.0, max(logs.values()))
-        total = math.exp(-top) + sum(math.exp(x - top) for x in logs.values())
-        return {c: math.exp(x - top) / total for c, x in logs.items()}
-
-
-def _first_model(chains: list[str]) -> dict[str, dict[str, float]]:
-    return {"*": {c: FIRST_PRIOR / (len(chains) + 1) for c in [*chains, LOST]}}
-
-
-def _count_batches(model: Model | None):
-    """Counts of one pass: rows (kind, key, source, n) of n-gram buckets and of chains by source."""
+        self.tables: WordTables | None = None
+
+    def log_ps(self, words: list[str]) -> np.ndarray:
+        """Log likelihoods of words."""
+        if not words:
+            return np.zeros(0)
+        t, b, u, starts = _flat_grams(words)
+        u_next = np.concatenate([u[1:], u[:1]])
+        p1 = (self.uni[u_next] + 0.05) / (self.total + 0.05 * UNI)
+        before = self.uni[u].astype(np.float64)
+        before[starts[:-1]] = self.total
+        p2 = (self.bi[b] + 2.0 * p1) / (np.maximum(before, self.bi[b]) + 2.0)
+        p3 = (self.tri[t] + np.concatenate([p2[1:], p2[:1]])) / (np.maximum(self.bi[b], self.tri[t]) + 1.0)
+        logs = np.log(p3)
+        logs[starts[1:] - 1] = logs[starts[1:] - 2] = 0
+        return np.add.reduceat(logs, starts[:-1])
+
+    def log_p(self, word: str) -> float:
+        return float(self.log_ps([word])[0])
+
+
+def candidates(word: str, readings: list, known: np.ndarray) -> list[tuple[str, str]]:
+    """(chain, restored word) for the chains that can have given the word. ``known``: whether a character occurs in the texts at all; a
+    byte-for-byte chain that makes up others explains nothing."""
+    if "�" in word:
+        return [(LOST, word)]
+    found = dict(all_undone(word, readings))
+    if len(ps := parts_of(word)) > 1:
+        for p in ps:
+            if not p.isascii():
+                for chain, restored in all_undone(p, readings):
+                    found.setdefault(chain, word.replace(p, restored))
+    return [(c, r) for c, r in found.items() if c.startswith("utf-8") or all(known[ord(x) % UNI] for x in r.lower() if x > "\x7f" and x not in word)]
+
+
+def gains(model: Model, words: list[str], found: list[list[tuple[str, str]]]) -> list[list[tuple[str, float, str]]]:
+    """(chain, gain of the log likelihood, restored word) of each word's candidates, without those that lose too much."""
+    flat = [r for own in found for _, r in own]
+    own, then = model.log_ps(words), model.log_ps(flat)
+    out, at = [], 0
+    for p, pairs in zip(own, found):
+        part = [(c, LOST_EVIDENCE if c == LOST else float(then[at + k] - p), r) for k, (c, r) in enumerate(pairs)]
+        at += len(pairs)
+        out.append([x for x in part if x[1] > -MOST_LOSS])
+    return out
+
+
+class WordTables:
+    """What the texts are to the rounds. ``words``: (word, n). ``pairs``: (h1, h2, grp, word, n, copies), where h1 and h2 are hashes of a
+    text and its group, so equal texts of one group are one record of several copies. ``sizes``: (grp, records)."""
+
+    def __init__(self, docs: DataFrame) -> None:
+        own = docs.select("grp", *_text_key(), words_in(F.col("text")).alias("ws"))
+        self.words = materialize(own.select(F.explode("ws").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
+        some = own.filter(F.size("ws") > 0)
+        copies = some.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies"))
+        every = some.select("grp", "h1", "h2", F.explode("ws").alias("word")).groupBy("h1", "h2", "grp", "word").agg(F.count(F.lit(1)).alias("n"))
+        self.pairs = materialize(every.join(copies, ["h1", "h2"]).withColumn("n", F.col("n") / F.col("copies")), "pairs")
+        self.sizes = materialize(docs.groupBy("grp").agg(F.count(F.lit(1)).alias("records")), "sizes")
+        self.found: DataFrame | None = None
+
+    def find(self, model: Model) -> None:
+        """``found``: (word, chains, restored), the candidates of every word that has any."""
+        share = self.words.sparkSession.sparkContext.broadcast((by_reading(model.chains), model.uni >= 1))
+
+        def undo_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            readings, known = share.value
+            for pdf in batches:
+                rows = [(w, candidates(w, readings, known)) for w in pdf["word"]]
+                yield pd.DataFrame([(w, [c for c, _ in x], [r for _, r in x]) for w, x in rows if x], columns=["word", "chains", "restored"])
+
+        self.found = materialize(spread(self.words.select("word")).mapInPandas(undo_all, "word string, chains array<string>, restored array<string>"), "found")
+
+
+def _text_key() -> list[Column]:
+    return [F.xxhash64("text", "grp").alias("h1"), F.xxhash64("grp", F.reverse("text")).alias("h2")]
+
+
+def _word_gains(tables: WordTables, model: Model) -> DataFrame:
+    """(word, chain, gain, restored) under the model."""
+    share = tables.words.sparkSession.sparkContext.broadcast((model.tri, model.bi, model.uni, model.chains))
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = Model(*share.value)
+        for pdf in batches:
+            found = [list(zip(c, r)) for c, r in zip(pdf["chains"], pdf["restored"])]
+            rows = [(w, *x) for w, own in zip(pdf["word"], gains(m, list(pdf["word"]), found)) for x in own]
+            yield pd.DataFrame(rows, columns=["word", "chain", "gain", "restored"])
+
+    return materialize(tables.found.mapInPandas(weigh, "word string, chain string, gain double, restored string"), "gains")
+
+
+def _posteriors(tables: WordTables, model: Model, told: DataFrame) -> DataFrame:
+    """(h1, h2, grp, copies, chain, p): the probability of each chain, given a record's words; what is missing to 1 is for clean.
+    ``told``: the words' gains."""
+    # Repeats of one word in one record are one find, told more than once.
+    weight = (1 + F.log("n")) * F.log1p(F.lit(DAMAGED_WORDS) * (F.exp(F.least("gain", F.lit(60.0))) - 1))
+    record = ["h1", "h2", "grp", "copies"]
+    evidence = tables.pairs.join(told.select("word", "chain", "gain"), "word").groupBy(*record, "chain").agg(F.sum(weight).alias("e"))
+    floor = FIRST_PRIOR / (20 * len(model.chains))
+    if model.priors is None:
+        logs = evidence.withColumn("x", F.col("e") + math.log(FIRST_PRIOR / (len(model.chains) + 1)))
+    else:
+        logs = evidence.join(model.priors, ["grp", "chain"], "left").withColumn("x", F.col("e") + F.log(F.greatest(F.coalesce("prior", F.lit(0.0)), F.lit(floor))))
+    own = logs.groupBy(*record).agg(F.collect_list(F.struct("chain", "x")).alias("xs"))  # at most one entry for each chain
+    own = own.withColumn("top", F.greatest(F.lit(0.0), F.array_max("xs.x")))
+    own = own.withColumn("total", F.aggregate("xs", F.exp(-F.col("top")), lambda acc, y: acc + F.exp(y["x"] - F.col("top"))))
+    return own.select(*record, "top", "total", F.explode("xs").alias("y")).select(*record, F.col("y.chain").alias("chain"), (F.exp(F.col("y.x") - F.col("top")) / F.col("total")).alias("p"))
+
+
+def _counted(weighted: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The n-gram tables of weighted words: (word, w)."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: Counter = Counter()
-        found: Counter = Counter()
+        tables = {"tri": np.zeros(TRI), "bi": np.zeros(BI), "uni": np.zeros(UNI)}
         for pdf in batches:
-            for text, source in zip(pdf["text"], pdf["source"]):
-                words = Counter(words_of(text))
-                post = model.posterior(source, words) if model is not None and words else {}
-                if model is not None:
-                    found[(source or "", "")] += 1
-                    for c, p in post.items():
-                        if p > 1e-4:
-                            found[(source or "", c)] += p
-                dirty = 0.0 if not post else sum(post.values())
-                for w, n in words.items():
-                    if dirty < 1e-3:
-                        held[w] += n
-                        continue
-                    rest = 1.0
-                    for c, gain, restored in model.word_gains(w):
-                        p = post.get(c, 0.0) / (1.0 + math.exp(-min(max(gain, -60.0), 60.0)))
-                        rest -= p
-                        if c != LOST and p > 1e-3:
-                            held[restored] += n * p
-                    if rest > 1e-3:
-                        held[w] += n * rest
-            if len(held) > 200_000:
-                yield table(held)
-                held.clear()
-        yield table(held)
-        yield pd.DataFrame([("chain", 0, s, c, float(n)) for (s, c), n in found.items()], columns=["kind", "key", "source", "chain", "n"])
-
-    def table(held: Counter) -> pd.DataFrame:
-        out: dict[str, Counter] = {"tri": Counter(), "bi": Counter(), "uni": Counter()}
-        for w, n in held.items():
-            for name, keys in zip(out, grams(w)):
-                for k in keys:
-                    out[name][k] += n
-        return pd.DataFrame([(name, k, None, None, float(n)) for name, c in out.items() for k, n in c.items()], columns=["kind", "key", "source", "chain", "n"])
-
-    return count
-
-
-def _fit_once(docs: DataFrame, chains: list[str], model: Model | None) -> Model:
-    counted = spread(docs).mapInPandas(_count_batches(model), "kind string, key int, source string, chain string, n double")
-    sums = counted.groupBy("kind", "key", "source", "chain").agg(F.sum("n").alias("n")).toPandas()  # bounded: hashed buckets, and sources times chains
-    tables = {}
+            t, b, u, starts = _flat_grams(list(pdf["word"]))
+            w = np.repeat(pdf["w"].to_numpy(), np.diff(starts))
+            ends = starts[1:]
+            for name, keys, cut in (("tri", t, (ends - 1, ends - 2)), ("bi", b, (ends - 1,)), ("uni", u, (starts[:-1],))):
+                own = w.copy()
+                for x in cut:
+                    own[x] = 0
+                tables[name] += np.bincount(keys, own, len(tables[name]))
+        for name, x in tables.items():
+            at = np.flatnonzero(x)
+            yield pd.DataFrame({"kind": name, "key": at.astype(np.int32), "n": x[at]})
+
+    sums = spread(weighted).mapInPandas(count, "kind string, key int, n double").groupBy("kind", "key").agg(F.sum("n").alias("n")).toPandas()  # bounded: hashed buckets
+    out = []
     for name, size in (("tri", TRI), ("bi", BI), ("uni", UNI)):
-        t, own = np.zeros(size, np.float32), sums[sums["kind"] == name]
-        t[own["key"].to_numpy(np.int64)] = own["n"]
-        tables[name] = t
-    if model is None:
-        priors = _first_model(chains)
-    else:
-        priors, every = {}, sums[sums["kind"] == "chain"]
-        whole = every.groupby("chain")["n"].sum().to_dict()
-        records = max(1.0, whole.get("", 0.0))
-        base = {c: (whole.get(c, 0.0) + FIRST_PRIOR / len(chains)) / (records + 1) for c in [*chains, LOST]}
-        priors["*"] = base
-        for source, part in every.groupby("source"):
-            n = dict(zip(part["chain"], part["n"]))
-            # A source's own rates, drawn to the rates of all sources as if 50 records more had been seen.
-            priors[source] = {c: (n.get(c, 0.0) + 50 * base[c]) / (n.get("", 0.0) + 50) for c in base}
-    return Model(tables["tri"], tables["bi"], tables["uni"], priors, chains)
-
-
-def fit(docs: DataFrame, *, rounds: int = 2, chains: list[str] | None = None, text: str = "text", source: str = "source") -> Model:
+        x, own = np.zeros(size, np.float32), sums[sums["kind"] == name]
+        x[own["key"].to_numpy(np.int64)] = own["n"]
+        out.append(x)
+    return tuple(out)
+
+
+def _next(tables: WordTables, model: Model) -> Model:
+    """One round: the posteriors under ``model``, and the model recounted by them."""
+    told = _word_gains(tables, model)
+    post = materialize(_posteriors(tables, model, told), "posteriors")
+    found = tables.sizes.crossJoin(tables.sizes.sparkSession.createDataFrame([(c,) for c in [*model.chains, LOST]], "chain string"))  # groups and chains
+    found = found.join(post.groupBy("grp", "chain").agg(F.sum(F.col("p") * F.col("copies")).alias("m")), ["grp", "chain"], "left").withColumn("m", F.coalesce("m", F.lit(0.0)))
+    base = found.groupBy("chain").agg(((F.sum("m") + FIRST_PRIOR / len(model.chains)) / (F.sum("records") + 1)).alias("base"))
+    # A group's own rates, drawn to the rates of all groups as if 50 records more had been seen.
+    priors = found.join(base, "chain").select("grp", "chain", ((F.col("m") + 50 * F.col("base")) / (F.col("records") + 50)).alias("prior"))
+    # Of a damaged record's words those that its chain makes likelier count as restored.
+    hit = F.col("n") * F.col("copies") * F.col("p") / (1 + F.exp(-F.least(F.greatest("gain", F.lit(-60.0)), F.lit(60.0))))
+    moved = tables.pairs.join(post.filter("p > 1e-3").select("h1", "h2", "chain", "p"), ["h1", "h2"]).join(told, ["word", "chain"]).groupBy("word", "chain", "restored").agg(F.sum(hit).alias("w"))
+    moved = materialize(moved, "moved")
+    gone = moved.select("word", (-F.col("w")).alias("w"))
+    come = moved.filter(F.col("chain") != LOST).select(F.col("restored").alias("word"), "w")
+    weighted = tables.words.select("word", F.col("n").cast("double").alias("w")).unionByName(gone).unionByName(come).groupBy("word").agg(F.sum("w").alias("w")).filter("w > 1e-3")
+    return Model(*_counted(weighted), model.chains, materialize(priors, "priors"))
+
+
+def fit(docs: DataFrame, *, rounds: int = 2, chains: list[str] | None = None, text: str = "text", source: str = "source", field: str = "doc_kind") -> Model:
     """The model after ``rounds`` rounds of expectation and maximization over all records of ``docs``.
 
-    Sources are compared without case, blanks and the kind of dash. Null and empty texts say nothing.
+    Priors are kept by source and, where ``docs`` has the column, field; both are compared without case, blanks and the kind of dash.
+    Null and empty texts say nothing.
     """
-    slim = prepared(docs, text, source).select("text", "source").filter("text is not null and text != ''")
+    tables = WordTables(_texts(docs, text, source, field))
     names = chains or all_chains()
-    model = _fit_once(slim, names, None)
+    model = Model(*_counted(tables.words.select("word", F.col("n").cast("double").alias("w"))), names)
+    tables.find(model)
     for _ in range(rounds):
-        model = _fit_once(slim, names, model)
+        model = _next(tables, model)
+    model.tables = tables
     return model
 
 
-def prepared(docs: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
-    own = F.regexp_replace(F.lower(F.trim(F.col(source))), r"[\s-]+", "_")
-    return docs.select("doc_id", F.col(text).alias("text"), own.alias("source"))
+def _texts(docs: DataFrame, text: str, source: str, field: str) -> DataFrame:
+    """(doc_id, text, grp) of the records with a text."""
+    plain = lambda c: F.coalesce(F.regexp_replace(F.lower(F.trim(F.col(c).cast("string"))), r"[\s-]+", "_"), F.lit(""))
+    grp = F.concat_ws("|", plain(source), plain(field) if field in docs.columns else F.lit(""))
+    return docs.select("doc_id", F.col(text).alias("text"), grp.alias("grp")).filter("text is not null and text != ''")
 
 
 def _fill_lost(model: Model, word: str) -> str:
     """The word with each U+FFFD replaced by the letter that the model finds likeliest, where it is far likelier than the next."""
     letters = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþßąćęłńóśźżœ’“”«»„…—°£¿¡ÀÁÂÄÇÈÉÊËÍÑÓÖØÚÜ"
     while (at := word.find("�")) >= 0:
-        tried = sorted(((model.log_p(word[:at] + c + word[at + 1 :].replace("�", ""))[0], c) for c in letters), reverse=True)
+        tried = sorted(zip(model.log_ps([word[:at] + c + word[at + 1 :].replace("�", "") for c in letters]).tolist(), letters), reverse=True)
         if tried[0][0] - tried[1][0] < 1.0:
             return word
         word = word[:at] + tried[0][1] + word[at + 1 :]
     return word
 
 
-def restore(docs: DataFrame, model: Model, *, text: str = "text", source: str = "source", least: float = 0.5) -> DataFrame:
+def damaged(docs: DataFrame, model: Model, *, least: float = 0.5, text: str = "text", source: str = "source", field: str = "doc_kind") -> DataFrame:
+    """(doc_id, text, chain, probability) of the records whose posterior of any damage is at least ``least``, with the likeliest chain."""
+    own = _texts(docs, text, source, field)
+    tables = model.tables
+    if tables is None:
+        tables = WordTables(own)
+        tables.find(model)
+    post = _posteriors(tables, model, _word_gains(tables, model))
+    best = F.max(F.struct("p", "chain"))["chain"].alias("chain")
+    bad = materialize(post.groupBy("h1", "h2").agg(F.sum("p").alias("probability"), best).filter(F.col("probability") >= least), "damaged")
+    few = F.broadcast(bad) if bad.count() <= MAX_BROADCAST else bad
+    return own.select("doc_id", "text", *_text_key()).join(few, ["h1", "h2"]).select("doc_id", "text", "chain", "probability")
+
+
+def restore(docs: DataFrame, model: Model, *, text: str = "text", source: str = "source", field: str = "doc_kind", least: float = 0.5) -> DataFrame:
     """(doc_id, chain, probability, restored, text_restored) of the records whose posterior of any damage is at least ``least``.
 
-    The likeliest chain repairs each word it makes likelier; the rest of the text stays as it is. ``restored`` is true where no
-    U+FFFD is left and a word changed. Null, empty and clean texts have no row; equal texts of one source get equal results;
-    other columns are ignored.
+    ``model``: of :func:`fit` on ``docs``. The likeliest chain repairs each word it makes likelier; the rest of the text stays as it is.
+    ``restored`` is true where no U+FFFD is left and a word changed. Null, empty and clean texts have no row; equal texts of one source
+    and field get equal results; other columns are ignored.
     """
-    share = docs.sparkSession.sparkContext.broadcast((model.tri, model.bi, model.uni, model.priors, model.chains))
+    share = docs.sparkSession.sparkContext.broadcast((model.tri, model.bi, model.uni, model.chains))
 
     def repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = Model(*share.value)
+        readings, known = by_reading(m.chains), m.uni >= 1
         for pdf in batches:
             rows = []
-            for doc, text, source in zip(pdf["doc_id"], pdf["text"], pdf["source"]):
-                words = Counter(words_of(text))
-                post = m.posterior(source, words) if words else {}
-                if (p := sum(post.values())) < least:
-                    continue
-                chain = max(sorted(post), key=lambda c: post[c])
-                best = {}
-                for w in words:
-                    for c, gain, restored in m.word_gains(w):
-                        if c == chain and gain > 0:
-                            best[w] = _fill_lost(m, w) if c == LOST else restored
+            for doc, text, chain, p in zip(pdf["doc_id"], pdf["text"], pdf["chain"], pdf["probability"]):
+                words = sorted(set(words_of(text)))
+                found = [[x for x in candidates(w, readings, known) if x[0] == chain] for w in words]
+                best = {w: _fill_lost(m, w) if c == LOST else restored for w, own in zip(words, gains(m, words, found)) for c, gain, restored in own if gain > 0}
                 fixed = re.sub(r"[^ \t\r\n]+", lambda x: best.get(x.group(), x.group()), text)
                 rows.append((doc, chain, float(p), "�" not in fixed and fixed != text, fixed))
             yield pd.DataFrame(rows, columns=["doc_id", "chain", "probability", "restored", "text_restored"])
 
-    slim = spread(prepared(docs, text, source).filter("text is not null and text != ''"))
-    return slim.mapInPandas(repair, "doc_id long, chain string, probability double, restored boolean, text_restored string")
+    hit = spread(damaged(docs, model, least=least, text=text, source=source, field=field))
+    return hit.mapInPandas(repair, "doc_id long, chain string, probability double, restored boolean, text_restored string")

@@ -12,7 +12,7 @@ from foliolake.llm.entity_match import match_pages
 from foliolake.llm.group_split import SplitTables, inseparable_pairs, page_components
 from foliolake.llm.markov_clusters import cluster_pairs, describe_clusters, similarity_clusters
 from foliolake.llm.mixture import mix, reached_shares
-from foliolake.llm.mojibake import fit, restore
+from foliolake.llm.mojibake import damaged, fit, restore
 from foliolake.llm.token_sizes import token_sizes
 from foliolake.llm.varied_subset import choose_varied
 from foliolake.runtime import materialize, shared_dir, table
@@ -109,7 +109,8 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p10_restored(spark, sf_dir).select("doc_id")
+    docs = table(spark, sf_dir, "documents")
+    return damaged(docs, fit(docs)).select("doc_id")
 
 
 def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
