@@ -34,7 +34,7 @@ DAMAGED_WORDS, FIRST_PRIOR = 0.5, 0.05
 LOST_EVIDENCE = 9.0
 #: Restorations that lose more than this (in nats) say nothing for their chain.
 MOST_LOSS = 2.0
-#: Damaged records that are broadcast at most to find their texts again; more are joined by shuffle.
+#: Words that may be damaged, and damaged records, that are broadcast at most to find them in the texts; more are joined by shuffle.
 MAX_BROADCAST = 1_000_000
 LOST = "lost"
 
@@ -252,18 +252,16 @@ def gains(model: Model, words: list[str], found: list[list[tuple[str, str]]]) ->
 
 
 class WordTables:
-    """What the texts are to the rounds. ``words``: (word, n). ``pairs``: (h1, h2, grp, word, n, copies), where h1 and h2 are hashes of a
-    text and its group, so equal texts of one group are one record of several copies. ``sizes``: (grp, records)."""
+    """What the texts are to the rounds. ``words``: (word, n). ``pairs``: (h1, h2, grp, word, n, copies) of words that may be damaged, where
+    h1 and h2 are hashes of a text and its group, so equal texts of one group are one record of several copies. ``sizes``: (grp, records)."""
 
     def __init__(self, docs: DataFrame) -> None:
-        own = docs.select("grp", *_text_key(), words_in(F.col("text")).alias("ws"))
-        self.words = materialize(own.select(F.explode("ws").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
-        some = own.filter(F.size("ws") > 0)
-        copies = some.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies"))
-        every = some.select("grp", "h1", "h2", F.explode("ws").alias("word")).groupBy("h1", "h2", "grp", "word").agg(F.count(F.lit(1)).alias("n"))
-        self.pairs = materialize(every.join(copies, ["h1", "h2"]).withColumn("n", F.col("n") / F.col("copies")), "pairs")
+        # A text without a character beyond ASCII has no word to look at.
+        self.some = docs.filter(F.octet_length("text") != F.length("text")).select("grp", "text", *_text_key())
+        self.words = materialize(self.some.select(F.explode(words_in(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
         self.sizes = materialize(docs.groupBy("grp").agg(F.count(F.lit(1)).alias("records")), "sizes")
         self.found: DataFrame | None = None
+        self.pairs: DataFrame | None = None
 
     def find(self, model: Model) -> None:
         """``found``: (word, chains, restored), the candidates of every word that has any."""
@@ -276,10 +274,17 @@ class WordTables:
                 yield pd.DataFrame([(w, [c for c, _ in x], [r for _, r in x]) for w, x in rows if x], columns=["word", "chains", "restored"])
 
         self.found = materialize(spread(self.words.select("word")).mapInPandas(undo_all, "word string, chains array<string>, restored array<string>"), "found")
+        # Only words with a candidate tell anything of a record.
+        few = self.found.select("word")
+        few = F.broadcast(few) if few.count() <= MAX_BROADCAST else few
+        copies = self.some.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies"))
+        every = self.some.select("grp", "h1", "h2", F.explode(words_in(F.col("text"))).alias("word")).join(few, "word", "left_semi")
+        every = every.groupBy("h1", "h2", "grp", "word").agg(F.count(F.lit(1)).alias("n"))
+        self.pairs = materialize(every.join(copies, ["h1", "h2"]).withColumn("n", F.col("n") / F.col("copies")), "pairs")
 
 
 def _text_key() -> list[Column]:
-    return [F.xxhash64("text", "grp").alias("h1"), F.xxhash64("grp", F.reverse("text")).alias("h2")]
+    return [F.xxhash64("text", "grp").alias("h1"), F.xxhash64("grp", "text").alias("h2")]
 
 
 def _word_gains(tables: WordTables, model: Model) -> DataFrame:
