@@ -158,6 +158,12 @@ def trailing_number(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"(\d+)\D*$", 1), F.lit("")).cast("int")
 
 
+def last_number_key(stem: Column) -> Column:
+    """The last run of letters and digits of a lower-case stem if it is a number, without leading zeros; else null."""
+    found = F.nullif(F.regexp_extract(stem, r"(?:^|[^a-z0-9])([0-9]+)[^a-z0-9]*$", 1), F.lit(""))
+    return F.when(found.isNotNull(), _or(F.regexp_replace(found, "^0+", ""), "0"))
+
+
 def undoubled(text: Column) -> Column:
     """A token list that is the same half twice, once."""
     t = F.split(text, "_")

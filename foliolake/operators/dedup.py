@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -70,14 +71,26 @@ def simhash(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"id": pdf["id"], "hash": out})
 
 
-def hash_links(hashes: DataFrame, *, distance: int = 6, blocks: int = 8) -> DataFrame:
+def block_count(n: int, *, distance: int = 6) -> int:
+    """The number of blocks that ``n`` distinct 64-bit hashes are best cut into: least rows and expected pairs together."""
+
+    def work(blocks: int) -> float:
+        choices = math.comb(blocks, blocks - distance)
+        return choices * (n + n * n / 2.0 ** (64 * (blocks - distance) / blocks))
+
+    return min(range(distance + 1, 2 * distance + 3), key=work)
+
+
+def hash_links(hashes: DataFrame, *, distance: int = 6, blocks: int | None = None) -> DataFrame:
     """(a, b, distance), a < b: distinct hash values at most ``distance`` bits apart. Equal hashes are one value, so copies form no pairs.
 
     The 64 bits are cut into ``blocks``; two such values agree in at least ``blocks - distance`` of them whole, so values meet on each
-    choice of that many blocks, and what meets is checked exactly. More blocks give longer keys and more of them: 8 for up to some
-    ten million values, 9 beyond. Values are distinct, so no key is shared by more than a 2 ** -(bits of the key) of them unless they are
+    choice of that many blocks, and what meets is checked exactly. More blocks give longer keys and more of them; unless given, their
+    number comes from the count of values (:func:`block_count`) and changes no result. Values are distinct, so no key is shared by more than a 2 ** -(bits of the key) of them unless they are
     near each other in fact.
     """
+    if blocks is None:
+        blocks = block_count(hashes.select("hash").distinct().count(), distance=distance)
     agree = max(1, blocks - distance)
     cuts = [64 * i // blocks for i in range(blocks + 1)]
     part = [F.shiftrightunsigned("hash", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(cuts, cuts[1:])]
@@ -108,8 +121,9 @@ def split_hash(df: DataFrame, *, key: str, parts: int) -> DataFrame:
 
 
 def ranked_split(keys: DataFrame, *, key: str, shares: list[tuple[str, float]], seed: int = 42) -> DataFrame:
-    """(key, split): keys in hash order, cut at whole numbers; the last share takes the rest."""
-    own = keys.select(key).distinct().withColumn("h", F.xxhash64(key, F.lit(seed))).withColumn("b", F.pmod("h", F.lit(4096)))
+    """(key, split): keys in the order of their MD5 with the seed, cut at whole numbers; the last share takes the rest."""
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
+    own = keys.select(key).distinct().withColumn("h", h).withColumn("b", F.substring("h", 1, 3))
     # The order is (bucket, hash, key): ranks start from each bucket's offset, so no task ranks all keys.
     sizes = own.groupBy("b").agg(F.count(F.lit(1)).alias("c"))
     every = Window.partitionBy(F.lit(0))  # at most 4,096 rows

@@ -26,7 +26,7 @@ class Retryable(RuntimeError):
 
 
 def wait_seconds(status: int, attempt: int, spread: float) -> float | None:
-    """Seconds to wait before trying again after the ``attempt``-th failure (from 0); None for failures that stay. ``spread``: 0..1."""
+    """The waits of 15 and 10, 5 and 5 seconds. Seconds to wait before trying again after the ``attempt``-th failure (from 0); None for failures that stay. ``spread``: 0..1."""
     if status == 429:
         return 15.0 * (attempt + 1) + 10.0 * spread
     if status >= 500:
@@ -107,8 +107,9 @@ def encode(df: DataFrame, *, ident: str, text: str, encoder: Callable[[str | Non
 def task_samples(pages: DataFrame, *, seed: int = 42) -> DataFrame:
     """(page_id, task, subject): seeded training tasks of each page (``page_id``, ``panels``: count) it has panels enough for: reading_order
     from 2, panel_picking from 2 (which panel is left out), closure from 4 (which inner panel is hidden)."""
-    h = lambda name: F.pmod(F.xxhash64("page_id", F.lit(name), F.lit(seed)), F.col("panels")).cast("int")
-    inner = (F.pmod(F.xxhash64("page_id", F.lit("closure"), F.lit(seed)), F.col("panels") - 2) + 1).cast("int")
+    drawn = lambda name: F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{name}:"), F.col("page_id").cast("string"))), 1, 8), 16, 10).cast("long")
+    h = lambda name: F.try_mod(drawn(name), F.col("panels")).cast("int")
+    inner = (F.try_mod(drawn("closure"), F.col("panels") - 2) + 1).cast("int")
     t = F.array(
         F.when(F.col("panels") >= 2, F.struct(F.lit("reading_order").alias("task"), F.lit(None).cast("int").alias("subject"))),
         F.when(F.col("panels") >= 2, F.struct(F.lit("panel_picking").alias("task"), h("panel_picking").alias("subject"))),
@@ -118,14 +119,15 @@ def task_samples(pages: DataFrame, *, seed: int = 42) -> DataFrame:
 
 
 def shuffled_stories(pages: DataFrame, book: list[str], *, label: str = "page_type", story: str = "story", seed: int = 42) -> DataFrame:
-    """``new_position`` within each book: story pages change places among themselves by seeded hash, all others stay."""
+    """``new_position`` within each book: story pages change places among themselves by seeded hash, all others stay. A book whose name
+    is null in part is a book like any other; pages of equal position go by page_id; a page without a label stays."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy(*book, F.col(label) == story)
-    places = F.row_number().over(w.orderBy("position"))
-    order = F.row_number().over(w.orderBy(F.xxhash64("page_id", F.lit(seed)), "page_id"))
-    marked = pages.withColumn("_place", places).withColumn("_order", order)
-    slots = marked.filter(F.col(label) == story).select(*book, F.col("_place").alias("_order"), F.col("position").alias("new_position"))
-    moved = marked.filter(F.col(label) == story).join(slots, [*book, "_order"])
-    still = marked.filter((F.col(label) != story) | F.col(label).isNull()).withColumn("new_position", F.col("position"))
-    return still.unionByName(moved, allowMissingColumns=True).drop("_place", "_order")
+    w = Window.partitionBy(*book)
+    stories = pages.filter(F.col(label) == story)
+    order = F.row_number().over(w.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("page_id").cast("string"))), "page_id"))
+    slots = stories.select(*[F.col(c).alias(f"_{c}") for c in book], F.col("position").alias("new_position"), F.row_number().over(w.orderBy("position", "page_id")).alias("_place"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in book] + [F.col("_order") == F.col("_place")]
+    moved = stories.withColumn("_order", order).join(slots, same).select(*pages.columns, "new_position")
+    still = pages.filter((F.col(label) != story) | F.col(label).isNull()).withColumn("new_position", F.col("position"))
+    return still.unionByName(moved)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliolake.functions.vectors import cosine
+from foliolake.runtime import materialize
 
 
 def top_k(base: DataFrame, query: DataFrame, k: int, *, ident: str = "vec_id", vector: str = "embedding", eps: float = 0.0, where: Column | None = None) -> DataFrame:
@@ -24,13 +25,19 @@ def top_k(base: DataFrame, query: DataFrame, k: int, *, ident: str = "vec_id", v
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("similarity"), ident)))
 
 
+def all_similarities(base: DataFrame, queries: DataFrame, *, ident: str = "vec_id", vector: str = "embedding", eps: float = 0.0) -> DataFrame:
+    """(query_id, ident, similarity): each row of ``queries``, a stated query set, against all rows of ``base``. Pairs without a cosine are
+    left out. For an aggregate by query, which sends one state for each query and partition."""
+    q = queries.select(F.col(ident).alias("query_id"), F.col(vector).alias("_q"))
+    return base.select(ident, vector).join(q, F.lit(True)).select("query_id", ident, cosine(vector, "_q", eps).alias("similarity")).filter("similarity is not null")
+
+
 def top_k_batch(base: DataFrame, queries: DataFrame, k: int, *, ident: str = "vec_id", vector: str = "embedding", eps: float = 0.0) -> DataFrame:
     """(query_id, ident, similarity, rank) for each row of ``queries``: each query against all rows of ``base``.
 
     The query set is broadcast only while Spark's own size estimate allows it; the join is nested-loop over query blocks either way.
     """
-    q = queries.select(F.col(ident).alias("query_id"), F.col(vector).alias("_q"))
-    sims = base.select(ident, vector).join(q, F.lit(True)).select("query_id", ident, cosine(vector, "_q", eps).alias("similarity")).filter("similarity is not null")
+    sims = all_similarities(base, queries, ident=ident, vector=vector, eps=eps)
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), ident)
     return sims.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -40,7 +47,8 @@ def recursive_search(base: DataFrame, start: DataFrame, *, k: int, depth: int, i
     first step that finds it; at most k ** depth queries, whatever the table's size."""
     queries, seen, out = start, start.select(ident).distinct(), None
     for step in range(1, depth + 1):
-        found = top_k_batch(base, queries, k, ident=ident, vector=vector).withColumn("step", F.lit(step))
+        # Written down, for what follows reads it several times: no step repeats the search of another.
+        found = materialize(top_k_batch(base, queries, k, ident=ident, vector=vector).withColumn("step", F.lit(step)), "step")
         out = found if out is None else out.unionByName(found)
         new = found.select(ident).distinct().join(seen, ident, "left_anti")
         seen = seen.unionByName(new)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foliolake.catalog import Corpus
 from foliolake.operators import hooks, incremental
-from foliolake.plans.relational_queries import _P, _labels, _pages
+from foliolake.plans.relational_queries import _L, _P, _labels, _pages
 from foliolake.runtime import materialize, shared_dir, table
 from foliolake.streaming import pages as stream
 
@@ -16,9 +16,15 @@ C = F.col
 def incremental_upsert(spark, d):
     """Two deliveries of events into one table, the second with corrections of the first: the latest by user and type stays."""
     e = table(spark, d, "events")
-    keys, order = ["user_id", "event_type"], [C("ts").desc(), C("event_id").desc()]
-    first = incremental.upsert(None, e.filter("event_id % 2 = 0"), keys, order)
-    return incremental.upsert(first, e.filter("event_id % 3 = 0"), keys, order).select("user_id", "event_type", "event_id", "value")
+    keys, order = ["user_id", "event_type"], [C("ts").desc_nulls_last(), C("event_id").desc()]
+    span = e.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    if span["a"] is None:
+        return incremental.upsert(None, e, keys, order).select("user_id", "event_type", "event_id", "value")
+    day = (span["b"] - span["a"]) / 10
+    # The deliveries overlap by two tenths of the time; events of no time come in the second.
+    first = incremental.upsert(None, e.filter(C("ts") < span["a"] + 6 * day), keys, order)
+    second = e.filter(C("ts").isNull() | (C("ts") >= span["a"] + 4 * day))
+    return incremental.upsert(first, second, keys, order).select("user_id", "event_type", "event_id", "value")
 
 
 def key_collisions(spark, d):
@@ -36,7 +42,7 @@ def stream_page_metrics(spark, d):
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
-    return spark.read.parquet(f"{base}/out/metrics")
+    return spark.read.parquet(f"{base}/out/metrics").drop("batch")
 
 
 def page_metrics(spark, d):
@@ -113,7 +119,14 @@ def catalog_find(spark, d):
 
 
 SQL = {
-    "incremental_upsert": """SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events WHERE event_id % 2 = 0 OR event_id % 3 = 0) WHERE rn = 1""",
+    "incremental_upsert": """SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC NULLS LAST, event_id DESC) AS rn FROM events) WHERE rn = 1""",
+    "task_samples": f"""WITH {_P}, k AS (SELECT page_id, page_id % 7 AS panels FROM pages) SELECT page_id, 'reading_order' AS task, NULL::INT AS subject FROM k WHERE panels >= 2
+        UNION ALL SELECT page_id, 'panel_picking', (('0x' || left(md5('42:panel_picking:' || page_id), 8))::BIGINT % panels)::INT FROM k WHERE panels >= 2
+        UNION ALL SELECT page_id, 'closure', (('0x' || left(md5('42:closure:' || page_id), 8))::BIGINT % (panels - 2) + 1)::INT FROM k WHERE panels >= 4""",
+    "shuffled_stories": f"""WITH {_P}, {_L}, p AS (SELECT page_id, series, issue, page_type, page_num AS position FROM pages JOIN labels USING (page_id) WHERE series IS NOT NULL AND page_num IS NOT NULL AND page_type IS NOT NULL),
+        s AS (SELECT *, row_number() OVER (PARTITION BY series, issue ORDER BY position, page_id) AS place, row_number() OVER (PARTITION BY series, issue ORDER BY md5('42:' || page_id), page_id) AS ord FROM p WHERE page_type = 'story')
+        SELECT page_id, position, position AS new_position FROM p WHERE page_type <> 'story'
+        UNION ALL SELECT a.page_id, a.position, b.position FROM s a JOIN s b ON a.series = b.series AND a.issue IS NOT DISTINCT FROM b.issue AND a.ord = b.place""",
     "key_collisions": r"""SELECT file_name, normal_key FROM (SELECT *, row_number() OVER (PARTITION BY normal_key ORDER BY file_name) AS rn FROM (SELECT DISTINCT file_name, lower(regexp_replace(file_name, '\.[^.]*$', '')) AS normal_key FROM coco_images)) WHERE rn > 1""",
     "windowed_events": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "user_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),

@@ -69,11 +69,12 @@ def path_lookup_cascade(spark, d):
 
 
 def filename_resolution(spark, d):
-    """File names to page ids by standard name, by alphanumeric key, by last number: the first that finds one."""
-    p = _pages(spark, d)
-    im = table(spark, d, "coco_images").groupBy("image_id").agg(F.max("file_name").alias("file_name"))
-    stem = K.without_suffix(C("file_name"))
-    rules = [("stem", stem, K.without_suffix(F.element_at(K.path_parts(C("manifest_path")), -1))), ("alnum", K.alnum_key(stem), K.alnum_key(K.without_suffix(F.element_at(K.path_parts(C("manifest_path")), -1))))]
+    """File names to page ids by name, by stem, by alphanumeric key, by last number: the first that finds one; n_candidates above one shows
+    that it is ambiguous."""
+    p = _pages(spark, d).select("page_id", F.lower(F.element_at(K.path_parts(C("manifest_path")), -1)).alias("name"))
+    im = table(spark, d, "coco_images").groupBy("image_id").agg(F.lower(F.max("file_name")).alias("file_name"))
+    mine, other = K.without_suffix(C("file_name")), K.without_suffix(C("name"))
+    rules = [("name", C("file_name"), C("name")), ("stem", mine, other), ("alnum", K.alnum_key(mine), K.alnum_key(other)), ("last number", K.last_number_key(mine), K.last_number_key(other))]
     return J.cascade(im, p, rules, probe_id="image_id", build_id="page_id")
 
 
@@ -219,7 +220,19 @@ _BLOCKS = f"""WITH {_P}, {_L}, j AS (SELECT p.series, p.issue, l.page_type, p.pa
     r AS (SELECT *, sum(fresh) OVER (PARTITION BY series, issue, page_type ORDER BY k) AS run FROM n),
     blocks AS (SELECT series, issue, page_type, min(page_num) AS page_start, max(page_num) AS page_end, count(*) AS n FROM r GROUP BY series, issue, page_type, run)"""
 
+_STEM = "CASE WHEN {0} LIKE '%.jpg.png' THEN left({0}, length({0}) - 8) WHEN {0} LIKE '%.png' OR {0} LIKE '%.jpg' THEN left({0}, length({0}) - 4) WHEN {0} LIKE '%.jpeg' THEN left({0}, length({0}) - 5) ELSE {0} END"
+_NUM = r"CASE WHEN regexp_matches({0}, '(^|[^a-z0-9])[0-9]+[^a-z0-9]*$') THEN coalesce(nullif(ltrim(regexp_extract({0}, '([0-9]+)[^a-z0-9]*$', 1), '0'), ''), '0') END"
+
 SQL = {
+    "filename_resolution": rf"""WITH {_P}, p AS (SELECT page_id, lower({_PARTS}[-1]) AS name FROM pages), q AS (SELECT *, {_STEM.format("name")} AS stem FROM p),
+        i AS (SELECT image_id, lower(max(file_name)) AS name FROM coco_images GROUP BY image_id), j AS (SELECT *, {_STEM.format("name")} AS stem FROM i),
+        b AS (SELECT 0 AS n, 'name' AS rule, name AS k, page_id FROM q UNION ALL SELECT 1, 'stem', stem, page_id FROM q UNION ALL SELECT 2, 'alnum', regexp_replace(stem, '[^a-z0-9]+', '', 'g'), page_id FROM q
+            UNION ALL SELECT 3, 'last number', {_NUM.format("stem")}, page_id FROM q),
+        a AS (SELECT 0 AS n, name AS k, image_id FROM j UNION ALL SELECT 1, stem, image_id FROM j UNION ALL SELECT 2, regexp_replace(stem, '[^a-z0-9]+', '', 'g'), image_id FROM j UNION ALL SELECT 3, {_NUM.format("stem")}, image_id FROM j),
+        g AS (SELECT n, rule, k, min(page_id) AS page_id, count(DISTINCT page_id) AS n_candidates FROM b WHERE k <> '' GROUP BY ALL),
+        r AS (SELECT a.image_id, g.*, row_number() OVER (PARTITION BY image_id ORDER BY g.n) AS rn FROM a JOIN g ON a.n = g.n AND a.k = g.k) SELECT image_id, page_id, rule, n_candidates FROM r WHERE rn = 1""",
+    "bucket_split": """WITH k AS (SELECT DISTINCT series FROM page_vectors WHERE series IS NOT NULL), r AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || series), series) AS rn, count(*) OVER () AS n FROM k)
+        SELECT CASE WHEN rn <= floor(n * 0.8) THEN 'train' WHEN rn <= floor(n * 0.9) THEN 'validation' ELSE 'test' END AS split, count(*) AS books FROM r GROUP BY 1""",
     "resume_anti": "SELECT DISTINCT page_id FROM page_vectors WHERE page_id NOT IN (SELECT page_id FROM page_labels WHERE page_id IS NOT NULL)",
     "resume_composite": "SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem a WHERE NOT EXISTS (SELECT 1 FROM lineitem b WHERE b.l_linestatus = 'F' AND a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber)",
     "split_train_val": f"WITH {_P}, {_L} SELECT CASE WHEN l.page_type = 'cover' THEN 'val' WHEN l.page_type = 'story' THEN 'train' ELSE 'neither' END AS split, count(*) AS n FROM pages p LEFT JOIN labels l USING (page_id) GROUP BY 1",

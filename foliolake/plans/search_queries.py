@@ -83,7 +83,7 @@ def vector_stats(spark, d):
     ok = ~F.isnan("x")
     return _r(
         long.agg(
-            F.count("x").alias("n"), F.sum(F.isnan("x").cast("int")).alias("n_nan"), F.sum((F.col("x") == 0).cast("int")).alias("n_zero"),
+            F.count("x").alias("n"), F.sum(F.isnan("x").cast("int")).alias("n_nan"), F.sum((F.abs("x") == float("inf")).cast("int")).alias("n_inf"), F.sum((F.col("x") == 0).cast("int")).alias("n_zero"),
             F.avg(F.when(ok, x)).alias("mean"), F.stddev_pop(F.when(ok, x)).alias("std"), F.min(F.when(ok, x)).alias("min"), F.max(F.when(ok, x)).alias("max"),
         ),
         "mean", "std", "min", "max",
@@ -106,10 +106,12 @@ def planar_coordinates(spark, d):
 
 
 def contrastive_eval(spark, d):
+    """Loss of the stated queries against all rows."""
     e = _e(spark, d)
-    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"))
-    sims = search.top_k_batch(e, e.filter("vec_id % 100 = 0"), 50).filter("query_id != vec_id")
-    pairs = sims.join(q, "query_id").join(e.select("vec_id", "label"), "vec_id").select(F.col("query_id").alias("anchor"), F.col("vec_id").alias("candidate"), "similarity", (F.col("ql") == F.col("label")).alias("positive"))
+    q = e.filter("vec_id % 100 = 0")
+    names = q.select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"))
+    sims = search.all_similarities(e, q).filter("query_id != vec_id")
+    pairs = sims.join(names, "query_id").join(e.select("vec_id", "label"), "vec_id").select(F.col("query_id").alias("anchor"), F.col("vec_id").alias("candidate"), "similarity", (F.col("ql") == F.col("label")).alias("positive"))
     return _r(learn.contrastive_loss(pairs), "loss")
 
 
@@ -152,8 +154,10 @@ SQL = {
         FROM (SELECT vec_id, embedding, unnest(range(0, 8)) AS panel_id FROM embeddings)""",
     "intra_inter_similarity": f"""SELECT round(avg(CASE WHEN e.label = q.label THEN {_COS} END), 6) AS intra, round(avg(CASE WHEN e.label <> q.label THEN {_COS} END), 6) AS inter
         FROM embeddings e, embeddings q WHERE e.vec_id < q.vec_id""",
+    "contrastive_eval": f"""WITH s AS (SELECT q.vec_id AS anchor, exp({_COS} / 0.07) AS x, q.label = e.label AS positive FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q WHERE e.vec_id <> q.vec_id),
+        a AS (SELECT anchor, sum(x) FILTER (positive) AS p, sum(x) AS a FROM s GROUP BY anchor) SELECT round(avg(-ln(p / a)), 6) AS loss, count(*) AS n_anchors FROM a WHERE p > 0""",
     "vector_stats": """WITH l AS (SELECT unnest(page_embeddings)::DOUBLE AS x FROM page_vectors)
-        SELECT count(x) AS n, sum(isnan(x)::INT) AS n_nan, sum((x = 0)::INT) AS n_zero, round(avg(x) FILTER (NOT isnan(x)), 6) AS mean, round(stddev_pop(x) FILTER (NOT isnan(x)), 6) AS std,
+        SELECT count(x) AS n, sum(isnan(x)::INT) AS n_nan, sum(isinf(x)::INT) AS n_inf, sum((x = 0)::INT) AS n_zero, round(avg(x) FILTER (NOT isnan(x)), 6) AS mean, round(stddev_pop(x) FILTER (NOT isnan(x)), 6) AS std,
         round(min(x) FILTER (NOT isnan(x)), 6) AS min, round(max(x) FILTER (NOT isnan(x)), 6) AS max FROM l""",
     "zero_norm_filter": """SELECT source, count(CASE WHEN s > 1e-6 THEN 1 END) AS kept, count(*) AS n FROM (SELECT source,
         sqrt(list_sum(list_transform(page_embeddings, lambda x: x::DOUBLE * x::DOUBLE))) AS s FROM page_vectors) GROUP BY source""",

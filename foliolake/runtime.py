@@ -17,9 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests, one machine)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset and all work is on one machine
+    (tests). On a cluster there is none to fall back on: an error says so."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="foliolake-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         path = "file://" + folder

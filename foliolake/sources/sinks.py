@@ -32,18 +32,25 @@ def tier_lists(df: DataFrame, path: str, *, tier: str, value: str) -> None:
 
 
 def one_file_per_key(df: DataFrame, root: str, *, key: str, text: str) -> None:
-    """Export only: a file for each row, written by the executors under a folder they all see, whole or not at all."""
+    """Export only: a file for each row, whole or not at all, through the file system of ``root`` (a path or an address that pyarrow knows:
+    file, hdfs, s3, gs). On a cluster a local path is refused: each executor would write to its own disk. A null key or text writes an
+    empty name part or an empty file."""
+    if "://" not in root:
+        if not df.sparkSession.sparkContext.master.startswith("local"):
+            raise ValueError(f"{root}: give an address that all executors share")
+        root = f"file://{root}"
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
 
     def write(part) -> None:  # noqa: ANN001
-        import os
+        from pyarrow import fs
 
+        system, base = fs.FileSystem.from_uri(root)
         for r in part:
-            at = os.path.join(root, *[p for p in str(r["k"]).split("/") if p not in ("", ".", "..")]) + ".json"
-            os.makedirs(os.path.dirname(at), exist_ok=True)
-            with open(at + ".part", "w", encoding="utf-8") as f:
-                f.write(r["t"] or "")
-            os.replace(at + ".part", at)
+            at = "/".join([base.rstrip("/"), *[p for p in str(r["k"]).split("/") if p not in ("", ".", "..")]]) + ".json"
+            system.create_dir(at.rpartition("/")[0], recursive=True)
+            with system.open_output_stream(at + ".part") as f:
+                f.write((r["t"] or "").encode())
+            system.move(at + ".part", at)
 
     rows.foreachPartition(write)
 

@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from foliolake.operators.incremental import append_new
 from foliolake.operators.nested_flatten import flat_table, flatten_pages
 
 
 def page_metrics(docs: DataFrame) -> DataFrame:
     """(record_id, n_panels, n_texts, n_lines): what a document holds."""
-    flat = flatten_pages(docs).filter("kind != 'panel'").distinct()
+    return _metrics(flatten_pages(docs))
+
+
+def _metrics(flat: DataFrame) -> DataFrame:
+    flat = flat.filter("kind != 'panel'").distinct()
     return flat.groupBy("record_id").agg(
         F.max(F.when(F.col("kind") == "page", F.col("panel_pos"))).alias("n_panels"), F.count(F.when((F.col("kind") == "text") & F.col("has_word"), 1)).alias("n_texts"),
         F.count(F.when((F.col("kind") == "speakers") & F.col("has_word"), 1)).alias("n_lines"),
@@ -21,14 +24,15 @@ def page_metrics(docs: DataFrame) -> DataFrame:
 
 def refresh(spark: SparkSession, source: str, target: str, checkpoint: str, *, schema, files_per_batch: int = 100) -> StreamingQuery:
     """Works through all documents under ``source`` that no run has seen and stops: panels to ``target``/panels, metrics to
-    ``target``/metrics. A document's record_id is written once: a batch that is tried again after a failure finds its rows there."""
-    docs = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-
-    def batch(df: DataFrame, _: int) -> None:
-        own = df.persist()
-        append_new(spark, f"{target}/panels", flat_table(flatten_pages(own), "panel"), ["record_id", "panel_pos"])
-        append_new(spark, f"{target}/metrics", page_metrics(own), ["record_id"])
-        own.unpersist()
+    ``target``/metrics, each batch to a folder of its number. A record_id is worked on once: the stream's state knows those of earlier
+    batches, so no batch reads what others wrote, and one that is tried again after a failure writes its own folder anew."""
+    docs = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source).dropDuplicates(["record_id"])
+
+    def batch(df: DataFrame, number: int) -> None:
+        flat = flatten_pages(df).persist()  # read by both
+        flat_table(flat, "panel").write.mode("overwrite").parquet(f"{target}/panels/batch={number}")
+        _metrics(flat).write.mode("overwrite").parquet(f"{target}/metrics/batch={number}")
+        flat.unpersist()
 
     return docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
