@@ -12,12 +12,13 @@ a member's name or lie deeper than :data:`MAX_DEPTH` are left to an ordinary par
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from foliolake.functions.vlm_json import read_doc
+from foliolake.functions.vlm_json import PAGE_MEMBERS, read_doc
 
 MAX_DEPTH = 100
 OBJECT, ARRAY, CLOSE_OBJECT, CLOSE_ARRAY, COMMA, COLON, STRING, LITERAL = range(1, 9)
@@ -230,6 +231,10 @@ class JsonIndex:
         """The texts of string values."""
         return self._texts(self.begin[values] + 1, self.end[values] - 1)
 
+    def written(self, values: np.ndarray) -> pa.Array:
+        """The values as they are written."""
+        return self._slices(self.begin[values], self.end[values])
+
     def flat_texts(self, values: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
         """For each owner 0 .. n - 1 the strings, numbers and truth values in its values, joined by blanks; ``owner`` is in order."""
         low, high = self.leaves_before[values], self.leaves_before[self.stop[values]]
@@ -276,3 +281,27 @@ def indexed(docs: pa.Array) -> tuple[JsonIndex, JsonIndex | None, np.ndarray]:
     numbers = numbers[[p is not None for p in pages]]
     again = [json.dumps(p) for p in pages if p is not None]
     return whole, JsonIndex(pa.array(again, pa.large_string()), max_depth=1 << 15) if again else None, numbers
+
+
+def panel_lists(ix: JsonIndex) -> np.ndarray:
+    """For each value, if it is a page: the number of its panel list (as ``vlm_json.panel_list``), -1 where there is none."""
+    inner = np.zeros(len(ix.doc), bool)
+    objects = np.flatnonzero((ix.kind == OBJECT) & (ix.parent >= 0))
+    inner[ix.parent[objects]] = True
+    members = np.flatnonzero((ix.level == 1) & ~ix.codes(PAGE_MEMBERS)[ix.key])
+    out = np.full(len(ix.doc), -1)
+    spare = members[ix.null[members] | (ix.kind[members] == OBJECT) | (ix.kind[members] == ARRAY)]
+    # Written from the last to the first, so the first stays; those that hold objects come before all others.
+    for own in (spare, members[inner[members]]):
+        out[ix.parent[own[::-1]]] = own[::-1]
+    return out
+
+
+def pieces(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about ``size`` bytes of a string column, of one row at least."""
+    upto = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))])
+    lo = 0
+    while lo < batch.num_rows:
+        hi = int(min(max(np.searchsorted(upto, upto[lo] + size, "right") - 1, lo + 1), batch.num_rows))
+        yield batch.slice(lo, hi - lo)
+        lo = hi

@@ -19,8 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliolake.functions.json_index import ARRAY, OBJECT, STRING, JsonIndex, indexed, place_in_group
-from foliolake.functions.vlm_json import PAGE_MEMBERS, panel_list, read_doc
+from foliolake.functions.json_index import ARRAY, OBJECT, STRING, JsonIndex, indexed, panel_lists, pieces, place_in_group
+from foliolake.functions.vlm_json import panel_list, read_doc
 from foliolake.runtime import spread
 
 #: Names the two lists of a panel go by.
@@ -177,20 +177,6 @@ def _has_word(content: pa.Array) -> pa.Array:
     return pc.fill_null(pc.not_equal(pc.utf8_trim_whitespace(content), ""), False)
 
 
-def _panel_lists(ix: JsonIndex, pages: np.ndarray) -> np.ndarray:
-    """Number of each page's panel list (as ``vlm_json.panel_list``), -1 where there is none."""
-    inner = np.zeros(len(ix.doc), bool)
-    objects = np.flatnonzero((ix.kind == OBJECT) & (ix.parent >= 0))
-    inner[ix.parent[objects]] = True
-    members = np.flatnonzero((ix.level == 1) & ~ix.codes(PAGE_MEMBERS)[ix.key])
-    out = np.full(len(ix.doc), -1)
-    spare = members[ix.null[members] | (ix.kind[members] == OBJECT) | (ix.kind[members] == ARRAY)]
-    # Written from the last to the first, so the first stays; those that hold objects come before all others.
-    for own in (spare, members[inner[members]]):
-        out[ix.parent[own[::-1]]] = own[::-1]
-    return out[pages]
-
-
 def _field_roles(ix: JsonIndex, fields: np.ndarray, names: pa.Array | None) -> np.ndarray:
     """The role of each panel field (as :func:`list_role`). ``names``: for each document the earlier names of its lists."""
     known = np.select([ix.codes(TEXT_LISTS), ix.codes(SPEAKER_LISTS), ix.codes(PANEL_MEMBERS)], [_TEXT, _SPEAKERS, 3], -1)
@@ -300,7 +286,7 @@ def _flat_pieces(ix: JsonIndex, ids: pa.Array, names: pa.Array | None) -> Iterat
     page_key = _optional(ix, ix.first_named(is_page, ("canonical_id",))[pages])
     error = ix.first_named(is_page, ("error",), nulls=True)[pages]
     summary = pc.fill_null(_optional(ix, np.where(error >= 0, error, ix.first_named(is_page, ("overall_summary",))[pages])), "")
-    held = _panel_lists(ix, pages)
+    held = panel_lists(ix)[pages]
     page_of = np.full(len(ix.doc), -1)
     page_of[held[held >= 0]] = np.flatnonzero(held >= 0)
     panels = ix.children(page_of >= 0)
@@ -345,13 +331,7 @@ def _flat_pieces(ix: JsonIndex, ids: pa.Array, names: pa.Array | None) -> Iterat
 
 def _flat_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        bytes_before = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column("doc")), 0).to_numpy(zero_copy_only=False))])
-        cuts = [0]
-        while cuts[-1] < batch.num_rows:
-            upto = np.searchsorted(bytes_before, bytes_before[cuts[-1]] + PIECE, "right") - 1
-            cuts.append(int(min(max(upto, cuts[-1] + 1), batch.num_rows)))
-        for lo, hi in zip(cuts, cuts[1:]):
-            part = batch.slice(lo, hi - lo)
+        for part in pieces(batch, "doc", PIECE):
             ids, names = part.column("record_id"), part.column("names")
             names = None if names.null_count == len(names) else names
             whole, rest, numbers = indexed(part.column("doc"))

@@ -1,6 +1,6 @@
 """Schemas that drift between the files of a feed: one consistent table, and a report of each change.
 
-1. *Profile*: one pass over the documents keeps, for each (feed, file, field path), the JSON types of the non-null values and a
+1. *Profile*: one pass over the documents, by the structural index of Arrow batches, keeps, for each (feed, file, field path), the JSON types of the non-null values and a
    hashed histogram of the words and numbers under the field. Profiles merge by addition, so they are combined within each
    partition before anything is shuffled; one feed with a third of all rows sends no more than its number of files and fields.
 2. *Edit script*: the schema trees of consecutive files are compared by a top-down tree edit distance. Children of matched
@@ -15,15 +15,17 @@ from __future__ import annotations
 
 import json
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliolake.functions.vlm_json import holds_objects, panel_list, panels_of, read_doc
+from foliolake.functions.json_index import ARRAY, LITERAL, OBJECT, STRING, JsonIndex, column_bytes, indexed, panel_lists, pieces, ranges
+from foliolake.functions.vlm_json import panel_list, panels_of, read_doc
 from foliolake.runtime import spread
 
 #: Cost of deleting or adding a subtree.
@@ -31,12 +33,12 @@ DROP = 1.0
 #: Buckets of a content histogram.
 BUCKETS = 2048
 #: Profiles that a partition keeps before it passes them on: bounds the memory of a task.
-HELD_PROFILES = 30_000
+HELD_PROFILES, HELD_COUNTS = 30_000, 4_000_000
+#: A batch is worked on in pieces of about this many bytes.
+PIECE = 8 << 20
 
 PROFILE_SCHEMA = "feed string, file_seq int, path string, n long, types array<string>, sketch binary"
 CHANGE_SCHEMA = "feed string, file_seq int, field_path string, old_path string, change_kind string, old_types array<string>, new_types array<string>, likeness double"
-_WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*", re.UNICODE)
-_NUMBER = re.compile(r"-?\d+(?:\.\d+)?\Z")
 
 
 def json_type(value: object) -> str | None:
@@ -63,106 +65,197 @@ def _number_word(x: float) -> str:
     return f"#f{x:.1f}"
 
 
-def content_words(value: object) -> Iterator[str]:
-    """The words, numbers and truth values of a scalar, written so that a change of type keeps them alike (``3``, ``"3"``; true, 1)."""
-    if isinstance(value, str):
-        for w in _WORD.findall(value.lower()):
-            yield w if not w[0].isdigit() else w
-        return
-    if isinstance(value, (int, float)):
-        yield _number_word(float(value))
-
-
-def _sketch_words(value: object) -> list[str]:
-    if isinstance(value, str):
-        s = value.strip()
-        if s and (s[0].isdigit() or s[0] == "-"):
-            parts = [p.strip() for p in s.split(",")]
-            if all(_NUMBER.match(p) for p in parts):
-                return [_number_word(float(p)) for p in parts]
-        return _WORD.findall(value.lower())
-    if isinstance(value, (int, float)):
-        return [_number_word(float(value))]
-    return []
+_SCALARS = {"string": 1, "number": 2, "boolean": 3, "object": 4}
+_POWERS = np.cumprod(np.full(256, 0x9E3779B97F4A7C15 | 1, np.uint64))
+_ALNUM = np.zeros(256, bool)
+_ALNUM[list(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = True
+_ALNUM[128:] = True
+_NUMBERS_TEXT = r"^\s*-?[0-9]+(?:\.[0-9]+)?\s*(?:,\s*-?[0-9]+(?:\.[0-9]+)?\s*)*$"
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    return (((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(40)).astype(np.int64) % BUCKETS
+
+
+def bucket_of(word: str) -> int:
+    raw = np.frombuffer(word.encode(), np.uint8).astype(np.uint64)
+    return int(_mixed(np.array([(raw * _POWERS[np.arange(len(raw)) % 256]).sum()], np.uint64))[0])
+
+
+def number_words(text: str) -> list[str]:
+    """The words of a number, of several between commas, or of a truth value, written so that a change of type keeps them alike."""
+    if text in ("true", "false"):
+        return ["#1" if text == "true" else "#0"]
+    return [_number_word(float(x.strip().replace("Infinity", "inf"))) for x in text.split(",")]
+
+
+def word_buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(text, bucket) of each word: a run of letters and digits, apostrophes and hyphens between them included, in lower case. From the
+    bytes of all texts at once; general punctuation, signs and CJK punctuation divide words as ASCII signs do."""
+    texts = pc.replace_substring(pc.utf8_lower(texts), "’", "'")
+    buf, starts = column_bytes(texts)
+    word = _ALNUM[buf]
+    n = len(buf)
+    for lead, seconds, width in ((0xE2, (0x80, 0x81), 3), (0xE3, (0x80,), 3), (0xC2, range(0x80, 0xC0), 2)):
+        at = np.flatnonzero(buf[: max(n - 1, 0)] == lead)
+        at = at[np.isin(buf[at + 1], list(seconds))]
+        for k in range(width):
+            word[np.minimum(at + k, n - 1)] = False
+    join = np.flatnonzero((buf == ord("'")) | (buf == ord("-")))
+    join = join[(join > 0) & (join < n - 1)]
+    join = join[word[join - 1] & word[join + 1]]
+    edge = np.zeros(n + 1, bool)
+    edge[starts] = True
+    word[join[~edge[join] & ~edge[join + 1]]] = True
+    first = word & (edge[:n] | ~np.concatenate([[False], word[:-1]])) if n else word
+    at = np.flatnonzero(word)
+    heads = np.flatnonzero(first[at])
+    if not len(heads):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    place = np.arange(len(at)) - np.repeat(heads, np.diff(np.concatenate([heads, [len(at)]])))
+    h = np.add.reduceat(buf[at].astype(np.uint64) * _POWERS[place % 256], heads)
+    return np.searchsorted(starts, at[heads], "right") - 1, _mixed(h)
+
+
+def _node_types(ix: JsonIndex) -> tuple[np.ndarray, list[str | None]]:
+    """(code of each value's JSON type, names of the codes); 0 for nulls and for arrays without a non-null element."""
+    names: list[str | None] = [None, *_SCALARS]
+    code = np.zeros(len(ix.doc), np.int64)
+    first = ix.buf[ix.begin]
+    code[ix.kind == STRING] = _SCALARS["string"]
+    code[ix.kind == OBJECT] = _SCALARS["object"]
+    code[ix.kind == LITERAL] = np.select([first == ord("n"), (first == ord("t")) | (first == ord("f"))], [0, _SCALARS["boolean"]], _SCALARS["number"])[ix.kind == LITERAL]
+    code[(ix.kind == LITERAL) & (first == ord("N"))] = _SCALARS["number"]
+    known: dict[int, int] = {}
+    order = np.argsort(ix.level, kind="stable")
+    cuts = np.searchsorted(ix.level[order], np.arange((ix.level.max() if len(order) else 0) + 2))
+    for d in range(len(cuts) - 2, 0, -1):
+        own = order[cuts[d] : cuts[d + 1]]
+        own = own[(ix.kind[ix.parent[own]] == ARRAY) & (code[own] > 0)]
+        if not len(own):
+            continue
+        bits = np.array([1 << int(c) for c in range(len(names))], object if len(names) > 62 else np.int64)[code[own]]
+        heads = np.flatnonzero(np.concatenate([[True], ix.parent[own][1:] != ix.parent[own][:-1]]))
+        sets = np.bitwise_or.reduceat(bits, heads)
+        for mask in set(sets.tolist()) - set(known):
+            inner = sorted(names[c] for c in range(len(names)) if mask >> c & 1)
+            known[mask] = len(names)
+            names.append(f"array<{','.join(inner)}>")
+        code[ix.parent[own[heads]]] = [known[m] for m in sets.tolist()]
+    return code, names
 
 
 class _Profiles:
-    """(feed, file, path) -> [times seen, types, {bucket: count}]."""
+    """(feed, file, path) -> [times seen, types, [(buckets, counts)]]."""
 
     def __init__(self) -> None:
         self.held: dict[tuple[str, int, str], list] = {}
-        self.buckets: dict[str, int] = {}
-
-    def bucket(self, word: str) -> int:
-        b = self.buckets.get(word)
-        if b is None:
-            if len(self.buckets) > 200_000:
-                self.buckets.clear()
-            h = 2166136261
-            for c in word.encode():
-                h = (h ^ c) * 16777619 & 0xFFFFFFFF
-            b = self.buckets[word] = (h ^ (h >> 15)) % BUCKETS
-        return b
-
-    def add(self, feed: str, seq: int, page: dict) -> None:
-        name, value = panel_list(page)
-        if name is None:
+        self.size = 0
+
+    def add(self, ix: JsonIndex, feeds: list, seqs: np.ndarray) -> None:
+        """Adds the fields in the panel lists of all documents of an index; ``feeds`` and ``seqs`` by document."""
+        tops = np.flatnonzero(ix.level == 0)
+        lists = panel_lists(ix)[tops]
+        lists = lists[lists >= 0]
+        if not len(lists):
             return
-        self._walk(feed, seq, name, value, True)
-
-    def _walk(self, feed: str, seq: int, path: str, value: object, top: bool = False) -> dict[int, int]:
-        """Adds the value at ``path``; returns the histogram of all that lies in it."""
-        own: dict[int, int] = {}
-        at = self.held.get((feed, seq, path))
-        if at is None:
-            at = self.held[(feed, seq, path)] = [0, set(), {}]
-        at[0] += 1
-        if (t := json_type(value)) is not None:
-            at[1].add(t)
-        if isinstance(value, dict):
-            if top and (holds_objects(value) or not value):
-                for x in value.values():
-                    self._inside(feed, seq, path, x, own)
-            else:
-                for k, x in value.items():
-                    for b, n in self._walk(feed, seq, f"{path}.{k}", x).items():
-                        own[b] = own.get(b, 0) + n
-        elif isinstance(value, list):
-            for x in value:
-                self._inside(feed, seq, path, x, own)
-        else:
-            for w in _sketch_words(value):
-                b = self.bucket(w)
-                own[b] = own.get(b, 0) + 1
-        counts = at[2]
-        for b, n in own.items():
-            counts[b] = counts.get(b, 0) + n
-        return own
-
-    def _inside(self, feed: str, seq: int, path: str, x: object, own: dict[int, int]) -> None:
-        """An element of the list at ``path``: its members are children of the path itself."""
-        if isinstance(x, dict):
-            for k, y in x.items():
-                for b, n in self._walk(feed, seq, f"{path}.{k}", y).items():
-                    own[b] = own.get(b, 0) + n
-        elif isinstance(x, list):
-            for y in x:
-                self._inside(feed, seq, path, y, own)
-        else:
-            for w in _sketch_words(x):
-                b = self.bucket(w)
-                own[b] = own.get(b, 0) + 1
+        turn = np.zeros(len(ix.doc) + 1, np.int64)
+        turn[lists] += 1
+        np.subtract.at(turn, ix.stop[lists], 1)
+        within = np.cumsum(turn[:-1]) > 0
+        # The keys of a panel list that is an object are no names.
+        has_child, has_object = np.zeros(len(ix.doc), bool), np.zeros(len(ix.doc), bool)
+        has_child[ix.parent[ix.parent >= 0]] = True
+        has_object[ix.parent[(ix.kind == OBJECT) & (ix.parent >= 0)]] = True
+        dropped = np.zeros(len(ix.doc) + 1, bool)
+        dropped[lists[(ix.kind[lists] == OBJECT) & (has_object[lists] | ~has_child[lists])]] = True
+        is_list = np.zeros(len(ix.doc), bool)
+        is_list[lists] = True
+        seen = within & (is_list | ((ix.key >= 0) & ~dropped[ix.parent]))
+        paths, above, path = [], [], np.full(len(ix.doc), -1)
+        width = len(ix.names) + 1
+        order = np.flatnonzero(within)
+        order = order[np.argsort(ix.level[order], kind="stable")]
+        levels = ix.level[order]
+        for d in range(1, (levels[-1] if len(levels) else 0) + 1):
+            own = order[np.searchsorted(levels, d) : np.searchsorted(levels, d + 1)]
+            up = np.where(is_list[own], -1, path[ix.parent[own]])
+            new = seen[own]
+            path[own] = up
+            pairs, place = np.unique((up[new] + 1) * width + ix.key[own[new]], return_inverse=True)
+            path[own[new]] = place + len(paths)
+            for x in pairs.tolist():
+                parent = x // width - 1
+                paths.append(ix.names[x % width] if parent < 0 else f"{paths[parent]}.{ix.names[x % width]}")
+                above.append(parent)
+        keys = list(zip(feeds, seqs.tolist()))
+        files = list(dict.fromkeys(keys))
+        number = {k: i for i, k in enumerate(files)}
+        file_of = np.array([number[k] for k in keys])
+        n_paths = len(paths)
+
+        own = np.flatnonzero(seen)
+        group = file_of[ix.doc[own]] * n_paths + path[own]
+        times = np.bincount(group, minlength=len(files) * n_paths)
+        codes, type_names = _node_types(ix)
+        types: dict[int, set] = {}
+        for x in np.unique(group * len(type_names) + codes[own]).tolist():
+            if x % len(type_names):
+                types.setdefault(x // len(type_names), set()).add(type_names[x % len(type_names)])
+
+        leaves = ix.leaves[within[ix.leaves]]
+        group = file_of[ix.doc[leaves]] * n_paths + path[leaves]
+        is_text = ix.kind[leaves] == STRING
+        texts = ix.strings(leaves[is_text])
+        numeric = pc.match_substring_regex(texts, _NUMBERS_TEXT).to_numpy(zero_copy_only=False)
+        of, bucket = word_buckets(texts.filter(pa.array(~numeric)))
+        found = [(group[is_text][~numeric][of], bucket)]
+        for values, groups in ((texts.filter(pa.array(numeric)), group[is_text][numeric]), (ix.written(leaves[~is_text]), group[~is_text])):
+            coded = values.dictionary_encode()
+            words = [[bucket_of(w) for w in number_words(x)] for x in coded.dictionary.to_pylist()]
+            counts = np.array([len(w) for w in words], np.int64)
+            starts = np.concatenate([[0], np.cumsum(counts)])[:-1].astype(np.int64)
+            code = coded.indices.to_numpy()
+            flat = np.array([b for w in words for b in w], np.int64)
+            found.append((np.repeat(groups, counts[code]), flat[ranges(starts[code], counts[code])] if len(code) else flat[:0]))
+        at = np.concatenate([g for g, _ in found]) * BUCKETS + np.concatenate([b for _, b in found])
+        at, n = np.unique(at, return_counts=True)
+        # What lies in a field lies in all fields around it.
+        up = np.array(above, np.int64)
+        every, sums = [at], [n]
+        while len(at):
+            parent = up[at // BUCKETS % n_paths]
+            at, n, parent = at[parent >= 0], n[parent >= 0], parent[parent >= 0]
+            at = (at // BUCKETS // n_paths * n_paths + parent) * BUCKETS + at % BUCKETS
+            every.append(at)
+            sums.append(n)
+        at, place = np.unique(np.concatenate(every), return_inverse=True)
+        n = np.bincount(place, np.concatenate(sums)).astype(np.int64)
+        bounds = np.searchsorted(at // BUCKETS, np.arange(len(times) + 1))
+        self.size += len(at)
+        for g in np.flatnonzero(times).tolist():
+            profile = self.held.setdefault((*files[g // n_paths], paths[g % n_paths]), [0, set(), []])
+            profile[0] += int(times[g])
+            profile[1] |= types.get(g, set())
+            lo, hi = bounds[g], bounds[g + 1]
+            if hi > lo:
+                profile[2].append((at[lo:hi] % BUCKETS, n[lo:hi]))
 
     def flush(self) -> pd.DataFrame:
-        rows = [(f, s, p, n, sorted(t), pack_sketch(c)) for (f, s, p), (n, t, c) in self.held.items()]
-        self.held = {}
+        rows = []
+        for (f, s, p), (n, t, parts) in self.held.items():
+            own = np.zeros(BUCKETS, np.int64)
+            for b, c in parts:
+                own[b] += c
+            rows.append((f, s, p, n, sorted(t), pack_sketch(own)))
+        self.held, self.size = {}, 0
         return pd.DataFrame(rows, columns=["feed", "file_seq", "path", "n", "types", "sketch"])
 
 
-def pack_sketch(counts: dict[int, int]) -> bytes:
+def pack_sketch(counts: np.ndarray) -> bytes:
     """Bucket numbers, then counts: two arrays of little-endian integers."""
-    keys = np.fromiter(sorted(counts), np.uint16, len(counts))
-    return keys.tobytes() + np.array([counts[int(k)] for k in keys], np.uint32).tobytes()
+    at = np.flatnonzero(counts)
+    return at.astype(np.uint16).tobytes() + counts[at].astype(np.uint32).tobytes()
 
 
 def unpack_sketch(raw: bytes) -> np.ndarray:
@@ -172,16 +265,24 @@ def unpack_sketch(raw: bytes) -> np.ndarray:
     return out
 
 
-def _profile_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _profile_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("feed", pa.string()), ("file_seq", pa.int32()), ("path", pa.string()), ("n", pa.int64()), ("types", pa.list_(pa.string())), ("sketch", pa.binary())])
     held = _Profiles()
-    for pdf in batches:
-        for feed, seq, doc in zip(pdf["feed"], pdf["file_seq"], pdf["doc"]):
-            if (page := read_doc(doc)) is not None:
-                held.add(feed, int(seq), page)
-        if len(held.held) > HELD_PROFILES:
-            yield held.flush()
+
+    def flushed() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pandas(held.flush(), schema, preserve_index=False)
+
+    for batch in batches:
+        for part in pieces(batch, "doc", PIECE):
+            feeds, seqs = part.column("feed").to_pylist(), part.column("file_seq").to_numpy()
+            whole, rest, numbers = indexed(part.column("doc"))
+            held.add(whole, feeds, seqs)
+            if rest is not None:
+                held.add(rest, [feeds[i] for i in numbers], seqs[numbers])
+            if len(held.held) > HELD_PROFILES or held.size > HELD_COUNTS:
+                yield flushed()
     if held.held:
-        yield held.flush()
+        yield flushed()
 
 
 def _merge_profiles(pdf: pd.DataFrame) -> dict[str, tuple[int, list[str], np.ndarray]]:
@@ -198,8 +299,7 @@ def _merge_file(pdf: pd.DataFrame) -> pd.DataFrame:
     feed, seq = pdf["feed"].iloc[0], int(pdf["file_seq"].iloc[0])
     rows = []
     for p, (n, t, s) in _merge_profiles(pdf).items():
-        nz = np.nonzero(s)[0]
-        rows.append((feed, seq, p, n, t, nz.astype(np.uint16).tobytes() + s[nz].astype(np.uint32).tobytes()))
+        rows.append((feed, seq, p, n, t, pack_sketch(s)))
     return pd.DataFrame(rows, columns=["feed", "file_seq", "path", "n", "types", "sketch"])
 
 
@@ -210,7 +310,7 @@ def file_profiles(docs: DataFrame) -> DataFrame:
     documents that are null, empty or break off. Rows delivered twice change no type and no script.
     """
     slim = docs.select("feed", "file_seq", "doc").filter("feed is not null and file_seq is not null and doc is not null")
-    partial = spread(slim).mapInPandas(_profile_batches, PROFILE_SCHEMA)
+    partial = spread(slim).mapInArrow(_profile_batches, PROFILE_SCHEMA)
     return partial.groupBy("feed", "file_seq").applyInPandas(_merge_file, PROFILE_SCHEMA)
 
 

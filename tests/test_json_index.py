@@ -10,6 +10,7 @@ import pytest
 from foliolake.functions.json_index import ARRAY, OBJECT, JsonIndex, indexed
 from foliolake.functions.vlm_json import panel_list, panels_of, read_doc
 from foliolake.operators import nested_flatten as nf
+from foliolake.operators import schema_drift as sd
 
 
 def rebuilt(ix, i):
@@ -150,3 +151,65 @@ def test_sliced_columns():
     docs = pa.array(["{}", '{"a":1}', None, '{"b":[1,2]}'], pa.string()).slice(1, 3)
     ix = JsonIndex(docs)
     assert ix.root.tolist()[1] == -1 and [rebuilt(ix, ix.root[i]) for i in (0, 2)] == [{"a": 1}, {"b": [1, 2]}] and not np.any(ix.rest)
+
+
+def walked(page):
+    """(path, JSON type) of every field in the panel list, by the plain rule."""
+    name, value = panel_list(page)
+    if name is None:
+        return
+
+    def visit(path, v, top=False):
+        yield path, sd.json_type(v)
+        if isinstance(v, dict):
+            keyless = top and (not v or any(isinstance(x, dict) for x in v.values()))
+            for k, x in v.items():
+                yield from inside(path, x) if keyless else visit(f"{path}.{k}", x)
+        elif isinstance(v, list):
+            for x in v:
+                yield from inside(path, x)
+
+    def inside(path, x):
+        if isinstance(x, dict):
+            for k, y in x.items():
+                yield from visit(f"{path}.{k}", y)
+        elif isinstance(x, list):
+            for y in x:
+                yield from inside(path, y)
+
+    yield from visit(name, value, True)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_profiles_have_the_types_of_the_plain_rule(seed):
+    rng = random.Random(seed)
+    docs, feeds, seqs = [], [], []
+    for i in range(300):
+        panels = [rng.choice([None, "x", anything(rng), {"a": anything(rng), "text": anything(rng)}]) for _ in range(rng.randrange(4))]
+        if rng.random() < 0.3:
+            panels = {f"p{j}": x for j, x in enumerate(panels)}
+        docs.append(rng.choice([json.dumps({"model": "m", "panels": panels, "z": rng.choice([None, {}, [{"q": 1}]])}), rng.choice(ODD)]))
+        feeds.append(rng.choice("fg"))
+        seqs.append(rng.randrange(1, 4))
+    batch = pa.record_batch([pa.array(feeds), pa.array(seqs, pa.int32()), pa.array(docs, pa.string())], names=["feed", "file_seq", "doc"])
+    got = {(r["feed"], r["file_seq"], r["path"]): (r["n"], r["types"]) for part in sd._profile_batches([batch]) for r in part.to_pylist()}
+    want: dict = {}
+    for feed, seq, doc in zip(feeds, seqs, docs):
+        for path, kind in walked(read_doc(doc) or {}):
+            own = want.setdefault((feed, seq, path), [0, set()])
+            own[0] += 1
+            own[1] |= {kind} - {None}
+    assert got == {k: (n, sorted(t)) for k, (n, t) in want.items()}
+
+
+def test_words_and_numbers_of_a_sketch():
+    texts = ["Don't stop — now… Now!", "ÉTÉ été", "", "x", "a-b -c '", "誰も。誰も", "rock’n’roll"]
+    of, bucket = sd.word_buckets(pa.array(texts, pa.large_string()))
+    words = [["don't", "stop", "now", "now"], ["été", "été"], [], ["x"], ["a-b", "c"], ["誰も", "誰も"], ["rock'n'roll"]]
+    assert [(i, sd.bucket_of(w)) for i, own in enumerate(words) for w in own] == list(zip(of.tolist(), bucket.tolist()))
+    assert sd.number_words("3") == sd.number_words("3.0") == ["#3"] and sd.number_words("true") == ["#1"] and sd.number_words(" 1, 2.5") == ["#1", "#f2.5"]
+    docs = [json.dumps({"panels": [{"t": ["one two", {"u": "two"}], "n": v}]}) for v in (3, "3", True)]
+    batch = pa.record_batch([pa.array(["f"] * 3), pa.array([1] * 3, pa.int32()), pa.array(docs)], names=["feed", "file_seq", "doc"])
+    sketches = {r["path"]: sd.unpack_sketch(r["sketch"]) for part in sd._profile_batches([batch]) for r in part.to_pylist()}
+    assert sketches["panels.t"].sum() == 9 and sketches["panels.t.u"][sd.bucket_of("two")] == 3 and sketches["panels.t"][sd.bucket_of("two")] == 6
+    assert sketches["panels"].sum() == 12 and sketches["panels.n"][sd.bucket_of("#3")] == 2 and sketches["panels.n"].sum() == 3
