@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 #: Members of a page document that are not the panel list.
 PAGE_MEMBERS = frozenset(
@@ -50,3 +51,29 @@ def panels_of(value: object) -> list:
     if isinstance(value, dict):
         return list(value.values())
     return value if isinstance(value, list) else []
+
+
+def items_of(value: object) -> list:
+    """The items in document order, nulls and blanks included: an object of lists counts on through its lists, a list within the
+    list is one item, a single string is the only item."""
+    if isinstance(value, list):
+        return value
+    if isinstance(value, dict):
+        out: list = []
+        for part in value.values():
+            out.extend(part if isinstance(part, list) else [] if part is None else [part])
+        return out
+    return [] if value is None else [value]
+
+
+def _leaves(value: object) -> Iterator[str]:
+    if isinstance(value, (list, dict)):
+        for x in value.values() if isinstance(value, dict) else value:
+            yield from _leaves(x)
+    elif value is not None:
+        yield value if isinstance(value, str) else json.dumps(value)
+
+
+def flat_text(value: object) -> str:
+    """All strings, numbers and truth values in a value, joined by blanks; "" for null."""
+    return " ".join(_leaves(value))

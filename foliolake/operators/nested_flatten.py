@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliolake.functions.json_index import ARRAY, OBJECT, STRING, JsonIndex, indexed, panel_lists, pieces, place_in_group
-from foliolake.functions.vlm_json import panel_list, read_doc
+from foliolake.functions.vlm_json import flat_text, items_of, panel_list, read_doc
 from foliolake.runtime import spread
 
 #: Names the two lists of a panel go by.
@@ -118,42 +118,16 @@ def fixed_shape(docs: DataFrame) -> DataFrame:
     return spread(docs.select("record_id", "doc")).mapInArrow(rename, "record_id long, doc string")
 
 
-def items_of(value: object) -> list:
-    """The items in document order, nulls and blanks included: an object of lists counts on through its lists, a list within the
-    list is one item, a single string is the only item."""
-    if isinstance(value, list):
-        return value
-    if isinstance(value, dict):
-        out: list = []
-        for part in value.values():
-            out.extend(part if isinstance(part, list) else [] if part is None else [part])
-        return out
-    return [] if value is None else [value]
-
-
-def _leaves(value: object) -> Iterator[str]:
-    if isinstance(value, (list, dict)):
-        for x in value.values() if isinstance(value, dict) else value:
-            yield from _leaves(x)
-    elif value is not None:
-        yield value if isinstance(value, str) else json.dumps(value)
-
-
-def _flat_text(value: object) -> str:
-    """All strings, numbers and truth values in a value, joined by blanks; "" for null."""
-    return " ".join(_leaves(value))
-
-
 def item_words(item: object, names: tuple[str, ...]) -> tuple[str | None, str | None]:
     """(who or how, text) of an item."""
     if item is None:
         return None, None
     if isinstance(item, dict):
-        label = next((_flat_text(item[k]) for k in ("speaker", "said_by", "character", "who") if item.get(k) is not None), None)
+        label = next((flat_text(item[k]) for k in ("speaker", "said_by", "character", "who") if item.get(k) is not None), None)
         known = [k for k in names if k in item]
         content = item[known[0]] if known else [v for k, v in item.items() if k not in ITEM_LABELS]
-        return label, None if content is None else _flat_text(content)
-    return None, _flat_text(item)
+        return label, None if content is None else flat_text(content)
+    return None, flat_text(item)
 
 
 #: A batch is worked on in pieces of about this many bytes, which bounds the index arrays of a task.

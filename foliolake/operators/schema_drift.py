@@ -3,12 +3,10 @@
 1. *Profile*: one pass over the documents, by the structural index of Arrow batches, keeps, for each (feed, file, field path), the JSON types of the non-null values and a
    hashed histogram of the words and numbers under the field. Profiles merge by addition, so they are combined within each
    partition before anything is shuffled; one feed with a third of all rows sends no more than its number of files and fields.
-2. *Edit script*: the schema trees of consecutive files are compared by a top-down tree edit distance. Children of matched
-   parents are matched by a minimum-cost assignment: 0 for the same name, :data:`DROP` for each child deleted and added, and for
-   a rename a cost that falls with the likeness of the two histograms, so that renaming beats delete-and-add from a likeness
-   of ``min_likeness`` on. A deleted and an added subtree of like name and content under different parents make a move.
-3. *Projection*: the scripts of a feed compose into a map from every path of every file to one consistent name, and each
-   document is projected by its file's map.
+2. *Edit script*: the schema trees of consecutive files are compared by a top-down tree edit distance (:func:`edit_script`), whose
+   cheapest script says what was added, removed, renamed, moved or changed its type.
+3. *Projection*: the scripts of a feed compose into a map from every path of every file to one consistent path, and each
+   document is projected by its file's map and brought to the types of one table.
 """
 
 from __future__ import annotations
@@ -16,6 +14,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -25,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliolake.functions.json_index import ARRAY, LITERAL, OBJECT, STRING, JsonIndex, column_bytes, indexed, panel_lists, pieces, ranges
-from foliolake.functions.vlm_json import panel_list, panels_of, read_doc
+from foliolake.functions.vlm_json import flat_text, items_of, panel_list, panels_of, read_doc
 from foliolake.runtime import spread
 
-#: Cost of deleting or adding a subtree.
-DROP = 1.0
+#: Costs of deleting or adding a subtree, of a change of types, and of a move beside the unlikeness.
+DROP, RETYPE, MOVE = 1.0, 0.5, 0.5
 #: Buckets of a content histogram.
 BUCKETS = 2048
 #: Profiles that a partition keeps before it passes them on: bounds the memory of a task.
@@ -38,7 +37,7 @@ HELD_PROFILES, HELD_COUNTS = 30_000, 4_000_000
 PIECE = 8 << 20
 
 PROFILE_SCHEMA = "feed string, file_seq int, path string, n long, types array<string>, sketch binary"
-CHANGE_SCHEMA = "feed string, file_seq int, field_path string, old_path string, change_kind string, old_types array<string>, new_types array<string>, likeness double"
+CHANGE_SCHEMA = "feed string, file_seq int, field_path string, old_path string, change_kind string, old_types array<string>, new_types array<string>, likeness double, cost double"
 
 
 def json_type(value: object) -> str | None:
@@ -360,61 +359,100 @@ def best_assignment(cost: list[list[float]], drop: float) -> list[tuple[int, int
     return [(match[j] - 1, j - 1) for j in range(1, m + 1) if 0 < match[j] <= n]
 
 
-def edit_script(old: dict, new: dict, min_likeness: float = 0.5) -> list[tuple[str, str | None, str, list[str] | None, list[str] | None, float | None]]:
-    """Minimum-cost script between two schema trees given as path -> (n, types, histogram).
+class Edit(NamedTuple):
+    path: str
+    old_path: str | None
+    kind: str
+    old_types: list[str] | None
+    new_types: list[str] | None
+    likeness: float | None
+    cost: float
 
-    Yields (path, old path, kind, old types, new types, likeness); kinds: added, removed, renamed, retyped, moved. A field whose
-    types are unknown on one side (nulls and empty arrays only) is not retyped. What lies under an added, removed or retyped
-    field isn't compared; ties between equal costs go to the first names in order.
-    """
 
-    def children(tree: dict, path: str) -> list[str]:
-        lead = path + "." if path else ""
-        return sorted(p for p in tree if p.startswith(lead) and "." not in p[len(lead) :]) if path else sorted(p for p in tree if "." not in p)
+def edit_script(old: dict, new: dict, min_likeness: float = 0.5) -> list[Edit]:
+    """The cheapest script between two schema trees given as path -> (n, types, histogram): a top-down tree edit distance.
 
-    out: list = []
+    Deleting or adding a subtree costs :data:`DROP`, a rename as much as the contents differ (from 0 to DROP, at ``min_likeness``; less
+    alike fields are never a rename), a change of types :data:`RETYPE`. Matching two fields costs the rename and what the cheapest
+    matching of their members costs, s / (1 + s) for a sum s, so that edits inside never make it cheaper to drop a field than to keep
+    it. Members are matched by a minimum-cost assignment, those of one name like all others at no cost for the name. Of the deleted and
+    added subtrees that remain, those under different parents are paired by another assignment: a move costs the unlikeness and
+    :data:`MOVE`, and takes the place of a deletion and an addition, which stay in the script at no cost.
 
-    def compare(a: str, b: str) -> None:
-        ta, tb = old[a][1], new[b][1]
-        if ta and tb and ta != tb:
-            out.append((b, a, "retyped", ta, tb, None))
-            return
-        match_below(a, b)
-
-    def match_below(a: str, b: str) -> None:
-        left = {p.rpartition(".")[2]: p for p in children(old, a)}
-        right = {p.rpartition(".")[2]: p for p in children(new, b)}
-        for k in left:
-            if k in right:
-                compare(left[k], right[k])
-        gone, come = [p for k, p in left.items() if k not in right], [p for k, p in right.items() if k not in left]
-        like = [[likeness(old[g][2], new[c][2]) for c in come] for g in gone]
-        cost = [[2 * DROP * (1 - x) / (1 - min_likeness) for x in row] for row in like]
-        pairs = [(i, j) for i, j in best_assignment(cost, DROP) if like[i][j] > min_likeness]
-        for i, j in pairs:
-            out.append((come[j], gone[i], "renamed", old[gone[i]][1], new[come[j]][1], like[i][j]))
-            compare(gone[i], come[j])
-        for i, g in enumerate(gone):
-            if i not in {x for x, _ in pairs}:
-                out.append((g, g, "removed", old[g][1], None, None))
+    Kinds: added, removed, renamed, retyped, moved. A field whose types are unknown on one side (nulls and empty arrays only) is not
+    retyped. What lies under an added, removed or retyped field isn't compared; ties go to the first names in order. The sum of the
+    costs is the distance of the trees.
+    """
+    below: list[dict[str, list[str]]] = []
+    for tree in (old, new):
+        kids: dict[str, list[str]] = {}
+        for p in sorted(tree):
+            kids.setdefault(p.rpartition(".")[0], []).append(p)
+        below.append(kids)
+    known: dict[tuple[str, str], tuple[float, list[Edit]]] = {}
+
+    def rename(a: str, b: str) -> tuple[float, float | None]:
+        if a.rpartition(".")[2] == b.rpartition(".")[2]:
+            return 0.0, None
+        x = likeness(old[a][2], new[b][2])
+        return (DROP * (1 - x) / (1 - min_likeness), x) if x > min_likeness else (math.inf, x)
+
+    def match(a: str, b: str) -> tuple[float, list[Edit]]:
+        if (a, b) not in known:
+            ta, tb = (old[a][1], new[b][1]) if a else (None, None)
+            if ta and tb and ta != tb:
+                known[a, b] = RETYPE, [Edit(b, a, "retyped", ta, tb, None, RETYPE)]
+            else:
+                known[a, b] = members(a, b)
+        return known[a, b]
+
+    def members(a: str, b: str) -> tuple[float, list[Edit]]:
+        left, right = below[0].get(a, []), below[1].get(b, [])
+        named, cost, script = {}, [], []
+        for g in left:
+            row = []
+            for c in right:
+                first, x = rename(g, c)
+                named[g, c] = x
+                inside = match(g, c)[0] if first < math.inf else 0.0
+                row.append(min(first + inside / (1 + inside), 2 * DROP + 1))
+            cost.append(row)
+        total, gone, come = 0.0, set(left), set(right)
+        for i, j in best_assignment(cost, DROP):
+            g, c = left[i], right[j]
+            if cost[i][j] > 2 * DROP:
+                continue
+            gone.discard(g)
+            come.discard(c)
+            total += cost[i][j]
+            if named[g, c] is not None:
+                script.append(Edit(c, g, "renamed", old[g][1], new[c][1], named[g, c], rename(g, c)[0]))
+            script += match(g, c)[1]
+        script += [Edit(g, g, "removed", old[g][1], None, None, DROP) for g in left if g in gone]
+        script += [Edit(c, None, "added", None, new[c][1], None, DROP) for c in right if c in come]
+        return total + DROP * (len(gone) + len(come)), script
+
+    script = members("", "")[1]
+    gone, come = [e for e in script if e.kind == "removed"], [e for e in script if e.kind == "added"]
+    cost, like = [], {}
+    for i, g in enumerate(gone):
+        row = []
         for j, c in enumerate(come):
-            if j not in {y for _, y in pairs}:
-                out.append((c, None, "added", None, new[c][1], None))
-
-    match_below("", "")
-    gone = [x for x in out if x[2] == "removed"]
-    for g in gone:
-        for c in [x for x in out if x[2] == "added"]:
-            same = g[0].rpartition(".")[2] == c[0].rpartition(".")[2]
-            if same and g[0].rpartition(".")[0] != c[0].rpartition(".")[0] and (x := likeness(old[g[0]][2], new[c[0]][2])) > min_likeness:
-                out.append((c[0], g[0], "moved", g[3], c[4], x))
-                break
-    return out
+            apart = g.path.rpartition(".")[0] != c.path.rpartition(".")[0]
+            like[i, j] = x = likeness(old[g.path][2], new[c.path][2]) if apart else 0.0
+            row.append(MOVE + DROP * (1 - x) / (1 - min_likeness) if x > min_likeness else 2 * DROP + 1)
+        cost.append(row)
+    for i, j in best_assignment(cost, DROP):
+        if cost[i][j] < 2 * DROP:
+            g, c = gone[i], come[j]
+            script[script.index(g)], script[script.index(c)] = g._replace(cost=0.0), c._replace(cost=0.0)
+            script.append(Edit(c.path, g.path, "moved", g.old_types, c.new_types, like[i, j], cost[i][j]))
+    return script
 
 
 def schema_changes(profiles: DataFrame, *, min_likeness: float = 0.5) -> DataFrame:
     """The edit script of every file against the file before it (``file_seq`` - 1) in its feed: feed, file_seq, field_path,
-    old_path, change_kind, types before and after, likeness of the contents of a rename.
+    old_path, change_kind, types before and after, likeness of the contents of a rename or move, cost.
 
     The first file of a feed, and a file whose predecessor is missing or holds no whole document, has no rows. A move is
     reported beside its removal and its addition.
@@ -426,88 +464,151 @@ def schema_changes(profiles: DataFrame, *, min_likeness: float = 0.5) -> DataFra
         feed, seq = pdf["feed"].iloc[0], int(pdf["at"].iloc[0])
         old, new = _merge_profiles(pdf[pdf["side"] == 1]), _merge_profiles(pdf[pdf["side"] == 0])
         rows = [(feed, seq, *x) for x in edit_script(old, new, min_likeness)] if old and new else []
-        return pd.DataFrame(rows, columns=["feed", "file_seq", "field_path", "old_path", "change_kind", "old_types", "new_types", "likeness"])
+        return pd.DataFrame(rows, columns=["feed", "file_seq", "field_path", "old_path", "change_kind", "old_types", "new_types", "likeness", "cost"])
 
     return twice.groupBy("feed", "at").applyInPandas(compare, CHANGE_SCHEMA)
 
 
+def distances(changes: DataFrame) -> DataFrame:
+    """(feed, file_seq, distance, n_edits): the tree edit distance of each file that differs from the file before it."""
+    return changes.groupBy("feed", "file_seq").agg(F.sum("cost").alias("distance"), F.count(F.lit(1)).alias("n_edits"))
+
+
 def reported_changes(changes: DataFrame) -> DataFrame:
     """(feed, file_seq, field_path, change_kind) without the moves, which stand there as removed and added."""
     return changes.filter("change_kind != 'moved'").select("feed", "file_seq", "field_path", "change_kind").distinct()
 
 
-#: The names of the consistent table's columns and, for each, the fixed names a feed's first file may give the field.
+#: The consistent table's columns, their types, and for each the fixed names a feed's first file may give the field.
 CONSISTENT = {
-    "panel_number": ("panel_number", "panel_no", "panel_id"),
-    "description": ("description", "panel_description", "scene"),
-    "caption": ("caption", "caption_text", "narration_box"),
-    "box": ("box_2d", "bbox", "bounds"),
-    "texts": ("text_content", "text", "lettering"),
-    "speakers": ("speakers", "voices", "speaking"),
-    "elements": ("key_elements", "items", "objects_seen"),
-    "actions": ("actions", "activity", "movements"),
-    "mood": ("mood", "tone"),
-    "shot": ("shot", "framing"),
-    "certainty": ("certainty", "confidence"),
-    "full_page": ("full_page", "is_splash"),
-    "colors": ("colors", "palette"),
+    "panel_number": ("string", ("panel_number", "panel_no", "panel_id")),
+    "description": ("string", ("description", "panel_description", "scene")),
+    "caption": ("string", ("caption", "caption_text", "narration_box")),
+    "box": ("array<double>", ("box_2d", "bbox", "bounds")),
+    "texts": ("array<struct<speaker:string,content:string>>", ("text_content", "text", "lettering")),
+    "speakers": ("array<struct<speaker:string,content:string>>", ("speakers", "voices", "speaking")),
+    "elements": ("array<string>", ("key_elements", "items", "objects_seen")),
+    "actions": ("array<string>", ("actions", "activity", "movements")),
+    "mood": ("string", ("mood", "tone")),
+    "shot": ("string", ("shot", "framing")),
+    "certainty": ("double", ("certainty", "confidence")),
+    "full_page": ("boolean", ("full_page", "is_splash")),
+    "colors": ("array<string>", ("colors", "palette")),
+}
+#: Names of the members of texts and speaker lines, and what they are called in the consistent table.
+INNER = {
+    "texts": {"text": "content", "words": "content", "content": "content", "lettering": "content", "dialogue": "content", "line": "content", "speaker": "speaker", "said_by": "speaker", "character": "speaker", "who": "speaker"},
+    "speakers": {"dialogue": "content", "line": "content", "text": "content", "words": "content", "content": "content", "character": "speaker", "who": "speaker", "speaker": "speaker", "name": "speaker"},
 }
 PANEL_SCHEMA = (
-    "record_id long, feed string, file_seq int, panel_pos int, " + ", ".join(f"{c} string" for c in CONSISTENT) + ", other map<string,string>"
+    "record_id long, feed string, file_seq int, panel_pos int, " + ", ".join(f"{c} {t}" for c, (t, _) in CONSISTENT.items()) + ", other map<string,string>"
 )
 
 
 def name_maps(profiles: DataFrame, changes: DataFrame) -> DataFrame:
-    """For each file the map from its panel fields' names to consistent names: (feed, file_seq, names map<string,string>).
+    """For each file the map from its fields' paths, below the panel list, to consistent paths: (feed, file_seq, names).
 
-    A field keeps the name it has in the feed's first file through all later renames. Only the renames travel to the feed's
-    group, a few short rows for each file.
+    A field keeps the place and name it has in the feed's first file through all later renames, at every depth: a path's map is that of
+    its parent and the field's own name. Only paths and renames travel to the feed's group, some short rows for each file.
     """
-    roots = profiles.select("feed", "file_seq", "path").filter(F.size(F.split("path", r"\.")) <= 2)
-    files = roots.withColumn("kind", F.lit("field")).withColumn("old_path", F.lit(None).cast("string"))
+    files = profiles.select("feed", "file_seq", "path", F.lit("field").alias("kind"), F.lit(None).cast("string").alias("old_path"))
     renames = changes.filter("change_kind = 'renamed'").select("feed", "file_seq", F.col("field_path").alias("path"), F.lit("renamed").alias("kind"), "old_path")
-    both = files.select("feed", "file_seq", "path", "kind", "old_path").unionByName(renames)
-    known = {alias: c for c, names in CONSISTENT.items() for alias in names}
+    known = {alias: c for c, (_, names) in CONSISTENT.items() for alias in names}
+    inner = lambda path: path.partition(".")[2]
 
     def compose(pdf: pd.DataFrame) -> pd.DataFrame:
         feed, line, rows = pdf["feed"].iloc[0], {}, []
         for seq, part in pdf.groupby("file_seq", sort=True):
-            moved = {p.rpartition(".")[2]: o.rpartition(".")[2] for p, o in part.loc[part["kind"] == "renamed", ["path", "old_path"]].itertuples(index=False) if "." in p}
-            fields = [p.rpartition(".")[2] for p in part.loc[part["kind"] == "field", "path"] if "." in p]
-            now = {f: line.get(moved.get(f, f), known.get(moved.get(f, f), moved.get(f, f))) for f in fields}
+            was = {inner(p): inner(o) for p, o in part.loc[part["kind"] == "renamed", ["path", "old_path"]].itertuples(index=False) if "." in p}
+            now: dict[str, str] = {}
+            before = {"": ""}  # the path in the file before
+            for p in sorted(inner(x) for x in part.loc[part["kind"] == "field", "path"] if "." in x):
+                up, _, name = p.rpartition(".")
+                old = was.get(p) or ".".join(filter(None, [before.get(up, up), name]))
+                before[p], parent = old, now.get(up, up)
+                if old in line:
+                    own = line[old].rpartition(".")[2]
+                elif not parent:
+                    own = known.get(name, name)
+                else:
+                    own = INNER.get(parent, {}).get(name, name)
+                now[p] = f"{parent}.{own}" if parent else own
             line.update(now)
-            rows.append((feed, int(seq), [(k, v) for k, v in now.items()]))
+            rows.append((feed, int(seq), list(now.items())))
         return pd.DataFrame(rows, columns=["feed", "file_seq", "names"])
 
-    return both.groupBy("feed").applyInPandas(compose, "feed string, file_seq int, names array<struct<k:string,v:string>>")
+    return files.unionByName(renames).groupBy("feed").applyInPandas(compose, "feed string, file_seq int, names array<struct<k:string,v:string>>")
+
+
+def renamed(value: object, path: str, names: dict[str, str]) -> object:
+    """A value with its members, at every depth, under their consistent names; the first of two that come to one name stays there."""
+    if isinstance(value, list):
+        return [renamed(x, path, names) for x in value]
+    if not isinstance(value, dict):
+        return value
+    out: dict = {}
+    for k, v in value.items():
+        at = f"{path}.{k}"
+        to = names.get(at, k).rpartition(".")[2]
+        out[k if to in out else to] = renamed(v, at, names)
+    return out
+
+
+def as_type(value: object, kind: str) -> object:
+    """The value as the consistent type, whatever type a file gives it; None where it can't be one."""
+    if value is None:
+        return None
+    if kind == "string":
+        return flat_text(value)
+    if kind == "double":
+        try:
+            return float(value) if isinstance(value, (int, float, str)) else None
+        except ValueError:
+            return None
+    if kind == "boolean":
+        return {"true": True, "1": True, "1.0": True, "yes": True, "false": False, "0": False, "0.0": False, "no": False}.get(flat_text(value).strip().lower())
+    if kind == "array<double>":
+        parts = value.split(",") if isinstance(value, str) else list(value.values()) if isinstance(value, dict) else value if isinstance(value, list) else [value]
+        return [as_type(x, "double") for x in parts]
+    if kind == "array<string>":
+        return [x.strip() for x in value.split(",")] if isinstance(value, str) else [None if x is None else flat_text(x) for x in items_of(value)]
+    out = []
+    for x in items_of(value):
+        if isinstance(x, dict):
+            free = [v for k, v in x.items() if k not in ("speaker", "speech_type")]
+            out.append((as_type(x.get("speaker"), "string"), as_type(x["content"] if "content" in x else free, "string")))
+        else:
+            out.append((None, as_type(x, "string")))
+    return out
 
 
 def consistent_panels(docs: DataFrame, maps: DataFrame) -> DataFrame:
-    """Every panel of every file in one table: each document projected by its file's map; fields beyond the fixed columns in ``other``.
+    """Every panel of every file in one table of fixed names and types: each document projected by its file's map, at every depth, and
+    each value brought to its column's type. Fields beyond the fixed columns stand in ``other`` as text or JSON.
 
-    Values that aren't strings are given as JSON text. Repeated rows give repeated panels only once; nulls among the panels keep
-    their position and have nulls in all fields.
+    Repeated rows give repeated panels only once; nulls among the panels keep their position and have nulls in all fields. A value that
+    can't be of its column's type is null there and stands in ``other`` too.
     """
     slim = docs.select("record_id", "feed", "file_seq", "doc").dropDuplicates(["record_id"])
     joined = slim.join(maps, ["feed", "file_seq"], "left")
-    columns = list(CONSISTENT)
+    columns = {c: t for c, (t, _) in CONSISTENT.items()}
 
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for rid, feed, seq, doc, names in zip(pdf["record_id"], pdf["feed"], pdf["file_seq"], pdf["doc"], pdf["names"]):
+            for rid, feed, seq, doc, pairs in zip(pdf["record_id"], pdf["feed"], pdf["file_seq"], pdf["doc"], pdf["names"]):
                 if (page := read_doc(doc)) is None:
                     continue
-                to = {x["k"]: x["v"] for x in names} if names is not None else {}
+                names = {x["k"]: x["v"] for x in pairs} if pairs is not None else {}
                 for pos, panel in enumerate(panels_of(panel_list(page)[1]), 1):
                     row, other = dict.fromkeys(columns), {}
                     for k, v in (panel if isinstance(panel, dict) else {}).items():
-                        text = v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False)
-                        at = to.get(k, k)
-                        if at in row and row[at] is None:
-                            row[at] = text
-                        else:
-                            other[at if at not in row else k] = text
+                        at, v = names.get(k, k), renamed(v, k, names)
+                        made = as_type(v, columns[at]) if at in row and row[at] is None else None
+                        if made is not None:
+                            row[at] = made
+                        elif v is not None or at not in row:
+                            other[at if at not in row else k] = v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False)
                     rows.append((rid, feed, seq, pos, *row.values(), other))
             yield pd.DataFrame(rows, columns=["record_id", "feed", "file_seq", "panel_pos", *columns, "other"])
 

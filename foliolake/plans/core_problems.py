@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliolake.operators.nested_flatten import flat_table, flatten_pages, items_with_words, renamed_lists
-from foliolake.operators.schema_drift import consistent_panels, file_profiles, name_maps, reported_changes, schema_changes
+from foliolake.operators.schema_drift import consistent_panels, distances, file_profiles, name_maps, reported_changes, schema_changes
 from foliolake.operators.skew_agg import heavy_keys, key_counts, skewed_group_stats
 from foliolake.runtime import materialize, table
 
@@ -18,7 +18,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every change with its script: the old path of a rename or move, the types before and after."""
     changes = schema_changes(file_profiles(table(spark, sf_dir, "vlm_docs")))
-    return changes.withColumn("likeness", F.round("likeness", 4))
+    return changes.withColumn("likeness", F.round("likeness", 4)).withColumn("cost", F.round("cost", 4))
+
+
+def p1_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree edit distance between each file that changed and the one before it."""
+    return distances(schema_changes(file_profiles(table(spark, sf_dir, "vlm_docs")))).withColumn("distance", F.round("distance", 4))
 
 
 def p1_consistent_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,5 +97,5 @@ FROM counts c LEFT JOIN means m ON c.series IS NOT DISTINCT FROM m.series""",
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_report, p1_consistent_panels, p6_found, p6_series_stats, p7_found, p7_pages, p7_panels, p7_text_items, p7_speaker_lines)
+    for f in (p1_found, p1_report, p1_distances, p1_consistent_panels, p6_found, p6_series_stats, p7_found, p7_pages, p7_panels, p7_text_items, p7_speaker_lines)
 }

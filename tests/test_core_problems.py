@@ -5,6 +5,7 @@ import json
 import math
 import random
 
+import numpy as np
 import pytest
 
 from foliolake.functions.vlm_json import read_doc
@@ -109,6 +110,75 @@ def test_assignment_is_the_cheapest():
         assert math.isclose(own, brute(0, frozenset(range(m))))
 
 
+def tree(fields):
+    """path -> (n, types, histogram) from path -> (type, bucket)."""
+    out = {}
+    for p, (t, b) in fields.items():
+        h = np.zeros(sd.BUCKETS)
+        h[list(b)] = 1
+        out[p] = (1, [t], h)
+    return out
+
+
+def test_the_script_is_the_cheapest():
+    """Flat trees: the sum of the costs is the least of all ways to match, delete and add; no move is possible."""
+    rng = random.Random(2)
+    for _ in range(60):
+        some = lambda: {n: (rng.choice(["string", "number"]), rng.sample(range(6), rng.randint(1, 4))) for n in rng.sample("abcdef", rng.randint(0, 4))}
+        old, new = tree(some()), tree(some())
+
+        def pair(a, b):
+            x = sd.likeness(old[a][2], new[b][2])
+            first = 0 if a == b else 2 * (1 - x) if x > 0.5 else math.inf
+            inside = sd.RETYPE if old[a][1] != new[b][1] else 0
+            return first + inside / (1 + inside), first + inside
+
+        def brute(left, free):
+            if not left:
+                return len(free)
+            return min([1 + brute(left[1:], free)] + [pair(left[0], b)[0] + brute(left[1:], free - {b}) for b in free])
+
+        script = sd.edit_script(old, new)
+        kept = {e.old_path: e.path for e in script if e.kind in ("renamed", "retyped")} | {a: a for a in old if not any(e.old_path == a for e in script)}
+        bounded = sum(pair(a, b)[0] for a, b in kept.items()) + sum(e.cost for e in script if e.kind in ("added", "removed"))
+        assert math.isclose(bounded, brute(sorted(old), frozenset(new)), abs_tol=1e-9)
+        assert math.isclose(sum(e.cost for e in script), sum(pair(a, b)[1] for a, b in kept.items()) + sum(e.cost for e in script if e.kind in ("added", "removed")), abs_tol=1e-9)
+
+
+def test_what_lies_inside_decides_between_likely_names():
+    """Two new fields are equally like the old one; the one with the same members is its new name."""
+    old = tree({"x": ("object", [1]), "x.p": ("string", [1]), "x.q": ("number", [7])})
+    new = tree({"a": ("object", [1]), "a.r": ("number", [1]), "b": ("object", [1]), "b.p": ("string", [1]), "b.q": ("number", [7])})
+    assert {(e.path, e.kind) for e in sd.edit_script(old, new)} == {("b", "renamed"), ("a", "added")}
+    many = tree({"x": ("object", [1])} | {f"x.{c}": ("string", [i]) for i, c in enumerate("abcdef")})
+    none = tree({"x": ("object", [1])} | {f"x.{c}": ("string", [10 + i]) for i, c in enumerate("uvw")})
+    assert {e.kind for e in sd.edit_script(many, none)} == {"added", "removed"} and all("." in e.path for e in sd.edit_script(many, none))
+
+
+def test_a_move_costs_less_than_dropping_and_adding():
+    old = tree({"x": ("object", [1, 2]), "x.m": ("string", [5]), "x.k": ("string", [6])})
+    new = tree({"x": ("object", [1, 2]), "x.k": ("string", [6]), "m": ("string", [5])})
+    script = sd.edit_script(old, new)
+    assert {(e.path, e.kind, e.cost) for e in script} == {("x.m", "removed", 0.0), ("m", "added", 0.0), ("m", "moved", sd.MOVE)}
+
+
+def test_nested_renames_and_types_are_projected(spark):
+    """A member of the texts takes the name the panel's own text list had; numbers, flags and boxes change their type."""
+    said = lambda i, j: f"{WORDS[(i + j) % 4]} by the door"
+    one = file(1, text=lambda i, j: [{"words": said(i, j), "by": "Ann"}], certainty=lambda i, j: 0.5, bbox=lambda i, j: [1, 2, 3, j], actions=lambda i, j: ["a", "b"])
+    two = file(2, text=lambda i, j: [{"text": said(i, j), "by": "Ann"}], certainty=lambda i, j: "0.5", bbox=lambda i, j: f"1, 2,3,{j}", actions=lambda i, j: "a, b")
+    three = file(3, lettering=lambda i, j: [{"text": said(i, j), "by": "Ann"}], certainty=lambda i, j: "?", bbox=lambda i, j: [1, 2, 3, j], actions=lambda i, j: ["a", "b"])
+    rows = [(n * 100 + i, "f", n, json.dumps(p)) for n, f in ((1, one), (2, two), (3, three)) for i, p in enumerate(f)]
+    d = docs(spark, rows)
+    p = sd.file_profiles(d)
+    got = sd.consistent_panels(d, sd.name_maps(p, sd.schema_changes(p))).collect()
+    assert len(got) == 72
+    for r in got:
+        i, j = r["record_id"] % 100 + 10 * r["file_seq"], r["panel_pos"] - 1
+        assert [x["content"] for x in r["texts"]] == [said(i, j)] and r["box"] == [1.0, 2.0, 3.0, j] and r["actions"] == ["a", "b"]
+        assert r["certainty"] == (None if r["file_seq"] == 3 else 0.5) and r["other"] == ({"certainty": "?"} if r["file_seq"] == 3 else {})
+
+
 def test_consistent_panels_follow_renames(spark):
     rows = [(n * 100 + i, "f", n, json.dumps(p)) for n, f in ((1, file(1, actions=ACT)), (2, file(2, activity=ACT))) for i, p in enumerate(f)]
     d = docs(spark, rows)

@@ -76,12 +76,12 @@ def flat_rows(doc, before):
     if page is None:
         return
     cid, told = page.get("canonical_id"), page["error"] if "error" in page else page.get("overall_summary")
-    cid = None if cid is None else nf._flat_text(cid)
+    cid = None if cid is None else nf.flat_text(cid)
     panels = panels_of(panel_list(page)[1])
-    yield ("page", cid, len(panels), None, None, "error" if "error" in page else None, nf._flat_text(told))
+    yield ("page", cid, len(panels), None, None, "error" if "error" in page else None, nf.flat_text(told))
     for pos, panel in enumerate(panels, 1):
         x = panel if isinstance(panel, dict) else {}
-        first = lambda names, x=x: next((nf._flat_text(x[k]) for k in names if x.get(k) is not None), None)
+        first = lambda names, x=x: next((nf.flat_text(x[k]) for k in names if x.get(k) is not None), None)
         number = first(("panel_number", "panel_no", "panel_id"))
         yield ("panel", cid, pos, number, None, None if panel is None else "panel", first(("description", "panel_description", "scene")))
         items = {"text": [], "speakers": []}
