@@ -5,8 +5,8 @@ axes together. Similar pages mostly lean the same way, so a large group of them
 order within each cell; a page's round is the greatest of its ranks, each measured against the number of pages a cell of that grid
 should give. The subset is the first ``k`` pages by (round, hash): a page of a crowded cell comes late, whichever grid it crowds.
 
-Only pages that can still be early meet in their cell: rows are cut for each cell and salt before cells are put together, so a cell
-with a third of all pages is never sorted whole.
+A cell is never sorted whole: its pages are cut into ranges of the hash by their number, ranked within a range, and a range's first rank
+is the count of the cell's pages before it. A cell with a third of all pages spreads over as many tasks as it has ranges.
 """
 
 from __future__ import annotations
@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from foliolake.llm.thresholds import take_by_hash
 from foliolake.runtime import materialize
 
-DIM, SALTS = 64, 8
+DIM = 64
+#: Pages of one cell and range of the hash, on average, that are put in order together; large cells that are broadcast at most.
+RANGE_ROWS, MAX_BROADCAST = 50_000, 1_000_000
 GRIDS = ("series_cell", "axis_cell", "frame_cell", "similar_cell")
 
 
@@ -61,6 +63,19 @@ def page_cells(vectors: DataFrame) -> DataFrame:
     )
 
 
+def _hash_ranges(cells: DataFrame, cell: str) -> tuple[DataFrame, DataFrame]:
+    """(page_id, cell, h, b), (cell, b, before): the pages with their range of the hash, of which a cell has one for each
+    :data:`RANGE_ROWS` pages, and the pages before a range in cells of several."""
+    sizes = cells.groupBy(cell).agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > RANGE_ROWS)
+    large = materialize(sizes.select(cell, F.ceil(F.col("size") / RANGE_ROWS).alias("ranges")), "large_cells")
+    few = F.broadcast(large) if large.count() <= MAX_BROADCAST else large
+    at = F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * F.coalesce("ranges", F.lit(1))).cast("long")
+    own = cells.select("page_id", cell, "h").join(few, cell, "left").select("page_id", cell, "h", at.alias("b"), "ranges")
+    counts = own.filter("ranges is not null").groupBy(cell, "b").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy(cell).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    return own.drop("ranges"), counts.select(cell, "b", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+
+
 def choose_varied(vectors: DataFrame, *, share: float = 0.01, k: int | None = None) -> DataFrame:
     """(page_id, series, series_cell, similar_cell, round) of exactly ``k`` pages (``share`` of the eligible ones unless given), or of all
     eligible pages if there are no more.
@@ -75,11 +90,15 @@ def choose_varied(vectors: DataFrame, *, share: float = 0.01, k: int | None = No
     # What a cell of a grid gives in a round; of a grid with more cells than pages are wanted, one.
     fair = {c: max(1.0, k / max(count[c], 1)) for c in GRIDS}
 
+    places = {c: _hash_ranges(cells, c) for c in GRIDS}
+
     def ranked(cell: str, rounds: int) -> DataFrame:
         most = math.ceil(fair[cell] * rounds)
-        salted = Window.partitionBy(cell, F.pmod("h", F.lit(SALTS))).orderBy("h", "page_id")
-        first = cells.select("page_id", cell, "h").withColumn("r", F.row_number().over(salted)).filter(F.col("r") <= most)
-        whole = first.withColumn("r", F.row_number().over(Window.partitionBy(cell).orderBy("h", "page_id"))).filter(F.col("r") <= most)
+        own, before = places[cell]
+        in_range = Window.partitionBy(cell, "b").orderBy("h", "page_id")
+        first = own.withColumn("r", F.row_number().over(in_range)).filter(F.col("r") <= most)
+        # A range's first rank is the number of pages in the cell's ranges before it.
+        whole = first.join(before, [cell, "b"], "left").withColumn("r", F.col("r") + F.coalesce("before", F.lit(0))).filter(F.col("r") <= most)
         return whole.select("page_id", F.ceil(F.col("r") / fair[cell]).cast("long").alias(f"r_{cell}"))
 
     rounds = 2

@@ -622,3 +622,27 @@ def test_varied_subset(spark):
     assert {r["page_id"] for r in again} == set(ids)
     assert vs.choose_varied(df, k=10**6).count() == 1480 and vs.choose_varied(df, share=0.01).count() == 15
     assert vs.choose_varied(df.limit(0)).count() == 0
+
+
+def test_ranges_do_not_change_the_subset(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(i, T0, rng.normal(size=64).tolist(), "Huge" if i % 2 else f"s{i % 40}", "x", "y") for i in range(1200)]
+    df = spark.createDataFrame(rows, VEC)
+    whole = sorted(tuple(r) for r in vs.choose_varied(df, k=150).collect())
+    monkeypatch.setattr(vs, "RANGE_ROWS", 20)
+    assert sorted(tuple(r) for r in vs.choose_varied(df, k=150).collect()) == whole
+
+
+def test_subset_is_more_varied_than_chance(spark):
+    """Half of the pages are near copies of five pages, two thirds are of one series: against a random choice of the same size."""
+    rng = np.random.default_rng(7)
+    heads, rows = rng.normal(size=(5, 64)), []
+    for i in range(3000):
+        v = heads[i % 5] + rng.normal(size=64) * 0.05 if i % 2 else rng.normal(size=64)
+        rows.append((i, T0, v.tolist(), "Huge" if i % 3 else f"s{i % 100}", "x", "y"))
+    df = spark.createDataFrame(rows, VEC)
+    ours = [r["page_id"] for r in vs.choose_varied(df, k=150).collect()]
+    chance = rng.choice(3000, 150, replace=False).tolist()
+    near = lambda ids: sum(i % 2 for i in ids)
+    assert near(ours) < 0.5 * near(chance) and sum(bool(i % 3) for i in ours) < 0.75 * sum(bool(i % 3) for i in chance)
+    assert len({i % 100 for i in ours if i % 3 == 0}) > len({i % 100 for i in chance if i % 3 == 0})
