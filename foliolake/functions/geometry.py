@@ -91,6 +91,20 @@ def composition(b: Column, width: Column, height: Column) -> Column:
     return F.array(b["w"] / F.greatest(b["h"], F.lit(1e-6)), area(b) / (width * height), c["cx"] / width, c["cy"] / height, b["w"] / width, b["h"] / height, b["x"] / width, b["y"] / height)
 
 
+def composition_pixels(b: Column, width: Column, height: Column) -> Column:
+    """Seven features of a box in pixels: [aspect, 1 without a height; area share; 0; 0; 0; cx; cy]."""
+    c, zero = centre(b), F.lit(0.0)
+    return F.array(F.when(b["h"] > 0, b["w"] / b["h"]).otherwise(1.0), area(b) / (width * height), zero, zero, zero, c["cx"] / width, c["cy"] / height)
+
+
+def composition_thousandths(b: Column, number: Column, most: Column) -> Column:
+    """Seven features of [y1, x1, y2, x2] in thousandths: as :func:`composition_pixels`, with the panel's number from 1 as a share of the
+    panels there may be in the third place."""
+    w, h, zero = (b[3] - b[1]) / 1000, (b[2] - b[0]) / 1000, F.lit(0.0)
+    share = (number - 1) / F.greatest(most - 1, F.lit(1))
+    return F.array(F.when(h > 0, w / h).otherwise(1.0), w * h, share, zero, zero, (b[1] + b[3]) / 2000, (b[0] + b[2]) / 2000)
+
+
 def any_box(corners: Column, xywh: Column, polygon: Column) -> Column:
     """The first encoding that is there, as a box of at least one pixel at non-negative places."""
     b = F.coalesce(

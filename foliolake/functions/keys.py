@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Prefixes that producers put in front of one and the same key, and double or single image suffixes.
-PREFIXES = ("scans/", "ink/", "calibre_lib/", "Digital Comics/")
+PREFIXES = (
+    "CalibreComics_extracted/", "CalibreComics_extracted_20251107/", "CalibreComics_extracted\\", "amazon/", "scans/", "ink/", "calibre_lib/", "Digital Comics/",
+)
 SUFFIXES = (".jpg.png", ".png", ".jpg", ".jpeg")
 #: Folders that hold pages and are no book.
 CONTAINER_FOLDERS = ("jpg4cbz", "pages", "page")
@@ -36,7 +39,7 @@ def normal_key(key: Column, prefixes: tuple[str, ...] = PREFIXES, *, first_only:
             out = F.when(key.startswith(p), F.substring(key, F.lit(len(p) + 1), F.length(key))).otherwise(out)
     else:
         for p in prefixes:
-            out = F.when(out.startswith(p), F.substring(out, F.lit(len(p) + 1), F.length(out))).otherwise(out)
+            out = F.regexp_replace(out, "^" + re.escape(p), "")
     return F.translate(without_suffix(F.lower(out)), "/\\", "__")
 
 
@@ -164,6 +167,42 @@ def last_number_key(stem: Column) -> Column:
     return F.when(found.isNotNull(), _or(F.regexp_replace(found, "^0+", ""), "0"))
 
 
+def image_stem(path: Column) -> Column:
+    """The file name of a path in lower case without its image suffixes."""
+    return F.regexp_replace(F.lower(F.element_at(path_parts(path), -1)), r"(\.(jpg|jpeg|png|webp|tif|tiff|bmp))+$", "")
+
+
+def number_forms(number: Column, widths: tuple[int, ...] = (2, 3, 4, 5)) -> Column:
+    """The ways to write a number: as it stands, without leading zeros, filled up to each width. Never cut."""
+    filled = [F.when(F.length(number) >= w, number).otherwise(F.lpad(number, w, "0")) for w in widths]
+    return F.array_distinct(F.array(number, _or(F.regexp_replace(number, "^0+", ""), "0"), *filled))
+
+
+def candidate_keys(path: Column) -> Column:
+    """A bounded array of keys that a path may be known by, the likeliest first: its name, the name once where it stands twice, and its
+    folder, or the two folders above it, with each form of the name's last number. No table is needed to make them."""
+    stem, parts = image_stem(path), path_parts(path)
+    number = F.nullif(F.regexp_extract(stem, r"(\d+)\D*$", 1), F.lit(""))
+    folder, above = F.try_element_at(parts, F.lit(-2)), F.try_element_at(parts, F.lit(-3))
+    none = F.array().cast("array<string>")
+
+    def numbered(scope: Column) -> Column:
+        return F.when(scope.isNotNull() & number.isNotNull(), F.transform(number_forms(number), lambda f: F.concat(scope, F.lit("_"), f))).otherwise(none)
+
+    names = F.array(token(stem), undoubled(token(stem)))
+    return F.array_distinct(F.concat(names, numbered(token(folder)), numbered(token(F.concat(above, F.lit("_"), folder)))))
+
+
+def image_key(path: Column) -> Column:
+    """One key of a page image: book folder and last number without leading zeros, or book folder and name where there is no number; the
+    name alone in no folder. Folders that merely hold pages are passed over."""
+    stem = image_stem(path)
+    number = F.nullif(F.regexp_extract(stem, r"(\d+)\D*$", 1), F.lit(""))
+    own = F.when(number.isNull(), token(stem)).otherwise(_or(F.regexp_replace(number, "^0+", ""), "0"))
+    book = F.nullif(token(book_folder(path)), F.lit(""))
+    return F.when(book.isNull(), token(stem)).otherwise(F.concat(undoubled(book), F.lit("_"), own))
+
+
 def undoubled(text: Column) -> Column:
     """A token list that is the same half twice, once."""
     t = F.split(text, "_")

@@ -26,6 +26,15 @@ def class_name(number: Column) -> Column:
     return literal_map(number, dict(enumerate(PAGE_CLASSES)))
 
 
+#: Page classes and the categories of a page list.
+CATEGORIES = {"cover": "covers", "credits": "credits", "story": "stories", "advertisement": "advertisements", "art": "art", "text": "text", "back_cover": "back_covers"}
+
+
+def category_of(page_class: Column) -> Column:
+    """Null for classes without a category."""
+    return literal_map(page_class, CATEGORIES)
+
+
 def on_date(day: Column, prefix: str) -> Column:
     """True where an ISO date or time begins with the prefix (2025, 2025-12, 2025-12-31)."""
     return F.startswith(day.cast("string"), F.lit(prefix))

@@ -80,6 +80,41 @@ def escalate(pages: DataFrame, engines: list[Engine], schema: str, *, key: str =
     return done
 
 
+def retry_failed(pages: DataFrame, dead: DataFrame, engine: Engine, schema: str, *, key: str = "page_id", most: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(done, dead): the pages of the dead-letter table ``dead`` (key, attempts, error) run again, but for those tried ``most`` times. What
+    succeeds leaves the table; what fails stays there with its new error and one attempt more; keys without a page stay as they are."""
+    from foliolake.runtime import materialize
+
+    due = dead.filter(F.col("attempts") < most)
+    res = materialize(run_engine(pages.join(due.select(key), key, "left_semi"), engine, schema, key=key, attempts=1), "retried")
+    tried = res.select(key, "status", F.col("error").alias("_new"))
+    left = dead.join(tried, key, "left").filter("status is null or status != 'ok'")
+    again = F.col("status").isNotNull()
+    return res.filter("status = 'ok'").drop("status", "error"), left.select(
+        key, F.when(again, F.col("attempts") + 1).otherwise(F.col("attempts")).alias("attempts"), F.when(again, F.col("_new")).otherwise(F.col("error")).alias("error")
+    )
+
+
+def classify(df: DataFrame, scores: Callable, labels: list[str], *, ident: str = "page_id", vector: str = "page_embeddings", dim: int = 64) -> DataFrame:
+    """(ident, prediction, label): the place and name of the greatest score, the first of equals, of every vector of ``dim`` finite numbers;
+    other rows have no prediction. ``scores``: from a matrix of vectors to a matrix of one column for each label; it runs on Arrow batches.
+    The table stands beside the vectors and is joined to them at read."""
+    kind = df.schema[ident].dataType.simpleString()
+
+    def work(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        names = pa.array(labels, pa.string())
+        for batch in batches:
+            flat = batch.column(vector).flatten().to_numpy(zero_copy_only=False)
+            best = np.argmax(scores(flat.reshape(-1, dim).astype(np.float64)), axis=1).astype(np.int32) if batch.num_rows else np.zeros(0, np.int32)
+            yield pa.record_batch([batch.column(ident), pa.array(best), names.take(pa.array(best))], names=[ident, "prediction", "label"])
+
+    fine = F.forall(F.col(vector), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return df.filter((F.size(vector) == dim) & fine).select(ident, vector).mapInArrow(work, f"{ident} {kind}, prediction int, label string")
+
+
 def hashed_words(text: str | None, dim: int = 64) -> list[float]:
     """Stub encoder: a unit vector of hashed word counts; zeros for a text without words."""
     import hashlib

@@ -42,6 +42,39 @@ def cascade(probe: DataFrame, build: DataFrame, rules: list[tuple[str, Column, C
     return last_wins(both, [probe_id], [F.col("_n")]).select(probe_id, build_id, "rule", "n_candidates")
 
 
+def without_letters(text: Column, most: int) -> Column:
+    """Hashes of the text and of all that remains when up to ``most`` characters are left out."""
+
+    def shorter(t: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))
+        return F.array_distinct(F.concat(F.array(t), cut))
+
+    out = F.array(text)
+    for _ in range(most):
+        out = F.array_distinct(F.flatten(F.transform(out, shorter)))
+    return F.transform(out, lambda t: F.xxhash64(t))
+
+
+def near_join(a: DataFrame, b: DataFrame, *, a_text: str, b_text: str, most: int = 1) -> DataFrame:
+    """(a_text, b_text, distance) of all pairs of different texts at most ``most`` edits apart, each distinct text once: exact, without a
+    bound on candidates. Two such texts share something that remains of both when up to ``most`` characters are left out, so only
+    texts that do so meet; what meets is near in fact or shares a hash. Nulls meet nothing."""
+    x = a.select(a_text).filter(F.col(a_text).isNotNull()).distinct().select(a_text, F.explode(without_letters(F.col(a_text), most)).alias("_k"))
+    y = b.select(b_text).filter(F.col(b_text).isNotNull()).distinct().select(b_text, F.explode(without_letters(F.col(b_text), most)).alias("_k"))
+    met = x.join(y, "_k").select(a_text, b_text).filter(F.col(a_text) != F.col(b_text)).distinct()
+    return met.withColumn("distance", F.levenshtein(a_text, b_text)).filter(F.col("distance") <= most)
+
+
+def multimap(probe: DataFrame, build: DataFrame, keys: list[tuple[str, Column, Column]], *, probe_id: str, build_id: str) -> DataFrame:
+    """(probe_id, build_id, rule): all rows of ``build`` that the first matching key (name, probe key, build key) of a probe row leads to.
+    A key that holds the book leads to rows of that book only. Null and empty keys lead nowhere; pairs come once."""
+    named = F.array(*[F.lit(n) for n, _, _ in keys])
+    x = probe.select(probe_id, F.posexplode(F.array(*[k for _, k, _ in keys])).alias("_n", "_k")).filter("_k is not null and _k != ''")
+    y = build.select(build_id, F.posexplode(F.array(*[k for _, _, k in keys])).alias("_n", "_k")).filter("_k is not null and _k != ''")
+    first = x.join(y.select("_n", "_k").distinct(), ["_n", "_k"], "left_semi").groupBy(probe_id).agg(F.min("_n").alias("_n"))
+    return x.join(first, [probe_id, "_n"]).join(y, ["_n", "_k"]).select(probe_id, build_id, named[F.col("_n")].alias("rule")).distinct()
+
+
 def contains_join(a: DataFrame, b: DataFrame, *, a_id: str, a_text: str, b_id: str, b_text: str, block: Callable[[Column], Column]) -> DataFrame:
     """(a_id, b_id) where one text holds the other, among rows that share a block value (an array of blocking keys each): no pair is looked
     at that shares none. A pair found through several keys counts once."""

@@ -76,7 +76,7 @@ def hybrid(base: DataFrame, queries: list[tuple[DataFrame, float]], k: int, *, s
 
 def stable_sample(df: DataFrame, n: int, *, ident: str, seed: int = 42) -> DataFrame:
     """n rows by hash of the key: the same rows for the same seed, however the table is partitioned."""
-    return df.orderBy(F.xxhash64(ident, F.lit(seed)), ident).limit(n)
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(ident).cast("string"))), ident).limit(n)
 
 
 def intra_inter(df: DataFrame, *, ident: str = "vec_id", group: str = "label", vector: str = "embedding") -> DataFrame:

@@ -320,6 +320,8 @@ SQL = {
         p AS (SELECT series, issue, avg(coalesce(d, length)) AS d FROM d JOIN len USING (series, issue) GROUP BY ALL) SELECT round(avg(d), 6) AS mndd, count(*) AS books FROM p""",
     "model_page_matrix": "SELECT source, list_sort(list(lang || '=' || n)) AS cells FROM (SELECT source, lang, count(*) AS n FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY ALL) GROUP BY source",
     "root_causes": f"WITH {_IM} SELECT CASE WHEN rcnn_panels > 0 THEN 'found valid' WHEN rcnn_panels = 0 THEN 'found none' WHEN width IS NULL THEN 'not found' ELSE 'no count' END AS cause, count(*) AS n FROM im GROUP BY 1",
+    "coverage_sample": f"""WITH {_P}, s AS (SELECT page_id FROM pages ORDER BY md5('42:' || page_id), page_id LIMIT 200)
+        SELECT count(*) AS n, round(100 * avg((page_id IN (SELECT page_id FROM page_labels))::INT), 2) AS pct FROM s""",
     "page_type_rules": f"""WITH {_P}, q AS (SELECT page_id, lower(manifest_path) AS t, page_id % 7 AS panels, (page_id % 10) / 10 AS cov, (row_number() OVER (PARTITION BY series, issue ORDER BY page_num NULLS LAST, page_id) - 1) / greatest(1, count(*) OVER (PARTITION BY series, issue) - 1) AS pos FROM pages WHERE series IS NOT NULL),
         s AS (SELECT page_id, [CASE WHEN pos <= 0.03 THEN 2.0 ELSE 0 END + CASE WHEN regexp_matches(t, 'cover|barcode|logo') THEN 2.0 ELSE 0 END + CASE WHEN panels <= 1 THEN 0.5 ELSE 0 END, CASE WHEN pos >= 0.97 THEN 2.0 ELSE 0 END,
         CASE WHEN pos BETWEEN 0.05 AND 0.95 AND panels <= 1 THEN 1.8 ELSE 0 END + CASE WHEN regexp_matches(t, 'splash page|full-page|full page') THEN 0.7 ELSE 0 END, CASE WHEN regexp_matches(t, 'letters page|letter column|fan mail|mailbag|letters to the editor') THEN 3.0 ELSE 0 END,

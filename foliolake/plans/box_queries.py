@@ -167,6 +167,9 @@ SQL = {
         SELECT page, src, dst, relation FROM r WHERE rn = 1 OR (relation = 'near' AND rn <= 2)""",
     "composition_features": f"""WITH {_B} SELECT page, box_id, list_transform([w / greatest(h, 1e-6), w * h / (700.0 * 420.0)::DOUBLE, (x + w / 2) / 700::DOUBLE, (y + h / 2) / 420::DOUBLE, w / 700::DOUBLE, h / 420::DOUBLE,
         x / 700::DOUBLE, y / 420::DOUBLE], lambda v: round(v, 6)) AS features FROM b""",
+    "box_clamp": f"""WITH {_B}, t AS (SELECT page, box_id, x::DOUBLE / 700 * 1000 / 1000 * 700 AS x1, y::DOUBLE / 420 * 1000 / 1000 * 420 AS y1, (x::DOUBLE + w::DOUBLE) / 700 * 1000 / 1000 * 700 AS x2, (y::DOUBLE + h::DOUBLE) / 420 * 1000 / 1000 * 420 AS y2 FROM b),
+        c AS (SELECT page, box_id, greatest(trunc(x1), 0) AS x1, greatest(trunc(y1), 0) AS y1, least(trunc(x1 + (x2 - x1)), 500) AS x2, least(trunc(y1 + (y2 - y1)), 300) AS y2 FROM t)
+        SELECT page, box_id, x1 AS cx, y1 AS cy, greatest(x2 - x1, 1) AS cw, greatest(y2 - y1, 1) AS ch FROM c""",
     "bbox_normalise": f"""WITH {_B} SELECT page, box_id, round(greatest(x, 0), 6) AS nx, round(greatest(y, 0), 6) AS ny, round(greatest(w, 1), 6) AS nw, round(greatest(h, 1), 6) AS nh FROM b""",
     "fallback_boxes": f"""WITH {_B}, r AS (SELECT *, max((score >= 0.9)::INT) OVER (PARTITION BY page) AS good, row_number() OVER (PARTITION BY page ORDER BY score DESC, box_id) AS rn FROM b)
         SELECT page, box_id, score FROM r WHERE score >= 0.9 OR (good = 0 AND rn <= 2)""",

@@ -18,7 +18,8 @@ def _paths(spark, d):
 def key_normalise(spark, d):
     p = table(spark, d, "coco_images").select("image_id", "file_name").distinct()
     key = F.concat(F.lit("scans/ink/"), C("file_name"))
-    return p.select("image_id", K.normal_key(key).alias("every_prefix"), K.normal_key(key, first_only=True).alias("first_prefix"), K.without_suffix(C("file_name")).alias("stem"))
+    front = ("scans/", "ink/")
+    return p.select("image_id", K.normal_key(key, front).alias("every_prefix"), K.normal_key(key, front, first_only=True).alias("first_prefix"), K.without_suffix(C("file_name")).alias("stem"))
 
 
 def series_names(spark, d):
@@ -111,7 +112,7 @@ def text_exists_filter(spark, d):
 
 
 def junk_audit(spark, d):
-    p = table(spark, d, "coco_images").select(F.concat(F.when(F.crc32("image_id") % 3 == 0, "__MACOSX/._").when(F.crc32("image_id") % 3 == 1, "a/._").otherwise("a/"), "file_name").alias("path"))
+    p = table(spark, d, "coco_images").select(F.concat(F.when(F.ascii(F.md5("image_id")) % 3 == 0, "__MACOSX/._").when(F.ascii(F.md5("image_id")) % 3 == 1, "a/._").otherwise("a/"), "file_name").alias("path"))
     return p.groupBy(P.junk_reason(C("path")).alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.sum(P.is_junk_path(C("path")).cast("int")).alias("junk"))
 
 
@@ -195,6 +196,7 @@ SQL = {
     "text_search_counts": """SELECT source, sum(coalesce(contains(lower(text), 'lantern'), false)::INT) AS any_case, sum(coalesce(contains(text, 'Lantern'), false)::INT) AS same_case FROM documents GROUP BY source""",
     "id_search": rf"SELECT page_id, manifest_path FROM {_PATHS} WHERE contains(replace(lower(manifest_path), '\', '/'), 'v01/002')",
     "text_exists_filter": "SELECT series, count(*) AS n FROM page_vectors p WHERE EXISTS (SELECT 1 FROM documents q WHERE q.series = p.series AND contains(lower(q.text), 'lantern')) GROUP BY series",
+    "junk_audit": """SELECT CASE ascii(md5(image_id)) % 3 WHEN 0 THEN '__MACOSX' WHEN 1 THEN '._' END AS reason, count(*) AS n, sum((ascii(md5(image_id)) % 3 < 2)::INT) AS junk FROM coco_images GROUP BY 1""",
     "disagreements": "SELECT * FROM (SELECT file_name, min(rcnn_panels) AS a, max(rcnn_panels) AS b FROM coco_images GROUP BY 1) WHERE a IS NULL OR b IS NULL OR a <> b",
     "label_thresholds": """SELECT page_type, sum((page_type_conf >= bar)::INT) AS at_least, sum((page_type_conf > bar)::INT) AS above, count(*) AS n
         FROM (SELECT *, CASE page_type WHEN 'story' THEN 0.8 WHEN 'cover' THEN 0.6 ELSE 0.7 END::DOUBLE AS bar FROM page_labels WHERE NOT coalesce(isnan(page_type_conf), false)) GROUP BY page_type""",

@@ -141,6 +141,8 @@ SQL = {
     "zero_shot_pivot": """WITH s AS (SELECT doc_id, (length(coalesce(text, '')) % 7 + 1)::DOUBLE AS a, (length(coalesce(text, '')) % 8 + 1)::DOUBLE AS b, (length(coalesce(text, '')) % 9 + 1)::DOUBLE AS c FROM documents),
         p AS (SELECT doc_id, round(a / (a + b + c), 3) AS p_story, round(b / (a + b + c), 3) AS p_credits, round(c / (a + b + c), 3) AS p_cover FROM s)
         SELECT *, CASE WHEN p_story >= p_credits AND p_story >= p_cover THEN 'story' WHEN p_credits >= p_cover THEN 'credits' ELSE 'cover' END AS label FROM p""",
+    "failure_report": """SELECT CASE WHEN blank THEN 'failed' ELSE 'ok' END AS status, CASE WHEN blank THEN 'ValueError' END AS kind, count(*) AS n FROM (SELECT
+        trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(160) || chr(12288)) = '' AS blank FROM documents) GROUP BY ALL""",
     "label_export": f"""SELECT page_id, page_type, list_position({_CLASSES}, page_type) - 1 AS number FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY labeled_at DESC NULLS LAST, page_type DESC NULLS LAST) AS rn FROM page_labels)
         WHERE rn = 1 AND list_contains({_CLASSES}, page_type)""",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliolake import schemas
@@ -80,6 +80,30 @@ def objects_manifest(listing: DataFrame, *, limit: int | None = None) -> DataFra
     return rows if limit is None else rows.orderBy("canonical_id").limit(limit)
 
 
+def file_counts(spark: SparkSession, root: str, *, glob: str = "*") -> DataFrame:
+    """(folder, suffix, n, size) of all files below a folder, from the listing alone."""
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(root).select("path", F.col("length").alias("size"))
+    name = F.element_at(K.path_parts(F.col("path")), -1)
+    folder = F.regexp_replace("path", r"/[^/]*$", "")
+    return raw.groupBy(folder.alias("folder"), F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1)).alias("suffix")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+
+
+def hash_names(spark: SparkSession, path: str) -> DataFrame:
+    """(hash, book, chapter) of a CSV of book_chapter_hash, book_name, chapter_name; of repeated hashes the last book and chapter in order."""
+    raw = spark.read.option("header", True).csv(path).select("book_chapter_hash", "book_name", "chapter_name")
+    last = raw.groupBy(F.col("book_chapter_hash").alias("hash")).agg(F.max(F.struct("book_name", "chapter_name")).alias("x"))
+    return last.select("hash", F.col("x.book_name").alias("book"), F.col("x.chapter_name").alias("chapter"))
+
+
+def hash_page(path: Column) -> tuple[Column, Column]:
+    """(hash, page) of a path that is hash/page.suffix, with any separator, or hash_page.suffix; null where there is neither."""
+    parts = K.path_parts(path)
+    stem = F.regexp_replace(F.element_at(parts, -1), r"\.[^.]*$", "")
+    bits = F.split(stem, "_")
+    in_folder = F.size(parts) >= 2
+    return F.when(in_folder, F.element_at(parts, -2)).when(F.size(bits) >= 2, bits[0]), F.when(in_folder, stem).when(F.size(bits) >= 2, bits[1])
+
+
 def activity_log(spark: SparkSession, path: str) -> DataFrame:
     log = csv_table(spark, path, schemas.ACTIVITY)
     return log.toDF("date", "slug", "usage", "requests", "prompt_tokens", "completion_tokens")

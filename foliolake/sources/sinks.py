@@ -26,6 +26,22 @@ def json_lines(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").text(path)
 
 
+def json_safe(df: DataFrame) -> DataFrame:
+    """``df`` with what JSON has no way to write put otherwise: numbers that are NaN or infinite as null, bytes as text, or in base 64 where
+    they are no UTF-8, times as ISO text. Nested fields stay as they are."""
+    out = []
+    for f in df.schema.fields:
+        c, kind = F.col(f"`{f.name}`"), f.dataType.typeName()
+        if kind in ("float", "double"):
+            c = F.when(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), c)
+        elif kind == "binary":
+            c = F.coalesce(F.try_validate_utf8(c.cast("string")), F.base64(c))
+        elif kind in ("timestamp", "timestamp_ntz", "date"):
+            c = F.date_format(c, "yyyy-MM-dd" if kind == "date" else "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+        out.append(c.alias(f.name))
+    return df.select(*out)
+
+
 def tier_lists(df: DataFrame, path: str, *, tier: str, value: str) -> None:
     """Text files of paths, one folder for each tier."""
     df.select(F.col(tier).alias("tier"), F.col(value).cast("string").alias("value")).write.mode("overwrite").partitionBy("tier").text(path)

@@ -404,3 +404,107 @@ def test_windowed_events_drop_nothing_in_batch(spark):
     t = dt.datetime(2024, 1, 1)
     e = spark.createDataFrame([(t, "a", 1.0), (t + dt.timedelta(minutes=59), "a", 2.0), (t - dt.timedelta(days=9), "b", None)], "ts timestamp, event_type string, value double")
     assert sorted(r["n"] for r in stream.windowed_events(e).collect()) == [1, 2]
+
+
+@pytest.mark.parametrize(
+    ("path", "some", "key"),
+    [
+        ("A Kite\\Kite Kite 007.JPG.png", {"kite_kite_007", "a_kite_7", "a_kite_007", "a_kite_00007"}, "a_kite_7"),
+        ("x/My Book/jpg4cbz/page_012.jpg", {"page_012", "jpg4cbz_12", "my_book_jpg4cbz_0012"}, "my_book_12"),
+        ("cover_cover.png", {"cover_cover", "cover"}, "cover_cover"),
+        ("a/123456.tif", {"a_123456"}, "a_123456"),
+    ],
+)
+def test_candidate_and_image_keys(spark, path, some, key):
+    got = one(spark, K.candidate_keys, path)
+    assert some <= set(got) and len(got) == len(set(got)) <= 14 and one(spark, K.image_key, path) == key
+
+
+def test_near_join_against_brute_force(spark):
+    rng = random.Random(4)
+    words = list({"".join(rng.choice("ab") for _ in range(rng.randint(0, 7))) for _ in range(60)})
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    df = spark.createDataFrame([(w,) for w in words] * 2 + [(None,)], "a string")
+    for most in (1, 2):
+        want = {(a, b, distance(a, b)) for a in words for b in words if a != b and distance(a, b) <= most}
+        assert {tuple(r) for r in joins.near_join(df, df.withColumnRenamed("a", "b"), a_text="a", b_text="b", most=most).collect()} == want
+
+
+def test_multimap_takes_the_first_key_that_leads_anywhere(spark):
+    ask = spark.createDataFrame([(1, "b1__x", "x"), (2, "b9__x", "x"), (3, None, ""), (4, "q", None)], "ask int, k1 string, k2 string")
+    build = spark.createDataFrame([(10, "b1__x", "x"), (11, "b2__x", "x"), (11, "b2__x", "x"), (12, None, None)], "id int, k1 string, k2 string")
+    got = joins.multimap(ask, build, [("book", C("k1"), C("k1")), ("name", C("k2"), C("k2"))], probe_id="ask", build_id="id").collect()
+    assert {tuple(r) for r in got} == {(1, 10, "book"), (2, 10, "name"), (2, 11, "name")} and len(got) == 3
+
+
+def test_block_count_grows_with_the_table():
+    counts = [U.block_count(n) for n in (10, 10**6, 10**9, 10**12)]
+    assert counts == sorted(counts) and counts[0] < counts[-1]
+
+
+def test_shuffled_stories_keep_every_page(spark):
+    rows = [(i, b, None if i % 3 else "1", lab, i // 2) for i, (b, lab) in enumerate((b, lab) for b in ("a", None) for lab in ("story", "story", "cover", None) * 6)]
+    df = spark.createDataFrame(rows, "page_id long, series string, issue string, page_type string, position int")
+    got = {r["page_id"]: r for r in hooks.shuffled_stories(df, ["series", "issue"]).collect()}
+    assert set(got) == {r[0] for r in rows}
+    books = {}
+    for i, s, iss, lab, pos in rows:
+        if lab == "story":
+            books.setdefault((s, iss), []).append((pos, got[i]["new_position"]))
+        else:
+            assert got[i]["new_position"] == pos
+    assert all(sorted(a for a, _ in v) == sorted(b for _, b in v) for v in books.values()) and any(a != b for v in books.values() for a, b in v)
+
+
+def test_dead_letters(spark):
+    pages = spark.createDataFrame([(i, str(i)) for i in range(6)], "page_id long, t string")
+    dead = spark.createDataFrame([(1, 1, "old"), (2, 3, "old"), (3, 1, "old"), (99, 1, "gone")], "page_id long, attempts int, error string")
+
+    def engine(row):
+        if row["page_id"] == 3:
+            raise ValueError("no")
+        return {"n": 1}
+
+    done, left = hooks.retry_failed(pages, dead, engine, "n int")
+    assert [tuple(r) for r in done.collect()] == [(1, 1)]
+    assert {tuple(r) for r in left.collect()} == {(2, 3, "old"), (3, 2, "ValueError: no"), (99, 1, "gone")}
+
+
+def test_classifier_over_stored_vectors(spark):
+    df = spark.createDataFrame([(1, [0.0, 2.0]), (2, [3.0, 3.0]), (3, None), (4, [1.0]), (5, [float("nan"), 1.0])], "page_id long, page_embeddings array<float>")
+    got = hooks.classify(df, lambda x: x, ["a", "b"], dim=2).collect()
+    assert {tuple(r) for r in got} == {(1, 1, "b"), (2, 0, "a")} and hooks.classify(df.limit(0), lambda x: x, ["a", "b"], dim=2).count() == 0
+
+
+def test_listing_counts_hash_names_and_safe_json(spark, tmp_path):
+    for name in ("x/a.jpg", "x/b.JPG", "y/c.json", "y/d"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("12")
+    got = {(r["folder"].rpartition("/")[2], r["suffix"]): (r["n"], r["size"]) for r in readers.file_counts(spark, str(tmp_path)).collect()}
+    assert got == {("x", "jpg"): (2, 4), ("y", "json"): (1, 2), ("y", ""): (1, 2)}
+    (tmp_path / "map.csv").write_text("book_chapter_hash,book_name,chapter_name\nh1,B,1\nh1,C,2\nh2,D,\n")
+    assert {tuple(r) for r in readers.hash_names(spark, f"{tmp_path}/map.csv").collect()} == {("h1", "C", "2"), ("h2", "D", None)}
+    odd = spark.createDataFrame([(float("nan"), b"ok", dt.datetime(2024, 1, 2, 3)), (1.5, b"\xff", None)], "x double, b binary, t timestamp_ntz")
+    assert [tuple(r) for r in sinks.json_safe(odd).collect()] == [(None, "ok", "2024-01-02T03:00:00.000000"), (1.5, "/w==", None)]
+
+
+def test_no_temporary_folder_off_one_machine(spark, monkeypatch):
+    from foliolake import runtime
+
+    class Cluster:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        runtime.shared_dir(Cluster())
