@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,35 +23,54 @@ def collisions(incoming: DataFrame, keys: list[str], normal: Column, order: list
     return incoming.withColumn("normal_key", normal).withColumn("_rn", F.row_number().over(w)).filter("_rn > 1").select(*keys, "normal_key")
 
 
+class VersionConflict(RuntimeError):
+    """Another writer logged a version after the one this writer read."""
+
+
 class VersionedTable:
-    """A table as a folder of versions and a log of one line for each: readers see the last logged version, a writer logs when done.
-    A version that was never logged is ignored. One writer at a time."""
+    """A table as a folder of versions and a log of one small file for each, named by its number: readers see the last logged version, a
+    writer logs when its data stands. A version that was never logged is ignored. Of two writers that read the same version, the second
+    to log gets :class:`VersionConflict`: a log file is created only where there is none, which the file system decides."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
+        self.seen: int | None = None
+
+    def _files(self, name: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def _last(self) -> tuple[int, str | None]:
+        """(number, version) of the last log file that was written to its end."""
+        files, at = self._files("_log")
+        names = sorted((x.getPath().getName() for x in files.listStatus(at)), reverse=True) if files.exists(at) else []
+        for name in names:
+            lines = self.spark.read.text(f"{self.path}/_log/{name}").collect()  # one line
+            if lines and lines[0]["value"].endswith(";"):
+                return int(name), lines[0]["value"].split(" ")[0]
+        return -1, None
 
     def version(self) -> str | None:
-        try:
-            log = self.spark.read.parquet(f"{self.path}/_log")
-        except AnalysisException:
-            return None
-        last = log.orderBy(F.desc("seq")).limit(1).collect()
-        return last[0]["version"] if last else None
+        return self._last()[1]
 
     def read(self) -> DataFrame | None:
-        v = self.version()
+        self.seen, v = self._last()
         return None if v is None else self.spark.read.parquet(f"{self.path}/{v}")
 
     def write(self, df: DataFrame) -> int:
-        """Writes ``df`` as the new version; returns its number of rows."""
+        """Writes ``df`` as the version after the one read last by this object (the newest, if none was); returns its number of rows."""
+        number = (self._last()[0] if self.seen is None else self.seen) + 1
         v = f"v-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.path}/{v}")
         n = self.spark.read.parquet(f"{self.path}/{v}").count()
+        files, at = self._files(f"_log/{number:012d}")
         try:
-            seq = self.spark.read.parquet(f"{self.path}/_log").count()
-        except AnalysisException:
-            seq = 0
-        self.spark.createDataFrame([(seq, v, n)], "seq long, version string, n_rows long").write.mode("append").parquet(f"{self.path}/_log")
+            out = files.create(at, False)
+        except Py4JJavaError as e:
+            raise VersionConflict(f"{self.path}: version {number} is there already") from e
+        out.write(f"{v} {n};".encode())
+        out.close()
+        self.seen = number
         return n
 
     def merge(self, incoming: DataFrame, keys: list[str], order: list[Column]) -> int:

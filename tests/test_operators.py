@@ -508,3 +508,15 @@ def test_no_temporary_folder_off_one_machine(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         runtime.shared_dir(Cluster())
+
+
+def test_two_writers_of_one_version(spark, tmp_path):
+    a, b = (incremental.VersionedTable(spark, f"file://{tmp_path}/t") for _ in range(2))
+    row = spark.createDataFrame([(1, 1)], "k int, v int")
+    assert a.read() is None and b.read() is None
+    assert a.write(row) == 1
+    with pytest.raises(incremental.VersionConflict):
+        b.write(row)
+    assert b.read().count() == 1 and b.merge(spark.createDataFrame([(2, 1)], "k int, v int"), ["k"], [C("v")]) == 2 and a.read().count() == 2
+    (tmp_path / "t" / "_log" / "000000000002").write_text("v-half")
+    assert a.read().count() == 2
