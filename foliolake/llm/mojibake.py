@@ -252,7 +252,7 @@ def gains(model: Model, words: list[str], found: list[list[tuple[str, str]]]) ->
 
 
 class WordTables:
-    """What the texts are to the rounds. ``words``: (word, n). ``pairs``: (h1, h2, grp, word, n, copies) of words that may be damaged, where
+    """What the texts are to the rounds. ``words``: (word, n). ``pairs``: (h1, h2, grp, wid, n, copies) of words that may be damaged, by number, where
     h1 and h2 are hashes of a text and its group, so equal texts of one group are one record of several copies. ``sizes``: (grp, records)."""
 
     def __init__(self, docs: DataFrame) -> None:
@@ -264,7 +264,7 @@ class WordTables:
         self.pairs: DataFrame | None = None
 
     def find(self, model: Model) -> None:
-        """``found``: (word, chains, restored), the candidates of every word that has any."""
+        """``found``: (wid, word, chains, restored), the candidates of every word that has any."""
         share = self.words.sparkSession.sparkContext.broadcast((by_reading(model.chains), model.uni >= 1))
 
         def undo_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -273,14 +273,16 @@ class WordTables:
                 rows = [(w, candidates(w, readings, known)) for w in pdf["word"]]
                 yield pd.DataFrame([(w, [c for c, _ in x], [r for _, r in x]) for w, x in rows if x], columns=["word", "chains", "restored"])
 
-        self.found = materialize(spread(self.words.select("word")).mapInPandas(undo_all, "word string, chains array<string>, restored array<string>"), "found")
+        found = spread(self.words.select("word")).mapInPandas(undo_all, "word string, chains array<string>, restored array<string>")
+        self.found = materialize(found.withColumn("wid", F.monotonically_increasing_id()), "found")
         # Only words with a candidate tell anything of a record.
-        few = self.found.select("word")
+        few = self.found.select("word", "wid")
         few = F.broadcast(few) if few.count() <= MAX_BROADCAST else few
         copies = self.some.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies"))
-        every = self.some.select("grp", "h1", "h2", F.explode(words_in(F.col("text"))).alias("word")).join(few, "word", "left_semi")
-        every = every.groupBy("h1", "h2", "grp", "word").agg(F.count(F.lit(1)).alias("n"))
-        self.pairs = materialize(every.join(copies, ["h1", "h2"]).withColumn("n", F.col("n") / F.col("copies")), "pairs")
+        every = self.some.select("grp", "h1", "h2", F.explode(words_in(F.col("text"))).alias("word")).join(few, "word").drop("word")
+        # The join by record lays the rows out as the sum by record and word needs them.
+        every = every.join(copies, ["h1", "h2"]).groupBy("h1", "h2", "grp", "copies", "wid").agg(F.count(F.lit(1)).alias("n"))
+        self.pairs = materialize(every.withColumn("n", F.col("n") / F.col("copies")), "pairs")
 
 
 def _text_key() -> list[Column]:
@@ -288,17 +290,17 @@ def _text_key() -> list[Column]:
 
 
 def _word_gains(tables: WordTables, model: Model) -> DataFrame:
-    """(word, chain, gain, restored) under the model."""
+    """(wid, word, chain, gain, restored) under the model."""
     share = tables.words.sparkSession.sparkContext.broadcast((model.tri, model.bi, model.uni, model.chains))
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = Model(*share.value)
         for pdf in batches:
             found = [list(zip(c, r)) for c, r in zip(pdf["chains"], pdf["restored"])]
-            rows = [(w, *x) for w, own in zip(pdf["word"], gains(m, list(pdf["word"]), found)) for x in own]
-            yield pd.DataFrame(rows, columns=["word", "chain", "gain", "restored"])
+            rows = [(i, w, *x) for i, w, own in zip(pdf["wid"], pdf["word"], gains(m, list(pdf["word"]), found)) for x in own]
+            yield pd.DataFrame(rows, columns=["wid", "word", "chain", "gain", "restored"])
 
-    return materialize(tables.found.mapInPandas(weigh, "word string, chain string, gain double, restored string"), "gains")
+    return materialize(tables.found.mapInPandas(weigh, "wid long, word string, chain string, gain double, restored string"), "gains")
 
 
 def _posteriors(tables: WordTables, model: Model, told: DataFrame) -> DataFrame:
@@ -307,7 +309,7 @@ def _posteriors(tables: WordTables, model: Model, told: DataFrame) -> DataFrame:
     # Repeats of one word in one record are one find, told more than once.
     weight = (1 + F.log("n")) * F.log1p(F.lit(DAMAGED_WORDS) * (F.exp(F.least("gain", F.lit(60.0))) - 1))
     record = ["h1", "h2", "grp", "copies"]
-    evidence = tables.pairs.join(told.select("word", "chain", "gain"), "word").groupBy(*record, "chain").agg(F.sum(weight).alias("e"))
+    evidence = tables.pairs.join(told.select("wid", "chain", "gain"), "wid").groupBy(*record, "chain").agg(F.sum(weight).alias("e"))
     floor = FIRST_PRIOR / (20 * len(model.chains))
     if model.priors is None:
         logs = evidence.withColumn("x", F.col("e") + math.log(FIRST_PRIOR / (len(model.chains) + 1)))
@@ -357,7 +359,7 @@ def _next(tables: WordTables, model: Model) -> Model:
     priors = found.join(base, "chain").select("grp", "chain", ((F.col("m") + 50 * F.col("base")) / (F.col("records") + 50)).alias("prior"))
     # Of a damaged record's words those that its chain makes likelier count as restored.
     hit = F.col("n") * F.col("copies") * F.col("p") / (1 + F.exp(-F.least(F.greatest("gain", F.lit(-60.0)), F.lit(60.0))))
-    moved = tables.pairs.join(post.filter("p > 1e-3").select("h1", "h2", "chain", "p"), ["h1", "h2"]).join(told, ["word", "chain"]).groupBy("word", "chain", "restored").agg(F.sum(hit).alias("w"))
+    moved = tables.pairs.join(post.filter("p > 1e-3").select("h1", "h2", "chain", "p"), ["h1", "h2"]).join(told, ["wid", "chain"]).groupBy("word", "chain", "restored").agg(F.sum(hit).alias("w"))
     moved = materialize(moved, "moved")
     gone = moved.select("word", (-F.col("w")).alias("w"))
     come = moved.filter(F.col("chain") != LOST).select(F.col("restored").alias("word"), "w")
