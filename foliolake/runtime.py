@@ -30,24 +30,47 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Tables written by :func:`materialize` that stand in the shared folder.
+_written: dict[str, SparkSession] = {}
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` once as Parquet to the shared folder and read it back.
 
-    It cuts the lineage, keeps columnar statistics for the plans that follow and can be read again after any executor is lost.
+    It cuts the lineage, keeps columnar statistics for the plans that follow and can be read again after any executor is lost. Results
+    are read lazily, so the table stays until :func:`clear_materialized`, at the latest until this process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(clear_materialized)
+    _written[path] = spark
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop_materialized(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`materialize` that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for f in {os.path.dirname(x) for x in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for path in {os.path.dirname(x) for x in df.inputFiles()}:
+        _delete(df.sparkSession, path)
+        for own in [x for x in _written if x.rpartition("/")[2] == path.rpartition("/")[2]]:
+            del _written[own]
+
+
+def clear_materialized() -> None:
+    """Delete all tables of this process that :func:`materialize` made: results that weren't read yet are lost with them. Tables of a
+    session that has ended stay."""
+    for path, spark in list(_written.items()):
+        try:
+            _delete(spark, path)
+        except Exception:  # noqa: BLE001: the session is gone
+            pass
+        del _written[path]
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import datetime as dt
 import io
 import itertools
 import json
+import os
 import random
 import zipfile
 
@@ -520,3 +521,18 @@ def test_two_writers_of_one_version(spark, tmp_path):
     assert b.read().count() == 1 and b.merge(spark.createDataFrame([(2, 1)], "k int, v int"), ["k"], [C("v")]) == 2 and a.read().count() == 2
     (tmp_path / "t" / "_log" / "000000000002").write_text("v-half")
     assert a.read().count() == 2
+
+
+def test_large_enough_boxes(spark):
+    df = spark.createDataFrame([(32.0, 32.0, 90_000.0), (31.0, 900.0, 1.0), (40.0, 40.0, 1e6), (None, 40.0, 1.0)], "w double, h double, a double")
+    assert [r[0] for r in df.select(P.large_enough(C("w"), C("h"), C("a"))).collect()] == [True, False, False, None]
+
+
+def test_materialized_tables_are_cleared(spark):
+    from foliolake import runtime
+
+    made = runtime.materialize(spark.range(3), "cleared")
+    folder = made.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+    assert os.path.isdir(folder)
+    runtime.drop_materialized(made)
+    assert not os.path.isdir(folder) and not any(x.endswith(folder.rpartition("/")[2]) for x in runtime._written)
