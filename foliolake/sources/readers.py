@@ -45,13 +45,20 @@ def coco(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 def documents(spark: SparkSession, root: str, suffix: str = "json") -> DataFrame:
     """(key, path, doc): whole files under a folder, the key is the path below it without its suffix. Bytes are read as UTF-8, with or
-    without a byte order mark, else as Windows-1252."""
+    without a byte order mark, else as Windows-1252, else (bytes that it lacks) as Latin-1."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{suffix}").load(root)
     valid = F.is_valid_utf8(F.col("content").cast("string"))
 
+    def one(content: bytes | None) -> str | None:
+        for encoding in ("cp1252", "latin-1"):
+            try:
+                return None if content is None else content.decode(encoding)
+            except UnicodeDecodeError:
+                continue
+
     @F.pandas_udf("string")
     def western(content):  # noqa: ANN001, ANN202
-        return content.map(lambda c: None if c is None else c.decode("cp1252", "replace"))
+        return content.map(one)
 
     text = F.when(valid, F.col("content").cast("string")).otherwise(western(F.when(~valid, F.col("content"))))
     key = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), r"^.*?" + root.rstrip("/").rsplit("/", 1)[-1].replace(".", r"\.") + "/", "")
@@ -146,6 +153,57 @@ def vectors_npy(spark: SparkSession, root: str) -> DataFrame:
     return raw.mapInPandas(read, "store string, row long, vector array<float>")
 
 
+def vectors_zarr(spark: SparkSession, root: str) -> DataFrame:
+    """(row, vector) of a two-dimensional array in a Zarr store of version 2: a folder of ``.zarray`` and one file for each chunk, each of
+    which is a task's work. Chunks may cut rows too, and be plain, zlib, gzip or zstd; other compressors and filters are refused. Rows of
+    chunks that were never written are left out."""
+    import json
+
+    import numpy as np
+    import pandas as pd
+    from pyarrow import fs
+
+    system, base = fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+    with system.open_input_stream(f"{base}/.zarray") as f:
+        meta = json.loads(f.read())
+    (rows, width), (tall, wide) = meta["shape"], meta["chunks"]
+    packed, apart = (meta.get("compressor") or {}).get("id"), meta.get("dimension_separator", ".")
+    if packed not in (None, "zlib", "gzip", "zstd") or meta.get("filters"):
+        raise ValueError(f"{root}: compressor {packed}, filters {meta.get('filters')}")
+    kind, order = meta["dtype"], meta["order"]
+
+    def unpacked(raw: bytes) -> bytes:
+        if packed == "zstd":
+            import zstandard
+
+            return zstandard.ZstdDecompressor().decompressobj().decompress(raw)
+        import zlib
+
+        return raw if packed is None else zlib.decompress(raw, 47)  # of zlib or gzip
+
+    def read(batches):
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"]):
+                i, j = (int(x) for x in path.replace("\\", "/").rstrip("/").replace(apart, "/").split("/")[-2:])
+                a = np.frombuffer(unpacked(content), kind).reshape((tall, wide), order=order)[: rows - i * tall, : width - j * wide].astype(np.float32)
+                yield pd.DataFrame({"row": np.arange(i * tall, i * tall + len(a)), "at": j, "part": list(a)})
+
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "[0-9]*").load(root).select("path", "content")
+    parts = raw.mapInPandas(read, "row long, at int, part array<float>")
+    if wide >= width:
+        return parts.select("row", F.col("part").alias("vector"))
+    whole = parts.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "part"))).alias("x"), F.count(F.lit(1)).alias("n"))  # the chunks of one row
+    return whole.filter(F.col("n") == -(-width // wide)).select("row", F.flatten("x.part").alias("vector"))
+
+
+def aligned_store(vectors: DataFrame, metadata: DataFrame, manifest: DataFrame, *, key: str = "canonical_id") -> DataFrame:
+    """Vectors (row, vector) with the metadata (row, ``key``, ...) of their place and the manifest's row of their key. Where one side is longer
+    its rest is left out, as are keys that the manifest lacks; the manifest's first row of a key by its columns in order counts. ``row`` stays."""
+    rest = [c for c in manifest.columns if c != key and c not in metadata.columns and c not in ("row", "vector")]
+    one = manifest.groupBy(key).agg(F.min(F.struct(*rest)).alias("m")).select(key, "m.*") if rest else manifest.select(key).distinct()
+    return vectors.join(metadata, "row").join(one, key)
+
+
 def latest(df: DataFrame, keys: list[str], version: str) -> DataFrame:
     """One row for each key: the one of the greatest version."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(version)))).filter("_rn = 1").drop("_rn")

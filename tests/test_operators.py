@@ -536,3 +536,43 @@ def test_materialized_tables_are_cleared(spark):
     assert os.path.isdir(folder)
     runtime.drop_materialized(made)
     assert not os.path.isdir(folder) and not any(x.endswith(folder.rpartition("/")[2]) for x in runtime._written)
+
+
+@pytest.mark.parametrize(("packed", "wide", "apart"), [(None, 6, "."), ("zlib", 4, "."), ("gzip", 6, "/"), ("zstd", 2, ".")])
+def test_zarr_round_trip(spark, tmp_path, packed, wide, apart):
+    import gzip
+    import zlib
+
+    import zstandard
+
+    a, tall = np.arange(7 * 6, dtype="<f4").reshape(7, 6), 3
+    store = tmp_path / "v"
+    store.mkdir()
+    meta = {"zarr_format": 2, "shape": [7, 6], "chunks": [tall, wide], "dtype": "<f4", "order": "C", "filters": None, "compressor": packed and {"id": packed}, "dimension_separator": apart, "fill_value": 0}
+    (store / ".zarray").write_text(json.dumps(meta))
+    pack = {None: bytes, "zlib": zlib.compress, "gzip": gzip.compress, "zstd": zstandard.ZstdCompressor().compress}[packed]
+    for i in range(2):  # the third row of chunks was never written
+        for j in range(-(-6 // wide)):
+            chunk = np.zeros((tall, wide), "<f4")
+            part = a[i * tall : (i + 1) * tall, j * wide : (j + 1) * wide]
+            chunk[: part.shape[0], : part.shape[1]] = part
+            (store / f"{i}{apart}{j}").parent.mkdir(exist_ok=True)
+            (store / f"{i}{apart}{j}").write_bytes(pack(chunk.tobytes()))
+    got = {r["row"]: r["vector"] for r in readers.vectors_zarr(spark, str(store)).collect()}
+    assert got == {i: a[i].tolist() for i in range(6)}
+    (store / ".zarray").write_text(json.dumps(meta | {"compressor": {"id": "blosc"}}))
+    with pytest.raises(ValueError, match="blosc"):
+        readers.vectors_zarr(spark, str(store))
+
+
+def test_store_aligned_with_metadata_and_manifest(spark):
+    vectors = spark.createDataFrame([(i, [float(i)]) for i in range(4)], "row long, vector array<float>")
+    meta = spark.createDataFrame([(0, "a"), (1, "b"), (2, None), (9, "z")], "row long, canonical_id string")
+    manifest = spark.createDataFrame([("a", "p2", 1), ("a", "p1", 2), ("z", "p", 3)], "canonical_id string, path string, row int")
+    assert [tuple(r) for r in readers.aligned_store(vectors, meta, manifest).select("row", "canonical_id", "path").collect()] == [(0, "a", "p1")]
+
+
+def test_documents_in_old_encodings(spark, tmp_path):
+    for name, raw in (("a", "é".encode()), ("b", b"\xef\xbb\xbf\xc3\xa9"), ("c", b"\xe9\x80"), ("d", b"\xe9\x81")):
+        (tmp_path / f"{name}.json").write_bytes(raw)
+    assert {r["key"]: r["doc"] for r in readers.documents(spark, str(tmp_path)).collect()} == {"a": "é", "b": "é", "c": "é€", "d": "é\x81"}
