@@ -7,6 +7,8 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,29 +83,93 @@ def block_count(n: int, *, distance: int = 6) -> int:
     return min(range(distance + 1, 2 * distance + 3), key=work)
 
 
-def hash_links(hashes: DataFrame, *, distance: int = 6, blocks: int | None = None) -> DataFrame:
-    """(a, b, distance), a < b: distinct hash values at most ``distance`` bits apart. Equal hashes are one value, so copies form no pairs.
+#: Values of a part of :func:`value_links` at most on average, parts that a table is cut into for the sake of the cores, and pairs that a task looks at at once.
+PART_VALUES, PARTS, PAIRS_AT_ONCE = 250_000, 12, 1 << 21
+
+
+def _near(x, y, own: bool, blocks: int, distance: int):
+    """Positions (i, j) of values of ``x`` and ``y`` at most ``distance`` bits apart and their distances, by and by, each pair once;
+    ``own``: ``y`` is ``x``, and only i < j is given."""
+    import numpy as np
 
-    The 64 bits are cut into ``blocks``; two such values agree in at least ``blocks - distance`` of them whole, so values meet on each
-    choice of that many blocks, and what meets is checked exactly. More blocks give longer keys and more of them; unless given, their
-    number comes from the count of values (:func:`block_count`) and changes no result. Values are distinct, so no key is shared by more than a 2 ** -(bits of the key) of them unless they are
-    near each other in fact.
-    """
-    if blocks is None:
-        blocks = block_count(hashes.select("hash").distinct().count(), distance=distance)
     agree = max(1, blocks - distance)
     cuts = [64 * i // blocks for i in range(blocks + 1)]
-    part = [F.shiftrightunsigned("hash", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(cuts, cuts[1:])]
-    keys = []
-    for n, choice in enumerate(itertools.combinations(range(blocks), agree)):
-        bits = F.lit(0).cast("long")
-        for i in choice:
-            bits = F.shiftleft(bits, cuts[i + 1] - cuts[i]).bitwiseOR(part[i])
-        keys.append(F.struct(F.lit(n).alias("choice"), bits.alias("bits")))
-    keyed = hashes.select("hash").distinct().withColumn("k", F.explode(F.array(*keys))).select("hash", "k.choice", "k.bits")
-    x, y = keyed.withColumnRenamed("hash", "a"), keyed.withColumnRenamed("hash", "b")
-    met = x.join(y, ["choice", "bits"]).filter("a < b").withColumn("distance", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))))
-    return met.filter(F.col("distance") <= distance).select("a", "b", "distance").distinct()
+    masks = [np.uint64(((1 << (hi - lo)) - 1) << lo) for lo, hi in zip(cuts, cuts[1:])]
+    for choice in itertools.combinations(range(blocks), agree):
+        mask = np.uint64(sum(int(masks[i]) for i in choice))
+        kx, ky = x & mask, y & mask
+        order = np.argsort(ky)
+        ky = ky[order]
+        rows = np.argsort(kx)
+        lo, hi = np.searchsorted(ky, kx[rows], "left"), np.searchsorted(ky, kx[rows], "right")
+        rows, lo, n = rows[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+        upto = np.cumsum(n)
+        at = 0
+        while at < len(rows):
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
+            m = n[at:end]
+            i = np.repeat(rows[at:end], m)
+            j = order[np.arange(m.sum()) + np.repeat(lo[at:end] - (np.cumsum(m) - m), m)]
+            at = end
+            apart = x[i] ^ y[j]
+            d = np.bitwise_count(apart)
+            keep = np.nonzero(d <= distance)[0]
+            if own:
+                keep = keep[i[keep] < j[keep]]
+            for b in set(range(choice[-1])) - set(choice):  # else an earlier choice has the pair
+                keep = keep[(apart[keep] & masks[b]) != 0]
+            if len(keep):
+                yield i[keep], j[keep], d[keep]
+
+
+def value_links(values: DataFrame, *, distance: int = 6, blocks: int | None = None) -> DataFrame:
+    """(a, b, id_a, id_b, n_a, n_b, distance), a < b: the rows of ``values`` (hash, id, n; each hash once) whose hashes are at most
+    ``distance`` bits apart, with what belongs to either.
+
+    Values are cut into parts by hash, and each two parts meet in a task, which makes the pairs and hands them on: a value is sent once
+    for each part, pairs are neither shuffled nor joined, and no task holds more than two parts. In a task the 64 bits are cut into
+    ``blocks``; near values agree in at least ``blocks - distance`` of them whole, so values meet on each choice of that many
+    blocks, what meets is checked exactly, and a pair counts under the first choice it agrees in. Unless given, the number of blocks comes from
+    the count of values (:func:`block_count`) and changes no result.
+    """
+    n = values.count()
+    parts = max(min(PARTS, -(-n // 4096)), -(-n // PART_VALUES), 1)
+    cut = block_count(-(-n // parts), distance=distance) if blocks is None else blocks
+    part = F.pmod(F.xxhash64("hash"), F.lit(parts)).cast("int")
+    sent = values.select("hash", "id", "n", part.alias("p")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    sent = sent.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), (F.col("p") <= F.col("q")).alias("left"), "hash", "id", "n")
+    kind = values.schema["id"].dataType.simpleString()
+
+    def meet(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        t = pa.Table.from_batches(batches)
+        own, left = key[0].as_py() == key[1].as_py(), t.column("left")
+        x = t.filter(left)
+        y = x if own else t.filter(pc.invert(left))
+        hx, hy = (v.column("hash").to_numpy() for v in (x, y))
+        for i, j, d in _near(hx.view(np.uint64), hy.view(np.uint64), own, cut, distance):
+            swap = hx[i] > hy[j]
+            a, b = x.take(pa.array(i)), y.take(pa.array(j))
+            least = lambda c, first: pc.if_else(pa.array(swap == first), b.column(c), a.column(c))  # noqa: B023, E731
+            yield from pa.table(
+                [least("hash", True), least("hash", False), least("id", True), least("id", False), least("n", True), least("n", False), pa.array(d.astype(np.int32))],
+                names=["a", "b", "id_a", "id_b", "n_a", "n_b", "distance"],
+            ).combine_chunks().to_batches()
+
+    return sent.repartition(parts * (parts + 1) // 2, "p", "q").groupBy("p", "q").applyInArrow(meet, f"a long, b long, id_a {kind}, id_b {kind}, n_a long, n_b long, distance int")
+
+
+def hash_values(hashes: DataFrame) -> DataFrame:
+    """(hash, id, n): each hash value once, with the least id of its rows and their number."""
+    return hashes.groupBy("hash").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+
+
+def hash_links(hashes: DataFrame, *, distance: int = 6, blocks: int | None = None) -> DataFrame:
+    """(a, b, distance), a < b: distinct hash values at most ``distance`` bits apart (:func:`value_links`). Equal hashes are one value, so
+    copies form no pairs."""
+    values = hashes.select("hash").filter("hash is not null").distinct().select("hash", F.lit(0).cast("long").alias("id"), F.lit(1).cast("long").alias("n"))
+    return value_links(values, distance=distance, blocks=blocks).select("a", "b", "distance")
 
 
 def split_hash(df: DataFrame, *, key: str, parts: int) -> DataFrame:

@@ -187,9 +187,8 @@ def near_dedup(spark, d):
 def near_links(spark, d):
     """Links between hash values at most 6 bits apart; copies are one value, their texts are counted."""
     h = _hashes(spark, d)
-    n = h.groupBy("hash").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
-    a, b = n.select(C("hash").alias("a"), C("id").alias("id_a"), C("n").alias("n_a")), n.select(C("hash").alias("b"), C("id").alias("id_b"), C("n").alias("n_b"))
-    return U.hash_links(h).join(a, "a").join(b, "b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "distance", (C("n_a") + C("n_b")).alias("n_texts"))
+    links = U.value_links(U.hash_values(h))
+    return links.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "distance", (C("n_a") + C("n_b")).alias("n_texts"))
 
 
 def split_by_checksum(spark, d):

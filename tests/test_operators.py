@@ -244,6 +244,22 @@ def test_hash_links_and_leaders_against_brute_force(spark):
     assert {r["id"]: r["leader"] for r in U.leader_clusters(df, got).collect()} == want
 
 
+def test_hash_links_meet_without_a_join(spark, monkeypatch):
+    """Each pair once however values are cut into parts, and no plan that hands the keys of all values to the driver or joins pairs."""
+    rng = random.Random(11)
+    base = [rng.getrandbits(63) for _ in range(20)]
+    values = sorted({b ^ sum(1 << i for i in rng.sample(range(63), rng.randint(0, 4))) for b in base for _ in range(15)})
+    want = {(a, b, (a ^ b).bit_count()) for a, b in itertools.combinations(values, 2) if (a ^ b).bit_count() <= 6}
+    df = spark.createDataFrame([(v,) for v in values + values[:9]], "hash long").withColumn("id", F.monotonically_increasing_id())
+    for most, at_once, blocks in ((10**6, 1 << 21, None), (40, 7, None), (100, 1 << 21, 7), (100, 50, 10)):
+        monkeypatch.setattr(U, "PART_VALUES", most)
+        monkeypatch.setattr(U, "PAIRS_AT_ONCE", at_once)
+        links = U.hash_links(df, blocks=blocks)
+        got = [tuple(r) for r in links.collect()]
+        assert set(got) == want and len(got) == len(want)
+        assert "Join" not in links._jdf.queryExecution().executedPlan().toString()
+
+
 def test_ranked_split_is_exact(spark):
     keys = spark.range(997).select(C("id").cast("string").alias("k"))
     n = {r["split"]: r["count"] for r in U.ranked_split(keys, key="k", shares=[("a", 0.8), ("b", 0.1), ("c", 0.1)]).groupBy("split").count().collect()}
