@@ -205,31 +205,68 @@ def ranked_split(keys: DataFrame, *, key: str, shares: list[tuple[str, float]],
     return ranked.select(key, split.alias("split"))
 
 
-def leader_clusters(hashes: DataFrame, links: DataFrame, *, max_rounds: int = 60) -> DataFrame:
+#: Links between undecided values that :func:`leader_clusters` leaves to one task.
+LAST_LINKS = 1_000_000
+
+
+def _first_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node) of the leaders among the nodes of all rows (node, smaller), in order of the nodes."""
+    import numpy as np
+
+    t = pa.Table.from_batches(batches, pa.schema([("node", pa.int64()), ("smaller", pa.int64())]))
+    node, smaller = (t.column(c).to_numpy() for c in ("node", "smaller"))
+    order = np.argsort(node, kind="stable")
+    node, smaller = node[order], smaller[order]
+    names, at = np.unique(node, return_index=True)
+    # A smaller node that has no row itself leads.
+    pos = np.searchsorted(names, smaller)
+    known = (pos < len(names)) & (names[np.minimum(pos, len(names) - 1)] == smaller) if len(names) else np.zeros(0, bool)
+    pos = np.where(known, pos, len(names))
+    leads = np.zeros(len(names) + 1, bool)
+    leads[len(names)] = True
+    for k, (lo, hi) in enumerate(zip(at, np.append(at[1:], len(node)))):
+        leads[k] = not leads[pos[lo:hi]].any()
+    yield pa.record_batch([pa.array(names[leads[:-1]])], names=["node"])
+
+
+def leader_clusters(hashes: DataFrame, links: DataFrame) -> DataFrame:
     """(id, leader, n_links) for every row of ``hashes`` (id, hash): greedy leader clustering in order of id, without going through the
-    rows one by one. ``links``: pairs of near hash values (a, b).
+    rows one by one. ``links``: pairs of near hash values (a, b), or with their least ids too, each once (:func:`value_links`).
 
-    Rows of one hash are one node with the least of their ids; it joins the first leader it is linked to, or leads. A node is decided
-    once all linked nodes of smaller id are, so each round decides every node whose smaller neighbours are settled; the order, and with it
-    the result, is that of the row-by-row pass. ``n_links`` counts the other hash values linked to the row's own.
+    Rows of one hash are one node with the least of their ids; it joins the first leader it is linked to, or leads. In a round all nodes
+    without an undecided smaller neighbour lead, and what is linked to them does not; both are done with, and so are their links. When
+    few links are left (:data:`LAST_LINKS`) one task goes through them in order. The result is that of the row-by-row pass.
+    ``n_links`` counts the other hash values linked to the row's own.
     """
-    from foliolake.runtime import materialize
-
-    nodes = hashes.groupBy("hash").agg(F.min("id").alias("node"))
-    a, b = nodes.select(F.col("hash").alias("a"), F.col("node").alias("na")), nodes.select(F.col("hash").alias("b"), F.col("node").alias("nb"))
-    both = links.select("a", "b").join(a, "a").join(b, "b").select("na", "nb")
-    down = materialize(both.select(F.greatest("na", "nb").alias("node"), F.least("na", "nb").alias("smaller")).distinct(), "down")
-    state = materialize(nodes.select("node").join(down.select("node").distinct(), "node", "left_anti").withColumn("leader", F.col("node")), "leaders")
-    for _ in range(max_rounds):
-        left = down.join(state.select("node"), "node", "left_anti")
-        known = left.join(state.select(F.col("node").alias("smaller"), "leader"), "smaller", "left")
-        per = known.groupBy("node").agg(F.max(F.col("leader").isNull()).alias("waits"), F.min(F.when(F.col("leader") == F.col("smaller"), F.col("smaller"))).alias("first"))
-        new = materialize(per.filter("not waits").select("node", F.coalesce("first", "node").alias("leader")), "leaders")
-        if not new.limit(1).count():
+    from foliolake.runtime import drop_materialized, materialize
+
+    nodes = materialize(hash_values(hashes).select("hash", F.col("id").alias("node")), "nodes")
+    if "id_a" not in links.columns:
+        a, b = nodes.select(F.col("hash").alias("a"), F.col("node").alias("id_a")), nodes.select(F.col("hash").alias("b"), F.col("node").alias("id_b"))
+        links = links.select("a", "b").distinct().join(a, "a").join(b, "b")
+    down = materialize(links.select(F.greatest("id_a", "id_b").alias("node"), F.least("id_a", "id_b").alias("smaller")), "down")
+    left, leaders, held = down, nodes.select("node").join(down.select("node").distinct(), "node", "left_anti"), None
+    leaders = materialize(leaders, "leaders")
+    new = leaders
+    while True:
+        # Of the links, those remain whose nodes are both undecided: neither lead nor are linked to a leader.
+        out = materialize(left.join(new.select(F.col("node").alias("smaller")), "smaller", "left_semi").select("node").distinct(), "out")
+        rest = materialize(left.join(out, "node", "left_anti").join(out.select(F.col("node").alias("smaller")), "smaller", "left_anti").select("node", "smaller"), "down")
+        # Undecided nodes that lost all their smaller neighbours lead, whether or not any link to them remains.
+        lost = left.select("node").distinct().join(out, "node", "left_anti").join(rest.select("node").distinct(), "node", "left_anti")
+        n = rest.count()
+        if n <= LAST_LINKS:
+            last = rest.coalesce(1).mapInArrow(_first_leaders, "node long") if n else lost.limit(0)
+            done = materialize(leaders.unionByName(lost).unionByName(last), "leaders")
             break
-        state = state.unionByName(new)
-    else:
-        raise RuntimeError(f"leaders did not settle in {max_rounds} rounds")
+        new = materialize(lost, "new")
+        grown = materialize(leaders.unionByName(new), "leaders")
+        drop_materialized(leaders)
+        drop_materialized(out)
+        if held is not None:
+            drop_materialized(held)
+        left, leaders, held = rest, grown, rest
+    first = down.join(done.select(F.col("node").alias("smaller")), "smaller", "left_semi").groupBy("node").agg(F.min("smaller").alias("leader"))
     n = down.select("node").unionByName(down.select(F.col("smaller").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    whole = nodes.join(state, "node").join(n, "node", "left")
-    return hashes.join(whole, "hash").select("id", "leader", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    whole = nodes.join(n, "node", "left").join(first, "node", "left")
+    return hashes.join(whole, "hash").select("id", F.coalesce("leader", "node").alias("leader"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

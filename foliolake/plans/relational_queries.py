@@ -181,7 +181,7 @@ def _hashes(spark, d):
 def near_dedup(spark, d):
     """Every text with the leader of its group of near copies, and the number of other hash values it is linked to."""
     h = _hashes(spark, d)
-    return U.leader_clusters(h, U.hash_links(h))
+    return U.leader_clusters(h, U.value_links(U.hash_values(h)))
 
 
 def near_links(spark, d):

@@ -260,6 +260,28 @@ def test_hash_links_meet_without_a_join(spark, monkeypatch):
         assert "Join" not in links._jdf.queryExecution().executedPlan().toString()
 
 
+def test_leaders_of_long_chains_and_in_rounds(spark, monkeypatch):
+    """A chain in the order of ids settles half its nodes one by one; rounds and the last task give what a pass row by row gives."""
+    rng = random.Random(5)
+    chain = [(i, i + 1) for i in range(400)]
+    drawn = sorted({tuple(sorted(rng.sample(range(500, 620), 2))) for _ in range(300)})
+    pairs = chain + drawn
+    hashes = spark.createDataFrame([(i, i * 7) for i in range(620)], "id long, hash long")
+    leads, want = [], {}
+    near = {frozenset(p) for p in pairs}
+    for i in range(620):
+        want[i] = next((x for x in leads if frozenset((x, i)) in near), i)
+        if want[i] == i:
+            leads.append(i)
+    frames = [(pairs, U.LAST_LINKS), (drawn, 0)]
+    for links, last in frames:
+        monkeypatch.setattr(U, "LAST_LINKS", last)
+        got = U.leader_clusters(hashes, spark.createDataFrame([(a * 7, b * 7) for a, b in links], "a long, b long")).collect()
+        in_links = {x for p in links for x in p}
+        assert {r["id"]: r["leader"] for r in got} == {i: want[i] if i in in_links else i for i in range(620)}
+        assert {r["id"]: r["n_links"] for r in got} == {i: sum(i in p for p in links) for i in range(620)}
+
+
 def test_ranked_split_is_exact(spark):
     keys = spark.range(997).select(C("id").cast("string").alias("k"))
     n = {r["split"]: r["count"] for r in U.ranked_split(keys, key="k", shares=[("a", 0.8), ("b", 0.1), ("c", 0.1)]).groupBy("split").count().collect()}
