@@ -5,14 +5,16 @@
 2. Candidate search: every page goes to the cells of its ``probes`` nearest pivots. Pivots are a sample of the pages, so crowded
    regions get more cells and no cell grows with a group's size. Where the pivots that a task can hold leave cells too large, cells are
    split again by pivots of their own, until they are of the size asked for, however many pages there are. Within a cell all pages are
-   compared in blocks; what leaves it is a star (page, smallest page of its local group), and of the pairs of two local groups that are
-   within the code error of the threshold the likeliest few, which are decided on the full vectors. A cell with more of them is
+   compared in blocks; what leaves it is the sparse graph of its alike pages: the ``degree`` most alike of each page, and the most alike
+   pairs that join what these leave apart. Pairs that are within the code error of the threshold are decided on the full vectors where
+   they join two local groups, the likeliest few; a cell with more of them, or with one that may be among a page's most alike, is
    compared once more, on the full vectors of all its pages.
-3. Markov clustering of the stars' overlap: columns are expanded (sparse matrix squaring as join and sum), inflated, pruned
-   and normalised until they stand still; each star goes to the attractor of its greatest flow, which makes the clusters.
-4. Clusters that a page in stars of both still links are joined, so a group is all pages joined by alike pages.
-5. A page sends its alike mass (the sum of its cosines to alike pages) through its stars to the attractors. Its strength is what
-   arrives at the attractor of its group that receives most; the pages of the greatest strength represent the group.
+3. Markov clustering of the pages' graph: columns are expanded (sparse matrix squaring), inflated, pruned and normalised until they stand
+   still; each page goes to the attractor of its greatest flow, which makes the clusters. Flow never leaves what pairs join: the matrix
+   falls into blocks, which tasks square in memory, and blocks that are too large for that are squared as join and sum.
+4. Clusters that an alike pair of two pages links are joined, so a group is all pages joined by alike pages.
+5. A page's strength is its alike mass (the sum of its cosines to alike pages) times the share of its flow that ends at the attractor of
+   its group that receives most mass; the pages of the greatest strength represent the group.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliolake.llm.components import connected_components
+from foliolake.llm.flow import block_flow
 from foliolake.runtime import drop_materialized, materialize, spread
 
 DIM = 64
@@ -37,6 +40,10 @@ MAX_PIVOTS, CELL_PIVOTS = 65_536, 1024
 SPLIT_AT_ONCE = 50_000
 #: Undecided pairs that a cell gives for two of its local groups at most, and that it holds before it looks again which are needed.
 PAIR_LIMIT, HELD_PAIRS = 16, 1 << 20
+#: Pages that each page is joined to in a cell: its most alike.
+DEGREE = 8
+#: Edges of a block that a task clusters in memory at most, and of the blocks that meet in a task on average.
+BLOCK_EDGES, TASK_EDGES = 1_000_000, 100_000
 #: Width of the pivot blocks whose maxima are compared first; bounds the similarities a task holds at once.
 PIVOT_BLOCK, SIMS_AT_ONCE = 64, 1 << 22
 
@@ -162,61 +169,103 @@ def _likeliest(pairs: np.ndarray, sims: np.ndarray, roots: np.ndarray, limit: in
     return pairs[keep], sims[keep], bool((~keep).any())
 
 
-def local_groups(
-    x: np.ndarray, copies: np.ndarray, threshold: float, margin: float, block: int = 1024, limit: int = PAIR_LIMIT
-) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]], bool]:
-    """Groups of the unit rows ``x``, each of which stands for ``copies`` pages, by surely alike pairs (cosine of at least
-    threshold + margin).
-
-    Returns each row's group (its smallest row), its alike mass (the sum of its cosines to alike pages, itself included), the
-    undecided pairs (cosine within ``margin`` of the threshold) of different groups, at most ``limit`` for two groups, and whether
-    there were more.
+def _joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest row of each row's component, when edges (a, b) are added to components ``root``."""
+    root = root.copy()
+    while len(a):
+        ra, rb = root[a], root[b]
+        apart = ra != rb
+        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+        low = np.minimum(ra, rb)
+        np.minimum.at(root, ra, low)
+        np.minimum.at(root, rb, low)
+        while (root != (up := root[root])).any():
+            root = up
+    return root
+
+
+def local_graph(
+    x: np.ndarray, copies: np.ndarray, threshold: float, margin: float, degree: int = DEGREE, block: int = 1024, limit: int = PAIR_LIMIT
+) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]], bool, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The sparse graph of the surely alike pairs (cosine of at least threshold + margin) of the unit rows ``x``, each of which stands
+    for ``copies`` pages: the ``degree`` most alike of each row, and the most alike pairs that join what these leave apart.
+
+    Returns each row's component (its smallest row), its alike mass (the sum of its cosines to alike pages, itself included), the
+    undecided pairs (cosine within ``margin`` of the threshold) of different components, at most ``limit`` for two components, whether
+    there were more or one that may be among the ``degree`` most alike of a row, and the graph: rows, lower rows, cosines.
     """
     n = len(x)
-    parent = np.arange(n)
-    mass, weight = np.zeros(n), copies.astype(x.dtype)
+    mass, weight, count = np.zeros(n), copies.astype(x.dtype), np.zeros(n, np.int64)
+    held = [(lo, x[lo : lo + block] @ x.T) for lo in range(0, n, block)] if n <= 2 * block else None
+    edges, unsure = [], False
+
+    def blocks() -> Iterator[tuple[int, np.ndarray]]:
+        return iter(held) if held else ((lo, x[lo : lo + block] @ x.T) for lo in range(0, n, block))
+
+    for lo, sims in blocks():
+        own = np.arange(len(sims))
+        alike = np.where(sims >= threshold + margin, sims, 0)
+        mass[lo : lo + len(sims)] = alike @ weight
+        unsure = unsure or bool(margin and (np.count_nonzero(sims >= threshold - margin) > np.count_nonzero(alike)))
+        alike[own, lo + own] = 0
+        count[lo : lo + len(sims)] = found = np.count_nonzero(alike, axis=1)
+        few, many = np.nonzero((found > 0) & (found <= degree))[0], np.nonzero(found > degree)[0]
+        if len(few):
+            r, c = np.nonzero(alike[few])
+            edges.append((few[r] + lo, c, alike[few[r], c]))
+        if len(many):
+            c = np.argpartition(-alike[many], degree - 1, axis=1)[:, :degree].ravel()
+            r = np.repeat(many, degree)
+            edges.append((r + lo, c, alike[r, c]))
+    a, b, w = (np.concatenate(e) for e in zip(*edges)) if edges else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, x.dtype))
+    roots = _joined(np.arange(n), a, b)
+    # A pair that no list has is one of two rows with more alike rows than a list holds.
+    crowded = np.nonzero(count > degree)[0]
+    while len(crowded):
+        best, at = np.zeros(len(crowded), x.dtype), np.zeros(len(crowded), np.int64)
+        for lo, sims in blocks():
+            rows = np.nonzero((crowded >= lo) & (crowded < lo + len(sims)))[0]
+            if len(rows):
+                part = sims[np.ix_(crowded[rows] - lo, crowded)]
+                out = np.where((part >= threshold + margin) & (roots[crowded[rows]][:, None] != roots[crowded]), part, 0)
+                at[rows] = crowded[out.argmax(axis=1)]
+                best[rows] = out.max(axis=1)
+        order = np.lexsort([at, crowded, -best, roots[crowded]])
+        order = order[best[order] > 0]
+        if not len(order):
+            break
+        # Each component's most alike pair with another.
+        order = order[np.unique(roots[crowded[order]], return_index=True)[1]]
+        a, b, w = np.concatenate([a, crowded[order]]), np.concatenate([b, at[order]]), np.concatenate([w, best[order]])
+        roots = _joined(roots, crowded[order], at[order])
+    _, first = np.unique(np.maximum(a, b) * n + np.minimum(a, b), return_index=True)
+    graph = np.maximum(a, b)[first], np.minimum(a, b)[first], w[first]
     pairs, sims_of, more = [np.zeros((0, 2), np.int64)], [np.zeros(0, x.dtype)], False
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for lo in range(0, n, block):
-        sims = x[lo : lo + block] @ x.T
-        alike = sims >= threshold + margin
-        mass[lo : lo + block] = np.where(alike, sims, 0) @ weight
-        # The first alike row of each row decides most; only rows of another group are looked at again.
-        for i in range(len(sims)):
-            js = np.nonzero(alike[i, : lo + i])[0]
-            if len(js):
-                roots = np.unique(parent[js])
-                for r in {find(int(r)) for r in roots} - {find(lo + i)}:
-                    a, b = find(lo + i), r
-                    parent[max(a, b)] = min(a, b)
-        if not margin:
-            continue
-        r, c = np.nonzero((sims >= threshold - margin) & ~alike)
-        keep = c < r + lo
+    for lo, sims in blocks() if unsure else ():
+        r, c = np.nonzero((sims >= threshold - margin) & (sims < threshold + margin))
+        more = more or bool(((roots[r + lo] == roots[c]) & (r + lo != c) & (count[r + lo] < degree)).any())
+        keep = (c < r + lo) & (roots[r + lo] != roots[c])
         r, c = r[keep], c[keep]
         pairs.append(np.stack([r + lo, c], axis=1))
         sims_of.append(sims[r, c])
         if sum(map(len, pairs)) > HELD_PAIRS:
-            # Groups only grow: pairs within one are settled, and what is left out here marks the cell.
-            roots = np.array([find(i) for i in range(n)])
             few, few_sims, cut = _likeliest(np.concatenate(pairs), np.concatenate(sims_of), roots, limit)
             pairs, sims_of, more = [few], [few_sims], more or cut
-    roots = np.array([find(i) for i in range(n)])
     few, _, cut = _likeliest(np.concatenate(pairs), np.concatenate(sims_of), roots, limit)
-    return roots, mass, [tuple(p) for p in few.tolist()], more or cut
+    return roots, mass, [tuple(p) for p in few.tolist()], more or cut, graph
+
+
+def local_groups(x: np.ndarray, copies: np.ndarray, threshold: float, margin: float) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]], bool]:
+    """What :func:`local_graph` says of the components, without the graph."""
+    return local_graph(x, copies, threshold, margin)[:4]
 
 
 def _stars(cells: DataFrame, threshold: float, margin: float) -> DataFrame:
-    """(cell, a, b, mass, back, sure, more): from each cell, each page with its local group's smallest page (a, b; also for that page
-    itself) where the group has two nodes or more, and undecided pairs. ``mass`` is the alike mass that the star gives page a; an
-    undecided pair would give page b ``back``. ``more``: the cell has undecided pairs beyond these. ``cells`` has a code for each page,
-    or its full vector (``v``), on which nothing is undecided."""
+    """(cell, a, b, mass, back, sure, more, near, cos): from each cell, each page with the smallest page of what its cell's graph joins
+    it to (a, b; also for that page itself), if that is two nodes or more, and undecided pairs. ``mass`` is the alike mass of page a,
+    ``near`` and ``cos`` its smaller neighbours in the graph and 10,000 times their cosines; an undecided pair would give page b
+    ``back``. ``more``: the cell has undecided pairs beyond these. ``cells`` has a code for each page, or its full vector (``v``), on
+    which nothing is undecided."""
     full = "v" in cells.columns
 
     def group(key: tuple, table: pa.Table) -> pa.Table:
@@ -230,11 +279,12 @@ def _stars(cells: DataFrame, threshold: float, margin: float) -> DataFrame:
         else:
             codes = table.column("code").to_pylist()
             unit = _unit([codes[i] for i in order])
-        roots, mass, unsure, more = local_groups(unit, n, threshold, 0.0 if full else margin)
+        roots, mass, unsure, more, (hi, lo, cos) = local_graph(unit, n, threshold, 0.0 if full else margin)
         size = np.bincount(roots, minlength=len(roots))
         rows = np.nonzero(size[roots] > 1)[0]
         i, j = (np.array(v, np.int64) for v in zip(*unsure)) if unsure else (np.zeros(0, np.int64),) * 2
         both = len(rows) + len(i)
+        ends = np.concatenate([[0], np.cumsum(np.bincount(hi, minlength=len(roots))[rows]), np.full(len(i), len(hi))]).astype(np.int32)
         return pa.table(
             {
                 "cell": np.full(both, key[0].as_py(), np.int64),
@@ -244,10 +294,14 @@ def _stars(cells: DataFrame, threshold: float, margin: float) -> DataFrame:
                 "back": np.concatenate([np.zeros(len(rows)), threshold * n[i] + n[j]]),
                 "sure": np.concatenate([np.ones(len(rows), bool), np.zeros(len(i), bool)]),
                 "more": np.full(both, more),
+                "near": pa.ListArray.from_arrays(ends, page[lo]),
+                "cos": pa.ListArray.from_arrays(ends, np.rint(cos * 10_000).astype(np.int16)),
             }
         )
 
-    return cells.groupBy("cell").applyInArrow(group, "cell long, a long, b long, mass double, back double, sure boolean, more boolean")
+    return cells.groupBy("cell").applyInArrow(
+        group, "cell long, a long, b long, mass double, back double, sure boolean, more boolean, near array<long>, cos array<short>"
+    )
 
 
 def _full_vectors(vectors: DataFrame, pages: DataFrame) -> DataFrame:
@@ -272,10 +326,31 @@ def markov_cluster(edges: DataFrame, *, inflation: float = 1.6, keep: int = 40,
     """(node, attractor, flow) of the weighted graph ``edges`` (a, b, w; each pair once, a != b): a node with flow to several
     attractors has a row for each.
 
-    The matrix is kept as (column j, row i, value). A round squares it (join of the columns' entries with the columns they name),
-    raises it to ``inflation``, drops entries under ``least`` and all but the ``keep`` largest of a column, and normalises: a column
-    never has more than ``keep`` entries, so the work of a round is in proportion to the number of nodes.
+    The matrix is kept as (column j, row i, value). A round squares it, raises it to ``inflation``, drops entries under ``least`` and
+    all but the ``keep`` largest of a column, and normalises: a column never has more than ``keep`` entries, so the work of a round is
+    in proportion to the number of nodes. Nodes that no path joins exchange no flow: where ``edges`` has a ``block`` of each pair, which
+    joined pairs share, or else the component, blocks of at most :data:`BLOCK_EDGES` edges meet in tasks, each until it stands still.
     """
+    how = {"inflation": inflation, "keep": keep, "least": least, "max_rounds": max_rounds, "still": still}
+    if "block" not in edges.columns:
+        edges = edges.join(connected_components(edges).select(F.col("node").alias("a"), F.col("root").alias("block")), "a")
+    edges = materialize(edges.select("a", "b", F.col("w").cast("double").alias("w"), "block"), "graph")
+    large = materialize(edges.groupBy("block").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > BLOCK_EDGES).select("block"), "large")
+    some = large.limit(1).count() > 0
+    parts = max(edges.sparkSession.sparkContext.defaultParallelism, edges.count() // TASK_EDGES)
+
+    def cluster(t: pa.Table) -> pa.Table:
+        block, a, b, w = (t.column(c).to_numpy() for c in ("block", "a", "b", "w"))
+        return pa.table(dict(zip(("node", "attractor", "flow"), block_flow(block, a, b, w, **how))))
+
+    small = edges.join(large, "block", "left_anti") if some else edges
+    flow = small.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts))).groupBy("part").applyInArrow(cluster, "node long, attractor long, flow double")
+    return flow.unionByName(_squared_by_joins(edges.join(large, "block", "left_semi"), **how)) if some else flow
+
+
+def _squared_by_joins(edges: DataFrame, *, inflation: float, keep: int, least: float, max_rounds: int, still: float) -> DataFrame:
+    """:func:`markov_cluster` of blocks of any size: a round squares the matrix as a join of the columns' entries with the columns they
+    name, and a sum."""
     both = edges.select(F.col("a").alias("j"), F.col("b").alias("i"), "w").unionByName(edges.select(F.col("b").alias("j"), F.col("a").alias("i"), "w"))
     loops = both.groupBy("j").agg(F.max("w").alias("w")).select("j", F.col("j").alias("i"), "w")
 
@@ -300,32 +375,25 @@ def markov_cluster(edges: DataFrame, *, inflation: float = 1.6, keep: int = 40,
     return m.select(F.col("j").alias("node"), F.col("i").alias("attractor"), F.col("w").alias("flow"))
 
 
-def _drawn(overlap: DataFrame, links: DataFrame) -> DataFrame:
-    """(star, cluster, share) of the stars of ``overlap``: their cluster's smallest star, and the share of their flow that ends at the
-    attractor of the cluster to which the stars send the most alike mass.
+def _drawn(graph: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((page, cluster), (page, attractor, flow)) of the pages of ``graph``: their cluster's smallest page, and their flow.
 
-    Markov clustering gives each star the attractor of its greatest flow; attractors whose stars overlap are joined. Flow never leaves
-    what overlaps link, so nothing else is joined.
+    Markov clustering gives each page the attractor of its greatest flow; attractors whose pages an edge links are joined. Flow never
+    leaves what edges join, so nothing else is joined.
     """
-    flow = markov_cluster(overlap).withColumn("flow", F.round("flow", 9))
-    own = flow.groupBy("node").agg(F.max(F.struct("flow", (-F.col("attractor")).alias("no")))["no"].alias("no")).select("node", (-F.col("no")).alias("home"))
+    flow = materialize(markov_cluster(graph).select(F.col("node").alias("page"), "attractor", F.round("flow", 6).alias("flow")), "flow")
+    own = flow.groupBy("page").agg(F.max(F.struct("flow", (-F.col("attractor")).alias("no")))["no"].alias("no")).select("page", (-F.col("no")).alias("home"))
     own = materialize(own, "homes")
-    ends = overlap.join(own.select(F.col("node").alias("a"), F.col("home").alias("ha")), "a").join(own.select(F.col("node").alias("b"), F.col("home").alias("hb")), "b")
-    # Homes that nothing else links keep their own pair.
-    comp = connected_components(ends.select("ha", "hb"), "ha", "hb")
-    star = own.join(comp.select(F.col("node").alias("home"), "root"), "home").select("node", "root")
-    star = materialize(star.join(star.groupBy("root").agg(F.min("node").alias("cluster")), "root").select("node", "cluster"), "homes")
-    sent = links.groupBy(F.col("b").alias("node")).agg(F.sum("mass").alias("mass"))
-    moved = materialize(flow.join(sent, "node").join(star, "node"), "moved")
-    got = moved.groupBy("cluster", "attractor").agg(F.sum(F.col("flow") * F.col("mass")).alias("got"))
-    main = got.groupBy("cluster").agg(F.max(F.struct(F.round("got", 6).alias("got"), (-F.col("attractor")).alias("no")))["no"].alias("no")).select("cluster", (-F.col("no")).alias("attractor"))
-    share = moved.join(main, ["cluster", "attractor"]).select("node", F.col("flow").alias("share"))
-    return star.join(share, "node", "left").select(F.col("node").alias("star"), "cluster", F.coalesce("share", F.lit(0.0)).alias("share"))
+    ends = graph.select("a", "b").join(own.select(F.col("page").alias("a"), F.col("home").alias("ha")), "a").join(own.select(F.col("page").alias("b"), F.col("home").alias("hb")), "b")
+    comp = connected_components(ends.filter("ha != hb").select("ha", "hb").distinct(), "ha", "hb")
+    placed = own.join(comp.select(F.col("node").alias("home"), "root"), "home", "left").select("page", F.coalesce("root", "home").alias("root"))
+    placed = materialize(placed, "homes")
+    return placed.join(placed.groupBy("root").agg(F.min("page").alias("cluster")), "root").select("page", "cluster"), flow
 
 
 def similarity_clusters(vectors: DataFrame, *, threshold: float = 0.8, probes: int = 4, cell_size: int = 512, max_pivots: int = MAX_PIVOTS) -> DataFrame:
     """(page_id, cluster, strength): every page of a group of two or more, the group's smallest page, and the page's alike mass as
-    far as it flows to the group's main attractor.
+    far as its flow ends at the group's main attractor.
 
     ``vectors``: page_id, written_at, page_embeddings. Pages in no group have no row; neither have pages without a usable vector in
     their latest row. Equal and repeated rows count once, an empty table gives no rows, other columns are ignored.
@@ -356,33 +424,33 @@ def similarity_clusters(vectors: DataFrame, *, threshold: float = 0.8, probes: i
         exact = _stars(again.join(_full_vectors(vectors, again.select("page_id").distinct()), "page_id"), threshold, 0.0)
         stars = materialize(stars.filter("not more").unionByName(exact), "stars")
     unsure = stars.filter("not sure").select("a", "b", "mass", "back").distinct()
-    links = stars.filter("sure").select("a", "b", "mass")
+    links, near = stars.filter("sure").select("a", "b", "mass"), None
     if unsure.limit(1).count():
         near = materialize(_decide(unsure, vectors, threshold), "near")
         links = links.unionByName(near.select("a", "b", "mass")).unionByName(near.select(F.col("b").alias("a"), "b", F.col("back").alias("mass")))
-    # Contract: two stars overlap where a page is in both.
-    tops = links.groupBy("a").agg(F.collect_set("b").alias("bs"))
-    overlap = (
-        tops.filter(F.size("bs") > 1)
-        .select(F.array_min("bs").alias("a"), F.explode("bs").alias("b"))
-        .filter("a != b")
-        .groupBy("a", "b")
-        .agg(F.count(F.lit(1)).cast("double").alias("w"))
-    )
-    overlap = materialize(overlap, "overlap")
-    drawn = materialize(_drawn(overlap, links), "drawn")
-    # A star that overlaps no other is a cluster by itself, and all its flow stays in it.
-    placed = (
-        links.join(drawn.withColumnRenamed("star", "b"), "b", "left")
-        .groupBy(F.col("a").alias("page_id"))
-        .agg(
-            F.min(F.coalesce("cluster", "b")).alias("cluster"),
-            (F.max("mass") * F.sum(F.col("mass") * F.coalesce("share", F.lit(1.0))) / F.sum("mass")).alias("strength"),
-        )
-    )
+    # Two stars overlap where a page is in both; what overlaps is a block of the pages' matrix.
+    tops = links.groupBy("a").agg(F.collect_set("b").alias("bs"), F.max("mass").alias("mass"))
+    tops = materialize(tops.select(F.col("a").alias("page"), "bs", "mass"), "tops")
+    overlap = tops.filter(F.size("bs") > 1).select(F.array_min("bs").alias("a"), F.explode("bs").alias("b")).filter("a != b").distinct()
+    block = connected_components(overlap).select(F.col("node").alias("star"), F.col("root").alias("block"))
+    found = stars.filter("sure").filter(F.size("near") > 0).select(F.col("b").alias("star"), "a", "near", "cos").join(block, "star", "left")
+    found = found.select(F.coalesce("block", "star").alias("block"), "a", F.explode(F.arrays_zip("near", "cos")).alias("e"))
+    found = found.select("block", "a", F.col("e.near").alias("b"), (F.col("e.cos") / 10_000.0).alias("w"))
+    if near is not None:
+        at = near.select(F.col("b").alias("star"), "a", "b").join(block, "star", "left")
+        found = found.unionByName(at.select(F.coalesce("block", "star").alias("block"), "a", "b", F.lit(float(threshold)).alias("w")))
+    graph = materialize(found.groupBy("a", "b").agg(F.max("w").alias("w"), F.min("block").alias("block")), "graph")
+    drawn, flow = _drawn(graph)
+    drawn = materialize(drawn.join(tops.select("page", "mass"), "page"), "drawn")
+    moved = flow.join(drawn, "page")
+    got = moved.groupBy("cluster", "attractor").agg(F.sum(F.col("flow") * F.col("mass")).alias("got"))
+    main = got.groupBy("cluster").agg(F.max(F.struct(F.round("got", 6).alias("got"), (-F.col("attractor")).alias("no")))["no"].alias("no")).select("cluster", (-F.col("no")).alias("main"))
+    # The main attractor's flow is one row of a page at most.
+    sent = moved.join(main, "cluster").filter("attractor = main").select("page", "flow")
+    placed = drawn.join(sent, "page", "left").select(F.col("page").alias("page_id"), "cluster", (F.col("mass") * F.coalesce("flow", F.lit(0.0))).alias("strength"))
     placed = materialize(placed, "placed")
     # A code of several pages is a group by itself, and its pages go where its node goes; all other nodes are their one page. Every
-    # cluster is named by its smallest page: local groups are, nodes are, and the least name of a component stays.
+    # cluster is named by its smallest page, as nodes are.
     shared = nodes.filter("n > 1")
     at = shared.join(placed, "page_id", "left").select("code", F.coalesce("cluster", "page_id").alias("cluster"), F.coalesce("strength", F.col("n").cast("double")).alias("strength"))
     copies = codes.join(at, "code").select("page_id", "cluster", "strength")

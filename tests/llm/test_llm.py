@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from foliolake.llm import bin_pack as bp
 from foliolake.llm import entity_match as em
+from foliolake.llm import flow as fl
 from foliolake.llm import group_split as gs
 from foliolake.llm import markov_clusters as mc
 from foliolake.llm import mixture as mx
@@ -646,3 +647,74 @@ def test_subset_is_more_varied_than_chance(spark):
     near = lambda ids: sum(i % 2 for i in ids)
     assert near(ours) < 0.5 * near(chance) and sum(bool(i % 3) for i in ours) < 0.75 * sum(bool(i % 3) for i in chance)
     assert len({i % 100 for i in ours if i % 3 == 0}) > len({i % 100 for i in chance if i % 3 == 0})
+
+
+def test_the_flow_sees_the_pages_own_similarities(spark, monkeypatch):
+    """Two bunches of pages that a tilted page of the first joins: the graph that flows has every page with the cosines to its most
+    alike pages; attractors part the bunches, and the tilted page's pair joins them to a group."""
+    rng, (u, v) = np.random.default_rng(5), np.linalg.qr(np.random.default_rng(5).normal(size=(64, 2)))[0].T
+    on = lambda deg: np.cos(np.radians(deg)) * u + np.sin(np.radians(deg)) * v
+    x = np.array([on(0) + rng.normal(size=64) * 0.01 for _ in range(12)] + [on(12)] + [on(45) + rng.normal(size=64) * 0.01 for _ in range(12)])
+    seen, real = [], mc.markov_cluster
+    monkeypatch.setattr(mc, "markov_cluster", lambda edges: seen.append((edges.collect(), real(edges).collect())) or real(edges))
+    got = mc.similarity_clusters(spark.createDataFrame([(i, T0, y.tolist(), "s", "c", "k") for i, y in enumerate(x)], VEC), probes=30).collect()
+    assert {(r["page_id"], r["cluster"]) for r in got} == {(i, 0) for i in range(25)}
+    ((edges, flow),) = seen
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cos = unit @ unit.T - 2 * np.eye(25)
+    assert {p for e in edges for p in (e["a"], e["b"])} == set(range(25)) and all(abs(e["w"] - cos[e["a"], e["b"]]) < 0.02 for e in edges)
+    pairs = {frozenset((e["a"], e["b"])) for e in edges}
+    assert len(pairs) == len(edges) and all(sum(i in p for p in pairs) >= mc.DEGREE for i in range(25))
+    assert sum(min(p) <= 12 < max(p) for p in pairs) == 1
+    home = {n: max((r["flow"], -r["attractor"]) for r in flow if r["node"] == n)[1] for n in range(25)}
+    assert {-home[i] <= 12 for i in range(12)} == {True} and {-home[i] <= 12 for i in range(13, 25)} == {False}
+
+
+def test_cell_graph_joins_what_is_alike():
+    """Components are those of brute force, and each row is joined to its most alike, also where lists are short and rows come in blocks."""
+    x = vector_rows(seed=6, n_groups=40, hot=200).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want, cos = clusters_of(x, list(range(len(x)))), x @ x.T - 2 * np.eye(len(x))
+    for degree, block in ((8, 1024), (1, 1024), (2, 64)):
+        roots, _, pairs, more, (a, b, w) = mc.local_graph(x, np.ones(len(x)), 0.8, 0.0, degree, block)
+        assert {(r, i) for i, r in enumerate(roots.tolist()) if r != i} == want and not pairs and not more
+        assert (a > b).all() and np.allclose(w, cos[a, b]) and w.min() >= 0.8 and len(a) <= (degree + 1) * len(x)
+        found = {frozenset(p) for p in zip(a.tolist(), b.tolist())}
+        assert all(frozenset((i, int(cos[i].argmax()))) in found for i in range(len(x)) if cos[i].max() >= 0.8)
+        assert mc._joined(np.arange(len(x)), a, b).tolist() == roots.tolist()
+
+
+def test_a_page_whose_most_alike_are_undecided_is_compared_again():
+    """Row 2 is surely alike to row 0 and undecided with row 1: only its full vector tells whether both are neighbours."""
+    e = np.eye(64)
+    x = np.array([e[0], 0.95 * e[0] + np.sqrt(1 - 0.95**2) * e[1], 0.84 * e[0] + np.sqrt(1 - 0.84**2) * e[2]])
+    x[2] = 0.84 * e[0] + 0.01 * e[1] + np.sqrt(1 - 0.84**2 - 0.01**2) * e[2]
+    assert abs(x[1] @ x[2] - 0.8) < mc.CODE_ERROR
+    roots, _, pairs, more = mc.local_groups(x, np.ones(3), 0.8, mc.CODE_ERROR)
+    assert roots.tolist() == [0, 0, 0] and not pairs and more
+
+
+def test_flow_of_blocks_is_that_of_joins(spark, monkeypatch):
+    """The same flow from dense and from sparse blocks in memory and from joins, with columns that are pruned."""
+    rng, edges = np.random.default_rng(9), {}
+    for lo, n in ((0, 2), (10, 5), (100, 60), (300, 90)):
+        for i in range(1, n):
+            for j in {int(rng.integers(0, i)), i - 1, max(0, i - 7)}:
+                edges[lo + i, lo + j] = (lo, float(rng.uniform(0.8, 1)))
+    a, b = np.array(list(edges)).T
+    block, w = np.array([v[0] for v in edges.values()]), np.array([v[1] for v in edges.values()])
+    how = {"inflation": 1.6, "keep": 12, "least": 1e-3, "max_rounds": 5, "still": 0.0}
+    as_dict = lambda rows: {(int(n), int(t)): float(f) for n, t, f in rows}
+    dense = as_dict(zip(*fl.block_flow(block, a, b, w, **how)))
+    monkeypatch.setattr(fl, "DENSE", 1)
+    ways = [as_dict(zip(*fl.block_flow(block, a, b, w, **how)))]
+    monkeypatch.setattr(fl, "AT_ONCE", 500)
+    ways.append(as_dict(zip(*fl.block_flow(block, a, b, w, **how))))
+    monkeypatch.undo()
+    df = spark.createDataFrame(list(zip(a.tolist(), b.tolist(), w.tolist())), "a long, b long, w double")
+    ways.append(as_dict(mc.markov_cluster(df, **how).collect()))
+    monkeypatch.setattr(mc, "BLOCK_EDGES", 100)
+    ways.append(as_dict(mc.markov_cluster(df, **how).collect()))
+    for way in ways:
+        assert {n for n, _ in way} == {n for n, _ in dense}
+        assert all(abs(way.get(k, 0) - dense.get(k, 0)) < 2e-3 for k in way.keys() | dense.keys())
