@@ -8,6 +8,8 @@ import numpy as np
 DENSE = 256
 #: Products, or entries of dense matrices, that are held at once.
 AT_ONCE = 1 << 21
+#: Rows of a product are summed as whole rows where these have at most so many entries for each product.
+WIDE = 32
 
 
 def _top(w: np.ndarray, keep: int, least: float) -> np.ndarray:
@@ -74,8 +76,9 @@ def _sparse(row: np.ndarray, col: np.ndarray, w: np.ndarray, n: int, inflation:
     """The flow of one block, given as entries in order of (row, col), as entries."""
 
     def parts(load: np.ndarray):
-        """Ranges of rows of some AT_ONCE loads."""
-        cut = np.searchsorted(np.cumsum(load), np.arange(AT_ONCE, load.sum() + AT_ONCE, AT_ONCE), side="right")
+        """Ranges of rows of some AT_ONCE / 4 loads, which stay in a core's cache."""
+        most = AT_ONCE // 4
+        cut = np.searchsorted(np.cumsum(load), np.arange(most, load.sum() + most, most), side="right")
         at = np.unique(np.concatenate([[0], cut, [n]]))
         return zip(at[:-1].tolist(), at[1:].tolist())
 
@@ -89,16 +92,17 @@ def _sparse(row: np.ndarray, col: np.ndarray, w: np.ndarray, n: int, inflation:
         count = np.bincount(row, minlength=n)
         ptr = np.concatenate([[0], np.cumsum(count)])
         load = np.bincount(row, weights=count[col], minlength=n).astype(np.int64)
-        done = []
-        for lo, hi in parts(load):
+        # Sums go to whole rows, a few rows at a time, unless rows would be nearly empty.
+        wide, done = n * n <= WIDE * load.sum(), []
+        for lo, hi in parts(np.maximum(load, n) if wide else load):
             s = slice(ptr[lo], ptr[hi])
             r, k, u = row[s] - lo, col[s], w[s]
             c = count[k]
             at = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c - ptr[k], c)
             key, v = np.repeat(r * n, c) + col[at], np.repeat(u, c) * w[at]
-            if (hi - lo) * n <= 8 * len(key):
+            if wide:
                 full = np.bincount(key, weights=v, minlength=(hi - lo) * n)
-                key = np.nonzero(full)[0]
+                key = np.nonzero(full != 0)[0]
                 v = full[key]
             else:
                 order = np.argsort(key)

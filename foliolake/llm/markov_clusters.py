@@ -324,7 +324,7 @@ def _decide(unsure: DataFrame, vectors: DataFrame, threshold: float) -> DataFram
 
 def markov_cluster(edges: DataFrame, *, inflation: float = 1.6, keep: int = 40, least: float = 1e-3, max_rounds: int = 12, still: float = 1e-3) -> DataFrame:
     """(node, attractor, flow) of the weighted graph ``edges`` (a, b, w; each pair once, a != b): a node with flow to several
-    attractors has a row for each.
+    attractors has a row for each. Where ``edges`` has a ``block``, rows also have their node's ``cluster``, as in :func:`_by_joins`.
 
     The matrix is kept as (column j, row i, value). A round squares it, raises it to ``inflation``, drops entries under ``least`` and
     all but the ``keep`` largest of a column, and normalises: a column never has more than ``keep`` entries, so the work of a round is
@@ -332,20 +332,32 @@ def markov_cluster(edges: DataFrame, *, inflation: float = 1.6, keep: int = 40,
     joined pairs share, or else the component, blocks of at most :data:`BLOCK_EDGES` edges meet in tasks, each until it stands still.
     """
     how = {"inflation": inflation, "keep": keep, "least": least, "max_rounds": max_rounds, "still": still}
-    if "block" not in edges.columns:
+    given = "block" in edges.columns
+    if not given:
         edges = edges.join(connected_components(edges).select(F.col("node").alias("a"), F.col("root").alias("block")), "a")
-    edges = materialize(edges.select("a", "b", F.col("w").cast("double").alias("w"), "block"), "graph")
-    large = materialize(edges.groupBy("block").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > BLOCK_EDGES).select("block"), "large")
-    some = large.limit(1).count() > 0
-    parts = max(edges.sparkSession.sparkContext.defaultParallelism, edges.count() // TASK_EDGES)
+    edges = edges.select("a", "b", F.col("w").cast("double").alias("w"), "block")
+    if not given:
+        edges = materialize(edges, "graph")
+    sizes = edges.groupBy("block").agg(F.count(F.lit(1)).alias("m"))
+    every, most = sizes.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.max("m"), F.lit(0))).first()
+    parts = max(edges.sparkSession.sparkContext.defaultParallelism, every // TASK_EDGES)
 
     def cluster(t: pa.Table) -> pa.Table:
         block, a, b, w = (t.column(c).to_numpy() for c in ("block", "a", "b", "w"))
-        return pa.table(dict(zip(("node", "attractor", "flow"), block_flow(block, a, b, w, **how))))
-
-    small = edges.join(large, "block", "left_anti") if some else edges
-    flow = small.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts))).groupBy("part").applyInArrow(cluster, "node long, attractor long, flow double")
-    return flow.unionByName(_squared_by_joins(edges.join(large, "block", "left_semi"), **how)) if some else flow
+        node, attractor, flow = block_flow(block, a, b, w, **how)
+        out = {"node": node, "attractor": attractor, "flow": flow}
+        return pa.table(out | {"cluster": _in_memory(a, b, node, attractor, flow)} if given else out)
+
+    schema = "node long, attractor long, flow double" + ", cluster long" * given
+    small = edges
+    if most > BLOCK_EDGES:
+        large = materialize(sizes.filter(F.col("m") > BLOCK_EDGES).select("block"), "large")
+        small, rest = edges.join(large, "block", "left_anti"), edges.join(large, "block", "left_semi")
+    flow = small.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts))).groupBy("part").applyInArrow(cluster, schema)
+    if most <= BLOCK_EDGES:
+        return flow
+    squared = _squared_by_joins(rest, **how)
+    return flow.unionByName(_by_joins(squared, rest) if given else squared)
 
 
 def _squared_by_joins(edges: DataFrame, *, inflation: float, keep: int, least: float, max_rounds: int, still: float) -> DataFrame:
@@ -375,20 +387,40 @@ def _squared_by_joins(edges: DataFrame, *, inflation: float, keep: int, least: f
     return m.select(F.col("j").alias("node"), F.col("i").alias("attractor"), F.col("w").alias("flow"))
 
 
-def _drawn(graph: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((page, cluster), (page, attractor, flow)) of the pages of ``graph``: their cluster's smallest page, and their flow.
+def _in_memory(a: np.ndarray, b: np.ndarray, node: np.ndarray, attractor: np.ndarray, flow: np.ndarray) -> np.ndarray:
+    """The cluster of each row of the flow of whole blocks, a node's rows together, as in :func:`_by_joins`."""
+    first = np.nonzero(np.concatenate([[True], node[1:] != node[:-1]]))[0]
+    times = np.diff(np.append(first, len(node)))
+    flow = np.round(flow, 6)
+    greatest = flow == np.repeat(np.maximum.reduceat(flow, first), times)
+    home = np.minimum.reduceat(np.where(greatest, attractor, np.iinfo(np.int64).max), first)
+    # Pages are numbered in their order, so that the smallest number of a cluster is its smallest page.
+    page, order = node[first], np.argsort(node[first])
+    named = page[order]
+    home = np.searchsorted(named, home[order])
+    a, b = home[np.searchsorted(named, a)], home[np.searchsorted(named, b)]
+    root = _joined(np.arange(len(named)), a[a != b], b[a != b])[home]
+    least = np.full(len(named), len(named))
+    np.minimum.at(least, root, np.arange(len(named)))
+    cluster = np.empty(len(named), np.int64)
+    cluster[order] = named[least[root]]
+    return np.repeat(cluster, times)
+
+
+def _by_joins(flow: DataFrame, graph: DataFrame) -> DataFrame:
+    """``flow`` with the ``cluster`` of its nodes, the cluster's smallest page.
 
     Markov clustering gives each page the attractor of its greatest flow; attractors whose pages an edge links are joined. Flow never
     leaves what edges join, so nothing else is joined.
     """
-    flow = materialize(markov_cluster(graph).select(F.col("node").alias("page"), "attractor", F.round("flow", 6).alias("flow")), "flow")
-    own = flow.groupBy("page").agg(F.max(F.struct("flow", (-F.col("attractor")).alias("no")))["no"].alias("no")).select("page", (-F.col("no")).alias("home"))
+    flow = materialize(flow.select("node", "attractor", "flow"), "flow")
+    own = flow.groupBy("node").agg(F.max(F.struct(F.round("flow", 6).alias("flow"), (-F.col("attractor")).alias("no")))["no"].alias("no")).select("node", (-F.col("no")).alias("home"))
     own = materialize(own, "homes")
-    ends = graph.select("a", "b").join(own.select(F.col("page").alias("a"), F.col("home").alias("ha")), "a").join(own.select(F.col("page").alias("b"), F.col("home").alias("hb")), "b")
+    ends = graph.select("a", "b").join(own.select(F.col("node").alias("a"), F.col("home").alias("ha")), "a").join(own.select(F.col("node").alias("b"), F.col("home").alias("hb")), "b")
     comp = connected_components(ends.filter("ha != hb").select("ha", "hb").distinct(), "ha", "hb")
-    placed = own.join(comp.select(F.col("node").alias("home"), "root"), "home", "left").select("page", F.coalesce("root", "home").alias("root"))
+    placed = own.join(comp.select(F.col("node").alias("home"), "root"), "home", "left").select("node", F.coalesce("root", "home").alias("root"))
     placed = materialize(placed, "homes")
-    return placed.join(placed.groupBy("root").agg(F.min("page").alias("cluster")), "root").select("page", "cluster"), flow
+    return flow.join(placed.join(placed.groupBy("root").agg(F.min("node").alias("cluster")), "root").select("node", "cluster"), "node")
 
 
 def similarity_clusters(vectors: DataFrame, *, threshold: float = 0.8, probes: int = 4, cell_size: int = 512, max_pivots: int = MAX_PIVOTS) -> DataFrame:
@@ -433,21 +465,25 @@ def similarity_clusters(vectors: DataFrame, *, threshold: float = 0.8, probes: i
     tops = materialize(tops.select(F.col("a").alias("page"), "bs", "mass"), "tops")
     overlap = tops.filter(F.size("bs") > 1).select(F.array_min("bs").alias("a"), F.explode("bs").alias("b")).filter("a != b").distinct()
     block = connected_components(overlap).select(F.col("node").alias("star"), F.col("root").alias("block"))
-    found = stars.filter("sure").filter(F.size("near") > 0).select(F.col("b").alias("star"), "a", "near", "cos").join(block, "star", "left")
-    found = found.select(F.coalesce("block", "star").alias("block"), "a", F.explode(F.arrays_zip("near", "cos")).alias("e"))
-    found = found.select("block", "a", F.col("e.near").alias("b"), (F.col("e.cos") / 10_000.0).alias("w"))
+    pages = tops.select("page", "mass", F.array_min("bs").alias("star")).join(block, "star", "left")
+    pages = materialize(pages.select("page", "mass", F.coalesce("block", "star").alias("block")), "pages")
+    lists = stars.filter("sure").filter(F.size("near") > 0).select("a", "near", "cos")
     if near is not None:
-        at = near.select(F.col("b").alias("star"), "a", "b").join(block, "star", "left")
-        found = found.unionByName(at.select(F.coalesce("block", "star").alias("block"), "a", "b", F.lit(float(threshold)).alias("w")))
-    graph = materialize(found.groupBy("a", "b").agg(F.max("w").alias("w"), F.min("block").alias("block")), "graph")
-    drawn, flow = _drawn(graph)
-    drawn = materialize(drawn.join(tops.select("page", "mass"), "page"), "drawn")
-    moved = flow.join(drawn, "page")
-    got = moved.groupBy("cluster", "attractor").agg(F.sum(F.col("flow") * F.col("mass")).alias("got"))
+        lists = lists.unionByName(near.select("a", F.array("b").alias("near"), F.array(F.lit(round(threshold * 10_000)).cast("short")).alias("cos")))
+    # Lists of a page meet before they are taken apart, so that its pairs are put together where they are.
+    found = lists.join(pages.select(F.col("page").alias("a"), "block"), "a").select("block", "a", F.explode(F.arrays_zip("near", "cos")).alias("e"))
+    graph = found.groupBy("a", F.col("e.near").alias("b")).agg((F.max("e.cos") / 10_000.0).alias("w"), F.min("block").alias("block"))
+    graph = materialize(graph, "graph")
+    flow = markov_cluster(graph)
+    if "cluster" not in flow.columns:
+        flow = _by_joins(flow, graph)
+    moved = flow.select(F.col("node").alias("page"), "cluster", "attractor", F.round("flow", 6).alias("flow")).join(pages.select("page", "mass"), "page")
+    moved = materialize(moved.select("page", "cluster", "attractor", (F.col("flow") * F.col("mass")).alias("sent")), "moved")
+    got = moved.groupBy("cluster", "attractor").agg(F.sum("sent").alias("got"))
     main = got.groupBy("cluster").agg(F.max(F.struct(F.round("got", 6).alias("got"), (-F.col("attractor")).alias("no")))["no"].alias("no")).select("cluster", (-F.col("no")).alias("main"))
     # The main attractor's flow is one row of a page at most.
-    sent = moved.join(main, "cluster").filter("attractor = main").select("page", "flow")
-    placed = drawn.join(sent, "page", "left").select(F.col("page").alias("page_id"), "cluster", (F.col("mass") * F.coalesce("flow", F.lit(0.0))).alias("strength"))
+    sent = F.when(F.col("attractor") == F.col("main"), F.col("sent")).otherwise(0.0)
+    placed = moved.join(main, "cluster").groupBy(F.col("page").alias("page_id")).agg(F.min("cluster").alias("cluster"), F.max(sent).alias("strength"))
     placed = materialize(placed, "placed")
     # A code of several pages is a group by itself, and its pages go where its node goes; all other nodes are their one page. Every
     # cluster is named by its smallest page, as nodes are.

@@ -718,3 +718,45 @@ def test_flow_of_blocks_is_that_of_joins(spark, monkeypatch):
     for way in ways:
         assert {n for n, _ in way} == {n for n, _ in dense}
         assert all(abs(way.get(k, 0) - dense.get(k, 0)) < 2e-3 for k in way.keys() | dense.keys())
+
+
+def test_clusters_of_blocks_are_those_of_joins(spark, monkeypatch):
+    """Blocks in memory, and some in memory and some by joins, give every page the same cluster: attractors joined by edges."""
+    rng, edges = np.random.default_rng(10), {}
+    for lo, n in ((0, 2), (10, 6), (100, 40), (300, 70)):
+        page = rng.permutation(n) + lo
+        for i in range(1, n):
+            for j in {int(rng.integers(max(0, i - 4), i)), i - 1}:
+                edges[int(max(page[i], page[j])), int(min(page[i], page[j]))] = (lo, float(rng.uniform(0.8, 1)))
+    df = spark.createDataFrame([(a, b, w, lo) for (a, b), (lo, w) in edges.items()], "a long, b long, w double, block long")
+    want = {p: lo for pair, (lo, _) in edges.items() for p in pair}
+    assert len({r["attractor"] for r in mc.markov_cluster(df).collect()}) > 4
+    for limit in (10**6, 100):
+        monkeypatch.setattr(mc, "BLOCK_EDGES", limit)
+        assert {r["node"]: r["cluster"] for r in mc.markov_cluster(df).collect()} == want
+
+
+def test_groups_in_memory_are_joined_once(spark, monkeypatch):
+    """The graph is written once, and only what overlaps is joined by rounds of joins: the clusters of small blocks are not."""
+    calls, written = [], []
+    components, write = mc.connected_components, mc.materialize
+    monkeypatch.setattr(mc, "connected_components", lambda *a, **k: calls.append(1) or components(*a, **k))
+    monkeypatch.setattr(mc, "materialize", lambda df, name="t": written.append(name) or write(df, name))
+    x = vector_rows(seed=11, n_groups=30, hot=60)
+    got = {tuple(r) for r in mc.cluster_pairs(mc.similarity_clusters(spark.createDataFrame([(i, T0, y.tolist(), "s", "c", "k") for i, y in enumerate(x)], VEC), probes=30)).collect()}
+    want = clusters_of(np.array(x, float), list(range(len(x))))
+    assert len(got & want) >= 0.99 * len(want) and len(got - want) <= 0.01 * len(want)
+    assert len(calls) == 1 and written.count("graph") == 1
+
+
+def test_sums_of_flow_are_the_same_in_rows_and_in_order(monkeypatch):
+    rng = np.random.default_rng(12)
+    pairs = sorted({(i, j) for i in range(1, 300) for j in (i - 1, int(rng.integers(0, i)), max(0, i - 9)) if i != j})
+    a, b = np.array(pairs).T
+    how = {"inflation": 1.6, "keep": 40, "least": 1e-3, "max_rounds": 6, "still": 1e-3}
+    ways, w = [], rng.uniform(0.8, 1, len(a))
+    for wide, at_once in ((10**6, fl.AT_ONCE), (10**6, 900), (0, fl.AT_ONCE), (0, 900)):
+        monkeypatch.setattr(fl, "WIDE", wide)
+        monkeypatch.setattr(fl, "AT_ONCE", at_once)
+        ways.append({(int(n), int(t)): f for n, t, f in zip(*fl.block_flow(np.zeros(len(a), np.int64), a, b, w, **how))})
+    assert all(x.keys() == ways[0].keys() and all(abs(x[k] - ways[0][k]) < 1e-4 for k in x) for x in ways)
