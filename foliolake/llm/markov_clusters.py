@@ -204,14 +204,15 @@ def local_graph(
 
     for lo, sims in blocks():
         own = np.arange(len(sims))
-        alike = np.where(sims >= threshold + margin, sims, 0)
+        sure = sims >= threshold + margin
+        alike = np.where(sure, sims, 0)
         mass[lo : lo + len(sims)] = alike @ weight
-        unsure = unsure or bool(margin and (np.count_nonzero(sims >= threshold - margin) > np.count_nonzero(alike)))
-        alike[own, lo + own] = 0
-        count[lo : lo + len(sims)] = found = np.count_nonzero(alike, axis=1)
+        sure[own, lo + own], alike[own, lo + own] = False, 0
+        count[lo : lo + len(sims)] = found = np.count_nonzero(sure, axis=1)
+        unsure = unsure or bool(margin and np.count_nonzero(sims >= threshold - margin) > found.sum() + len(sims))
         few, many = np.nonzero((found > 0) & (found <= degree))[0], np.nonzero(found > degree)[0]
         if len(few):
-            r, c = np.nonzero(alike[few])
+            r, c = np.nonzero(sure[few])
             edges.append((few[r] + lo, c, alike[few[r], c]))
         if len(many):
             c = np.argpartition(-alike[many], degree - 1, axis=1)[:, :degree].ravel()
@@ -220,8 +221,9 @@ def local_graph(
     a, b, w = (np.concatenate(e) for e in zip(*edges)) if edges else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, x.dtype))
     roots = _joined(np.arange(n), a, b)
     # A pair that no list has is one of two rows with more alike rows than a list holds.
-    crowded = np.nonzero(count > degree)[0]
-    while len(crowded):
+    crowded, label = np.nonzero(count > degree)[0], roots.astype(np.int32)
+    apart = len(crowded) > 1 and any(((sims >= threshold + margin) & (label[lo : lo + len(sims), None] != label)).any() for lo, sims in blocks())
+    while apart:
         best, at = np.zeros(len(crowded), x.dtype), np.zeros(len(crowded), np.int64)
         for lo, sims in blocks():
             rows = np.nonzero((crowded >= lo) & (crowded < lo + len(sims)))[0]
@@ -342,18 +344,20 @@ def markov_cluster(edges: DataFrame, *, inflation: float = 1.6, keep: int = 40,
     every, most = sizes.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.max("m"), F.lit(0))).first()
     parts = max(edges.sparkSession.sparkContext.defaultParallelism, every // TASK_EDGES)
 
-    def cluster(t: pa.Table) -> pa.Table:
-        block, a, b, w = (t.column(c).to_numpy() for c in ("block", "a", "b", "w"))
-        node, attractor, flow = block_flow(block, a, b, w, **how)
-        out = {"node": node, "attractor": attractor, "flow": flow}
-        return pa.table(out | {"cluster": _in_memory(a, b, node, attractor, flow)} if given else out)
+    def cluster(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if held := [x for x in batches if x.num_rows]:
+            t = pa.Table.from_batches(held)
+            block, a, b, w = (t.column(c).to_numpy() for c in ("block", "a", "b", "w"))
+            node, attractor, flow = block_flow(block, a, b, w, **how)
+            out = {"node": node, "attractor": attractor, "flow": flow} | ({"cluster": _in_memory(a, b, node, attractor, flow)} if given else {})
+            yield from pa.table(out).to_batches(max_chunksize=1 << 16)
 
     schema = "node long, attractor long, flow double" + ", cluster long" * given
     small = edges
     if most > BLOCK_EDGES:
         large = materialize(sizes.filter(F.col("m") > BLOCK_EDGES).select("block"), "large")
         small, rest = edges.join(large, "block", "left_anti"), edges.join(large, "block", "left_semi")
-    flow = small.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts))).groupBy("part").applyInArrow(cluster, schema)
+    flow = small.repartition(parts, "block").mapInArrow(cluster, schema)
     if most <= BLOCK_EDGES:
         return flow
     squared = _squared_by_joins(rest, **how)
@@ -471,8 +475,8 @@ def similarity_clusters(vectors: DataFrame, *, threshold: float = 0.8, probes: i
     if near is not None:
         lists = lists.unionByName(near.select("a", F.array("b").alias("near"), F.array(F.lit(round(threshold * 10_000)).cast("short")).alias("cos")))
     # Lists of a page meet before they are taken apart, so that its pairs are put together where they are.
-    found = lists.join(pages.select(F.col("page").alias("a"), "block"), "a").select("block", "a", F.explode(F.arrays_zip("near", "cos")).alias("e"))
-    graph = found.groupBy("a", F.col("e.near").alias("b")).agg((F.max("e.cos") / 10_000.0).alias("w"), F.min("block").alias("block"))
+    found = lists.join(pages.select(F.col("page").alias("a"), "block"), "a").select("block", "a", "cos", F.posexplode("near").alias("i", "b"))
+    graph = found.groupBy("a", "b").agg((F.max(F.get("cos", "i")) / 10_000.0).alias("w"), F.min("block").alias("block"))
     graph = materialize(graph, "graph")
     flow = markov_cluster(graph)
     if "cluster" not in flow.columns:
